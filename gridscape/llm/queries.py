@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscape.llm import chat, mixing, simhash, tokencount, vafile
+from gridscape.llm import chat, mixing, simhash, sketch, tokencount, vafile
 from gridscape.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.with_successors(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
