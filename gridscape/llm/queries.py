@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscape.llm import chat, mixing, simhash, sketch, tokencount, vafile
+from gridscape.llm import chat, linededup, mixing, packing, simhash, sketch, tokencount, vafile
 from gridscape.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.with_successors(table(spark, sf_dir, "documents"))
 
 
+def byte_vocabulary() -> packing.Vocabulary:
+    return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -28,6 +36,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(turns.unionByName(own)))
 
 
+def op7_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +88,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS site FROM documents),
+l AS (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM d WHERE text <> ''),
+t AS (SELECT *, trim(line, ' ') AS bare FROM l),
+b AS (SELECT bare, min((doc_id, nr)) AS first FROM t WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 10),
+k AS (SELECT t.doc_id, t.nr, t.line, b.bare IS NULL OR b.first = (t.doc_id, t.nr) AS kept FROM t LEFT JOIN b USING (bare)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT kept) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE kept), '') AS text FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.text, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
@@ -93,4 +116,4 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file_top_k": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op8_curriculum_mix": OP8_SQL}
+    return {"op1_va_file_top_k": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_line_site_spread": OP7_SQL, "op8_curriculum_mix": OP8_SQL}
