@@ -34,47 +34,38 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column.offsets.to_numpy())
 
 
-def product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where every sum stays below 2^53, else in Python's integers."""
+def exact_type(q: np.ndarray, v: np.ndarray) -> type:
+    """The fastest type in which every sum of products is exact: singles below 2^24, doubles below 2^53, else Python's integers."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, q.shape[-1])
-    if most < 1 << 53:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q.astype(object) @ v.astype(object).T
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
 
 
 def search_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of each query's k best of the block; q, v are 2-D whole numbers of one width."""
     order = np.argsort(vid, kind="stable")
     vid, v = vid[order], v[order]
-    cells = v >> shift  # the approximation: its lower corner is cells << shift
-    corners = cells << shift
-    out_q, out_v, out_s = [], [], []
-    for i in range(0, len(q), STRIP):
-        strip = q[i : i + STRIP]
-        slack = np.maximum(strip, 0).sum(axis=1) * ((1 << shift) - 1)
-        bound = product(strip, corners) + slack[:, None]
-        for row, (one, own) in enumerate(zip(strip, qid[i : i + STRIP], strict=True)):
-            bounds = bound[row]
-            take = min(len(vid), 2 * k + 2)
+    corners = (v >> shift) << shift  # all that the approximation tells
+    kind = exact_type(q, np.concatenate([v, corners, [[(1 << shift) - 1] * v.shape[1]]])) if len(v) else np.float64
+    q, v, corners = q.astype(kind), v.astype(kind), np.ascontiguousarray(corners.astype(kind).T)
+    slack = np.maximum(q, 0).sum(axis=1) * ((1 << shift) - 1)
+    n, out = len(vid), []
+    for i in range(0, len(q) if n else 0, STRIP):
+        lower = q[i : i + STRIP] @ corners  # with the query's slack added, a bound from above
+        for row, (one, own) in enumerate(zip(q[i : i + STRIP], qid[i : i + STRIP], strict=True)):
+            bounds = lower[row]
+            take = min(n, 2 * k + 2)
             while True:
-                if take < len(vid):
-                    least = np.partition(bounds, len(vid) - take)[len(vid) - take]
-                    at = np.flatnonzero(bounds >= least)
-                else:
-                    least, at = None, np.arange(len(vid))
+                least = np.partition(bounds, n - take)[n - take] if take < n else None
+                at = np.arange(n) if least is None else np.flatnonzero(bounds >= least)
                 at = at[vid[at] != own]
-                exact = product(one[None, :], v[at])[0]
+                exact = v[at] @ one
                 best = np.lexsort((vid[at], -exact))[:k]
-                if least is None or (len(best) == k and exact[best[-1]] >= least):
-                    # every row not read has a bound below `least`, so below the k-th score
+                # every row not read has a bound below least + slack: it can't reach the k-th score
+                if least is None or (len(best) == k and exact[best[-1]] >= least + slack[i + row]):
                     break
-                take = min(len(vid), take * 4)
-            out_q.append(np.full(len(best), own, np.int64))
-            out_v.append(vid[at][best])
-            out_s.append(exact[best])
-    if not out_q:
-        return (np.empty(0, np.int64),) * 3
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+                take = min(n, take * 4)
+            out.append((np.full(len(best), own, np.int64), vid[at][best], exact[best] if kind is object else exact[best].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
 def _joined(k: int, shift: int):
@@ -95,7 +86,7 @@ def _joined(k: int, shift: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, shift: int = 3, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, shift: int = 1, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over `vectors` (both: vec_id, v array<long>), ties to the smaller vec_id.
 
     A query's own row (same vec_id) is no candidate. Vectors of another width than the query's are none either. Repeated rows of one vec_id count once
