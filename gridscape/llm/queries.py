@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscape.llm import chat, linededup, mil, mixing, packing, simhash, sketch, tokencount, vafile
+from gridscape.llm import chat, debruijn, linededup, mil, mixing, packing, simhash, sketch, tokencount, vafile
 from gridscape.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.scored(docs, mil.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
