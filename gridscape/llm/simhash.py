@@ -6,6 +6,9 @@ fingerprint at distance d has all neighbours within `radius` inside if d <= m -
 Each shard holds the fingerprints at home there and the visitors, runs a finer tree of the same kind over them in whole-array steps, and
 emits only a spanning star of each local component, never its pairs. Stars join to components by label propagation with
 pointer jumping over tables in the shared folder.
+
+`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes little: there, documents meet only those of nearly their own
+length, fingerprints select candidate pairs, and a MinHash signature of word shingles judges each before it links.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import cut, ids, one_array, slices, small_batches, utf8, words
+from gridscape.llm.common import cut, gram_hashes, ids, mix, one_array, slices, small_batches, utf8, word_hashes, words
 
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
@@ -228,11 +231,11 @@ def hexadecimal(fp: str = "fp") -> Column:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, but for those whose group has a smaller doc_id; of repeated rows of one doc_id the first by text stays.
+    """The rows of docs, all columns, but for those whose similar group has a smaller doc_id; of repeated rows of one doc_id the first by text stays.
 
-    Rows of a null doc_id whose group has an id go; of a group of null ids alone one stays for each text.
+    Of rows without a doc_id one stays for each text.
     """
-    found = groups(docs, **options)
+    found = similar_groups(docs, **options)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["kept_id"]), "left_semi")
     rank = "_rank" + "_" * max((len(c) for c in docs.columns), default=0)
@@ -241,6 +244,114 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return rows.withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
 
 
+LIKE, LIKE_SHINGLE, LIKE_RADIUS, BINS = 0.8, 5, 14, 256
+BAND_BLOCK = 16_384
+
+
+def signatures(raw: np.ndarray, at: np.ndarray, shingle: int = LIKE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(number of distinct shingles, BINS values of 16 bits) of each text: the least shingle hash of each bin, 0 for an empty bin."""
+    n, out = np.zeros(len(at) - 1, np.int64), np.zeros((len(at) - 1, BINS), np.uint16)
+    for i, j in slices(at):
+        part = _LOWER[raw[at[i] : at[j]]]
+        starts, ends, first = words(part, at[i : j + 1] - at[i])
+        h = word_hashes(part, starts, ends)
+        grams = gram_hashes(h, shingle)
+        for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            own = np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else gram_hashes(h[a:b], b - a) if b > a else h[:0]
+            if not len(own):
+                continue
+            n[i + k] = len(own)
+            bins = (own >> np.uint64(56)).astype(np.int64)
+            least = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of each bin is its least
+            out[i + k, bins[least]] = mix(own[least]) % np.uint64(65535) + np.uint64(1)
+    return n, out
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimated Jaccard similarity of signatures, row by row, reaches `least`."""
+    some = (a != 0) | (b != 0)
+    return (some & (a == b)).sum(axis=1) >= least * some.sum(axis=1)
+
+
+def band(n: np.ndarray, least: float) -> np.ndarray:
+    """Texts of similarity `least` differ by one band at most: |A n B| / |A u B| is at most the ratio of their sizes."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1 / least) + 1e-9).astype(np.int32)
+
+
+def link_alike(fps: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Each row's root: rows of `left` linked to rows of `right` that are near and alike; what is joined already isn't judged again."""
+    sets = Sets(len(fps))
+    for x in range(0, len(right), LEAF):
+        own = right[x : x + LEAF]
+        for y in range(0, len(left), 1 << 12):
+            block = left[y : y + (1 << 12)]
+            i, j = np.nonzero(distance(fps[block][:, None], fps[own][None, :]) <= radius)
+            i, j = block[i], own[j]
+            while len(i):
+                apart = sets.find(i) != sets.find(j)
+                i, j = i[apart], j[apart]
+                few = slice(0, 4096)
+                good = alike(sigs[i[few]], sigs[j[few]], least)
+                sets.union(i[few][good], j[few][good])
+                i, j = i[4096:], j[4096:]
+    return sets.find(np.arange(len(fps)))
+
+
+def _linked(radius: int, least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        first, fps = rows["first"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        order = np.argsort(first)
+        sigs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, BINS)[order]
+        left, right = (np.flatnonzero(np.isin(rows["side"].to_numpy()[order], sides)) for sides in ((0, 2), (1, 2)))
+        root = link_alike(fps[order], sigs, left, right, radius, least)
+        first = first[order]
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"u": pa.array(first[linked]), "v": pa.array(first[root[linked]])})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, *, least: float = LIKE, shingle: int = 3, like_shingle: int = LIKE_SHINGLE, radius: int = LIKE_RADIUS, block: int = BAND_BLOCK) -> DataFrame:
+    """doc_id, component_id of every row: equal lower-case texts are linked, and texts whose fingerprints differ in at most `radius` bits and whose
+    sets of `like_shingle` words have an estimated Jaccard similarity of `least` or more.
+
+    Equal texts collapse first. Bands of length, split by hash into blocks of bounded expected size, meet block by block within a band and with the band above,
+    so one length that a third of all texts have is dealt over many tasks. Null texts are empty, and empty texts equal; rows of a null doc_id
+    link to nothing, and have no component. Other columns aren't read; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = utf8(batch.column(1))
+            n, sigs = signatures(raw, at, like_shingle)
+            found = text_fingerprints(raw, at, shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64)), pa.array(n), pa.array(band(n, least)), pa.array([x.tobytes() for x in sigs], pa.binary())], ["doc_id", "same", "fp", "n", "band", "signature"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("same"))
+    found = cut(rows.mapInArrow(run, "doc_id long, same long, fp long, n long, band int, signature binary"))
+    key = ["same", "fp", "n"]
+    classes = cut(found.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("first")))
+    nodes = cut(found.withColumnRenamed("doc_id", "first").join(classes, [*key, "first"], "left_semi").dropDuplicates(["first"]).select("first", "fp", "band", "signature"))
+    # bounded: a band of length is a factor 1 / least, so there are a few hundred at most
+    sizes = {r.band: r["count"] for r in nodes.groupBy("band").count().collect()}
+    blocks = {b: max(1, -(-c // block)) for b, c in sizes.items()}
+    parts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
+    placed = nodes.withColumn("part", F.pmod(F.xxhash64("first"), F.coalesce(parts[F.col("band")], F.lit(1))).cast("int"))
+    meet, none = F.struct, F.array().cast("array<int>")
+    own, above = parts[F.col("band")], parts[F.col("band") + 1]
+    # a task is (band of the right side, its block, band of the left side, its block); side 2 is both
+    tasks = F.concat(
+        F.transform(F.sequence(F.lit(0), own - 1), lambda k: meet(F.col("band").alias("b"), F.greatest(k, F.col("part")).alias("r"), F.col("band").alias("c"), F.least(k, F.col("part")).alias("l"), F.when(k == F.col("part"), 2).when(k > F.col("part"), 0).otherwise(1).alias("side"))),
+        F.transform(F.when(above.isNotNull(), F.sequence(F.lit(0), above - 1)).otherwise(none), lambda k: meet((F.col("band") + 1).alias("b"), k.alias("r"), F.col("band").alias("c"), F.col("part").alias("l"), F.lit(0).alias("side"))),
+        F.transform(F.when(parts[F.col("band") - 1].isNotNull(), F.sequence(F.lit(0), parts[F.col("band") - 1] - 1)).otherwise(none), lambda k: meet(F.col("band").alias("b"), F.col("part").alias("r"), (F.col("band") - 1).alias("c"), k.alias("l"), F.lit(1).alias("side"))),
+    )
+    dealt = placed.withColumn("task", F.explode(tasks)).select("first", "fp", "signature", F.col("task.b").alias("b"), F.col("task.r").alias("r"), F.col("task.c").alias("c"), F.col("task.l").alias("l"), F.col("task.side").alias("side"))
+    state = components(dealt.groupBy("b", "r", "c", "l").applyInArrow(_linked(radius, least), "u long, v long"))
+    named = classes.join(state, F.col("first") == F.col("node"), "left").select(*key, F.coalesce("label", "first").alias("component_id"))
+    return found.select("doc_id", *key).join(named, key, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def brute_force(texts: dict[int, str], radius: int = 2, shingle: int = 3, seed: int = 42) -> dict[int, tuple[int, int]]:
     """doc_id: (fingerprint, component_id) by the definition, for small inputs and tests."""
     from xxhash import xxh64_intdigest
