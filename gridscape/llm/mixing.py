@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridscape.llm.common import WORD_PATTERN, cut
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 PASSES = 3
 
 
