@@ -79,6 +79,7 @@ def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table
     count = max(1, -(-n // block))
     deal = F.pmod(F.xxhash64("row_id"), F.lit(count)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    a = left.withColumn("_i", deal).withColumn("_j", every)
-    b = right.withColumn("_j", deal).withColumn("_i", every)
+    # new names for what may be the same columns on both sides
+    a = left.select(*[F.col(c).alias(c) for c in left.columns]).withColumn("_i", deal).withColumn("_j", every)
+    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_j", deal).withColumn("_i", every)
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(fn, schema)
