@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from gridscape.errors import AlreadyFitted, InvalidClusterCount, InvalidInitMethod
 from gridscape.operators import kernels
-from gridscape.operators.assign import codebook_table, nearest
+from gridscape.operators.assign import codebook_table, nearest, nearest_column
 from gridscape.operators.seeding import farthest_rows, global_range
-from gridscape.plans.planner import added_up, in_one_task, plan
-from gridscape.schema import assemble, check_width, shape
+from gridscape.plans.planner import added_up, in_one_task, plan, vectors
+from gridscape.schema import FeatureSpec, assemble, check_width, shape
+
+
+INITS = ("farthest", "d2", "random")
 
 
 @dataclass
@@ -25,9 +28,6 @@ class KMeansModel:
 
     def transform(self, df: DataFrame, out: str = "label") -> DataFrame:
         """df with the nearest cluster's number; a narrow projection."""
-        from gridscape.operators.assign import nearest_column
-        from gridscape.schema import FeatureSpec
-
         names = (self.features,) if isinstance(self.features, str) else tuple(self.features)
         return df.withColumn(out, nearest_column(self.centers, FeatureSpec(names).column(df))["unit"])
 
@@ -63,10 +63,8 @@ def seeds(x: np.ndarray, k: int, init: str, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     if init == "d2":
         return kernels.d2_sampling(x, k, rng)
-    if init == "random":
-        low, high = x.min(), x.max()
-        return rng.uniform(low, high if high - low >= 1e-12 else low + 1e-6, (k, x.shape[1]))
-    raise InvalidInitMethod(init)
+    low, high = x.min(), x.max()
+    return rng.uniform(low, high if high - low >= 1e-12 else low + 1e-6, (k, x.shape[1]))
 
 
 def fit_array(x: np.ndarray, k: int, init: str = "farthest", max_iter: int = 300, tol: float = 1e-6, seed: int = 0, initial: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
@@ -80,6 +78,8 @@ def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 30
     k = k if initial is None else len(initial)
     if not 1 <= k <= n:
         raise InvalidClusterCount(f"{k} clusters of {n} rows")
+    if init not in INITS:
+        raise InvalidInitMethod(init)
     if initial is not None:
         check_width(rows, np.shape(initial)[1])
     if plan(n, d, wanted) == "local":
@@ -98,8 +98,6 @@ def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 30
             start = farthest_rows(rows, k)
         elif init == "d2":  # over a bounded sample by hash of the row
             sample = rows.orderBy(F.xxhash64("row_id", F.lit(seed))).limit(max(10_000, 20 * k)).toArrow()
-            from gridscape.plans.planner import vectors
-
             start = seeds(vectors(sample["features"]), k, init, seed)
         else:
             low, high = global_range(rows)

@@ -174,7 +174,7 @@ class SOM:
             try:
                 for i in range(0, count, size):
                     end = min(i + size, count, i + total - done)
-                    w = _fold_job(placed.where((F.col("pos") >= i) & (F.col("pos") < end)), w, schedule, done - i, self)
+                    w = fold_job(placed.where((F.col("pos") >= i) & (F.col("pos") < end)), w, schedule, done - i, self)
                     done += end - i
                     if done >= total:
                         return w
@@ -198,7 +198,7 @@ def _unit_sums(x: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _fold_job(batch: DataFrame, w: np.ndarray, schedule: kernels.Schedule, shift: int, som: SOM) -> np.ndarray:
+def fold_job(batch: DataFrame, w: np.ndarray, schedule: kernels.Schedule, shift: int, som: SOM) -> np.ndarray:
     """One batch: a pair (A, B) from each run of positions, composed in order."""
 
     def run(batches):

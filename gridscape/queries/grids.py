@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridscape.functions.vector import l2sq
 from gridscape.operators import gmm, gridops, kselect
-from gridscape.operators.assign import grid_place, hit_map, nearest
+from gridscape.operators.assign import distance_matrix, grid_place, hit_map, nearest
 from gridscape.operators.density import grid_clusters
 from gridscape.plans.planner import added_up
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, near_sql, plane, plane_sql, points, registry, shards_sql, sq, weights
@@ -167,7 +167,5 @@ def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {E_SQL}, p AS (SELECT a.row_id, b.row_id AS other, sqrt({sq('a.x', 'b.x')}) AS d FROM e a CROSS JOIN e b WHERE a.row_id < 20 AND b.row_id < 20) SELECT row_id, CAST(other AS INTEGER) AS unit, round(d, 6) AS d FROM p")
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix of distances of rows to a codebook of rows."""
-    from gridscape.operators.assign import distance_matrix
-
     few = points(spark, sf_dir).where("row_id < 20")
     return distance_matrix(few, few.select(F.col("row_id").cast("int").alias("unit"), F.col("features").alias("weights"))).withColumn("d", F.round("d", 6))

@@ -15,9 +15,10 @@ from gridscape.operators.classify import SOMClassifier
 from gridscape.operators.density import DensityModel
 from gridscape.operators.gmm import DiagGMM
 from gridscape.operators.picker import ModelPicker
-from gridscape.operators.som import SOM, SOMModel, unit_cluster_means
+from gridscape.operators.som import SOM, SOMModel, fold_job, unit_cluster_means
 from gridscape.plans.planner import added_up
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, long_form, near_sql, points, registry, shards_sql, sq, table, weights
+from gridscape.schema import with_pos
 from gridscape.sources import datagen, persist
 from gridscape.streaming.score import score_stream
 
@@ -107,11 +108,8 @@ SELECT CAST(w.unit AS INTEGER) AS unit, CAST(w.dim - 1 AS INTEGER) AS dim, round
 @query(STEP_SQL)
 def som_batch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of the distributed ordered fold over the first rows."""
-    from gridscape.operators.som import _fold_job
-    from gridscape.schema import with_pos
-
     placed = with_pos(points(spark, sf_dir).where(F.col("row_id") < FEW).select("row_id", "features"))
-    w = _fold_job(placed, weights(spark, sf_dir), kernels.Schedule(RATE, RADIUS, FEW), 0, SOM(ROWS, COLUMNS))
+    w = fold_job(placed, weights(spark, sf_dir), kernels.Schedule(RATE, RADIUS, FEW), 0, SOM(ROWS, COLUMNS))
     placed.unpersist()
     return _book(spark, w)
 
