@@ -3,8 +3,9 @@
 Edges are `anchor` words long. A window of `window` words belongs to the edge in it of least hash, the leftmost of equals, so equal windows belong to equal
 edges at the same place in them, and consecutive windows of one edge form a piece of text. An edge that occurs once belongs to no repeated window.
 Of those that occur again, an edge all of whose pieces are the same text is a nonbranching path: one join with (edge, first document)
-settles all windows of its pieces together. Only pieces of branching edges, where repeats begin and end, are opened to single windows,
-which are compared by 128 bits of hash. Coordinates (document, first window, number of windows) lead back to the text, where repeats inside
+settles all windows of its pieces together. A window reaches at least half of what it has besides its edge to one side, so a piece of a branching
+edge can repeat only where the edge with so many words on its left, or on its right, occurs again. Only such pieces, where repeats begin
+and end, are opened to single windows, which are compared by 128 bits of hash. Coordinates (document, first window, number of windows) lead back to the text, where repeats inside
 one document are found and the covered words are cut out.
 
 All joins are on hashes of edges or windows or on documents, with an aggregate of one row per key on one side, so a hot key can be split.
@@ -51,18 +52,27 @@ def window_hashes(g: np.ndarray, starts: np.ndarray, window: int, anchor: int) -
     return mix(x)
 
 
+def flank(g: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray, shift: int, reach: int, anchor: int) -> np.ndarray:
+    """32 bits of hash of the words from m + shift on, as many as `reach` and the anchor; 0 where the text hasn't as many."""
+    begin = m + shift
+    fine = (begin >= low) & (begin + reach + anchor <= high)
+    out = np.zeros(len(m), np.int32)
+    out[fine] = (window_hashes(g, begin[fine], reach + anchor, anchor) >> np.uint64(33)).astype(np.int32) | 1
+    return out
+
+
 def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first window within it, windows, edge hash, content hash) of each piece."""
+    """(text, first window within it, windows, edge hash, content hash, left flank, right flank) of each piece."""
     starts, ends, first = words(raw, at)
     total = len(starts) - window + 1
     if total <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int32),) * 2
     g = gram_hashes(word_hashes(raw, starts, ends, SEEDS[0]), anchor)
     edge = least_edges(g, window - anchor + 1)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = np.flatnonzero(text[:total] == text[window - 1 :])
     if not len(whole):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int32),) * 2
     own = edge[whole]
     begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1] + 1)]))
     stops = np.append(begins[1:], len(whole)) - 1
@@ -70,7 +80,9 @@ def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int =
     n = b - a + 1
     shape = (n * 64 + (m - a)).astype(np.uint64)
     content = mix(mix(window_hashes(g, a, window, anchor) ^ shape) ^ window_hashes(g, b, window, anchor))
-    return text[a], a - first[text[a]], n, g[m], content
+    of, reach = text[a], -(-(window - anchor) // 2)
+    sides = [flank(g, m, first[of], first[of + 1], shift, reach, anchor) for shift in (-reach, 0)]
+    return of, a - first[of], n, g[m], content, *sides
 
 
 def _pieces(window: int, anchor: int, coordinates: bool):
@@ -78,11 +90,11 @@ def _pieces(window: int, anchor: int, coordinates: bool):
         for batch in batches:
             raw, at = utf8(batch.column(2))
             for i, j in slices(at):
-                text, start, n, edge, content = pieces(raw[at[i] : at[j]], at[i : j + 1] - at[i], window, anchor)
+                text, start, n, edge, content, left, right = pieces(raw[at[i] : at[j]], at[i : j + 1] - at[i], window, anchor)
                 columns = {"edge": pa.array(edge.view(np.int64))}
                 if coordinates:
                     which = pa.array(text + i)
-                    columns |= {"content": pa.array(content.view(np.int64)), "doc": batch.column(0).take(which), "version": batch.column(1).take(which), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+                    columns |= {"content": pa.array(content.view(np.int64)), "left": pa.array(left), "right": pa.array(right), "doc": batch.column(0).take(which), "version": batch.column(1).take(which), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -192,10 +204,17 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     edges = rows.mapInArrow(_pieces(window, anchor, False), "edge long")
     again = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
     # duplicates of a row are one occurrence each, which at worst keeps an edge that occurs in one text only
-    found = cut(rows.mapInArrow(_pieces(window, anchor, True), "edge long, content long, doc long, version long, start int, n int").join(again, "edge", "left_semi"))
+    found = cut(rows.mapInArrow(_pieces(window, anchor, True), "edge long, content long, left int, right int, doc long, version long, start int, n int").join(again, "edge", "left_semi"))
     paths = found.groupBy("edge").agg(F.min("doc").alias("first"), (F.min("content") != F.max("content")).alias("branches"))
-    kind = F.when(F.col("branches"), BRANCHING).when(F.col("doc") > F.col("first"), EARLIER).otherwise(FIRST).cast("int")
-    settled = found.join(paths, "edge").select("doc", "version", F.struct("start", "n", kind.alias("kind")).alias("piece"))
+    joined = found.join(paths, "edge")
+    kind = F.when(F.col("doc") > F.col("first"), EARLIER).otherwise(FIRST).cast("int")
+    plain = joined.where("NOT branches").select("doc", "version", F.struct("start", "n", kind.alias("kind")).alias("piece"))
+    open_ = cut(joined.where("branches").select("edge", "left", "right", "doc", "version", "start", "n"))
+    for side in ("left", "right"):
+        met = open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", side, F.lit(True).alias(f"{side}_met"))
+        joined = (joined if side == "right" else open_).join(met, ["edge", side], "left")
+    branching = joined.where("left_met OR right_met").select("doc", "version", F.struct("start", "n", F.lit(BRANCHING).alias("kind")).alias("piece"))
+    settled = plain.unionByName(branching)
     by_text = settled.groupBy("doc", "version").agg(F.collect_set("piece").alias("p"))
     by_text = by_text.select("doc", "version", F.col("p.start").alias("starts"), F.col("p.n").alias("ns"), F.col("p.kind").alias("kinds"))
     touched = cut(rows.join(by_text, ["doc", "version"]).select("doc", "version", "text", "starts", "ns", "kinds"))
