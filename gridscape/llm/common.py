@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch, as a text may be long; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -140,4 +145,4 @@ def rows_of(batch: pa.RecordBatch, first: int, end: int, *names: str) -> list[pa
 
 def ids(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key and the text, whatever other columns there are."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import cut
+from gridscape.llm.common import cut, named
 
 MIN_SITES = 10
 LG_BUCKETS = 12
@@ -53,8 +53,12 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     common = boilerplate(lines, min_sites)
     again = lines.join(common, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     drops = again.groupBy("doc_id", "version").agg(F.collect_set("at").alias("_drop")).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_drop")
-    rows = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
-    found = line_array()
-    kept = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(found, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n"))
-    added = {"kept_text": kept, "n_lines": F.size(found).cast("long"), "n_removed": F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long")}
-    return rows.select(*[F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    # the row as one value, so that no name of its columns can clash
+    own = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    rows = own.join(drops, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_version")), "left")
+    found = line_array("_row.text")
+    kept = F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter(found, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n"))
+    removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long")
+    rows = rows.select("_row", kept.alias("_kept"), F.size(found).cast("long").alias("_lines"), removed.alias("_removed"))
+    added = {"kept_text": "_kept", "n_lines": "_lines", "n_removed": "_removed"}
+    return rows.select(F.struct("_row", *added.values()).alias("_all")).select(*[F.col("_all._row").getField(c).alias(c) for c in docs.columns if c not in added], *[F.col("_all").getField(v).alias(k) for k, v in added.items()])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import WORD_PATTERN, cut
+from gridscape.llm.common import WORD_PATTERN, cut, named
 
 BUCKET_ROWS = 2_000
 PASSES = 3
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[flo
     documents of one id follow each other by size, and exact repeats each count. No words at all: targets are 0.
     Other columns, whatever their names, are left alone. An empty table gives an empty result. `slopes` is each source's schedule in turn, |slope| < 1.
     """
-    extra = [F.col(c).alias(f"keep_{c}") for c in keep or []]
+    extra = [named(c).alias(f"keep_{c}") for c in keep or []]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     plain = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), key.alias("h")]
     sized = cut(docs.select(*plain))
@@ -102,5 +102,5 @@ def training_order(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes
     cut = (F.col("pass") == F.col("passes")) & (F.col("part") < F.col("size"))
     first = F.array_join(F.slice(F.filter(F.split(F.col("keep_text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
     text = F.when(cut, first).otherwise(F.col("keep_text"))
-    columns = [(text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else F.col(f"keep_{c}")).alias(c) for c in docs.columns]
+    columns = [(text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else named(f"keep_{c}")).alias(c) for c in docs.columns]
     return copies.repartitionByRange(F.col("position"), F.col("h")).sortWithinPartitions("position", "h", "pass").select(*columns)

@@ -79,6 +79,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) > 1 AS again FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE again),
+x AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT x.doc_id, string_agg(v, ' ' ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept, count(c.i) AS n_removed FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -125,4 +135,4 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file_top_k": OP1_SQL, "op6_chat_formatting": OP6_SQL, "op7_line_site_spread": OP7_SQL, "op8_curriculum_mix": OP8_SQL}
+    return {"op1_va_file_top_k": OP1_SQL, "op5_de_bruijn_repeats": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op7_line_site_spread": OP7_SQL, "op8_curriculum_mix": OP8_SQL}
