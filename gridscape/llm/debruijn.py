@@ -8,7 +8,8 @@ edge can repeat only where the edge with so many words on its left, or on its ri
 and end, are opened to single windows, which are compared by 128 bits of hash. Coordinates (document, first window, number of windows) lead back to the text, where repeats inside
 one document are found and the covered words are cut out.
 
-All joins are on hashes of edges or windows or on documents, with an aggregate of one row per key on one side, so a hot key can be split.
+All joins are on hashes of edges or windows or on documents, with a table of one row per key on one side. That table is written first, so that both sides of
+the join are plain exchanges and adaptive execution can split the rows of a hot key over tasks.
 """
 
 from __future__ import annotations
@@ -202,16 +203,16 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").alias("text"))
     text = ", kept_text string" if with_text else ""
     edges = rows.mapInArrow(_pieces(window, anchor, False), "edge long")
-    again = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
+    again = cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
     # duplicates of a row are one occurrence each, which at worst keeps an edge that occurs in one text only
     found = cut(rows.mapInArrow(_pieces(window, anchor, True), "edge long, content long, left int, right int, doc long, version long, start int, n int").join(again, "edge", "left_semi"))
-    paths = found.groupBy("edge").agg(F.min("doc").alias("first"), (F.min("content") != F.max("content")).alias("branches"))
+    paths = cut(found.groupBy("edge").agg(F.min("doc").alias("first"), (F.min("content") != F.max("content")).alias("branches")))
     joined = found.join(paths, "edge")
     kind = F.when(F.col("doc") > F.col("first"), EARLIER).otherwise(FIRST).cast("int")
     plain = joined.where("NOT branches").select("doc", "version", F.struct("start", "n", kind.alias("kind")).alias("piece"))
     open_ = cut(joined.where("branches").select("edge", "left", "right", "doc", "version", "start", "n"))
     for side in ("left", "right"):
-        met = open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", side, F.lit(True).alias(f"{side}_met"))
+        met = cut(open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", side, F.lit(True).alias(f"{side}_met")))
         joined = (joined if side == "right" else open_).join(met, ["edge", side], "left")
     branching = joined.where("left_met OR right_met").select("doc", "version", F.struct("start", "n", F.lit(BRANCHING).alias("kind")).alias("piece"))
     settled = plain.unionByName(branching)
@@ -219,7 +220,7 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     by_text = by_text.select("doc", "version", F.col("p.start").alias("starts"), F.col("p.n").alias("ns"), F.col("p.kind").alias("kinds"))
     touched = cut(rows.join(by_text, ["doc", "version"]).select("doc", "version", "text", "starts", "ns", "kinds"))
     opened = touched.mapInArrow(_opened(window, anchor), "h1 long, h2 long, doc long, version long, start int")
-    firsts = opened.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
+    firsts = cut(opened.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"))
     later = opened.join(firsts, ["h1", "h2"]).where("doc > first").groupBy("doc", "version").agg(F.collect_set("start").alias("later"))
     cleaned = touched.join(later, ["doc", "version"], "left").select(*touched.columns, "later").mapInArrow(_cut_out(window, anchor, with_text), KEPT + text)
     whole = rows.mapInArrow(_untouched(with_text), KEPT + text).join(by_text.select("doc", "version"), ["doc", "version"], "left_anti")
