@@ -22,10 +22,13 @@ STRIP = 128
 
 
 def scaled(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v array<long>: floor(scale * x), x as double. Vectors that are null or hold null, infinite or NaN components are left out."""
-    x = F.col(vector).cast("array<double>")
-    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**40)))
-    return df.where(fine).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
+    """vec_id, v array<long>: floor(scale * x), x as double. Vectors that are null or hold null, infinite or NaN components are left out.
+
+    A component beyond 2^62 is held there.
+    """
+    x, top = F.col(vector).cast("array<double>"), 2.0**62
+    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return df.where(fine).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.least(F.lit(top), F.greatest(F.lit(-top), c * F.lit(float(scale)))))).alias("v"))
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,8 @@ def test_top_k_is_exact(spark, options):
 def test_top_k_cases(spark):
     vectors = [(0, [1.0, 2.0]), (1, None), (2, [math.nan, 1.0]), (3, [math.inf, 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [-1.0, 3.0]), (20, [0.5, 0.5])]
     assert search(spark, vectors, 20) == plain_top(vectors, 20)
+    huge = {(q, i): s for q, _, i, s in search(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], 20)}
+    assert huge == {(0, 1): (1 << 63) - 1, (0, 2): -(1 << 63)}
     assert search(spark, [], 20) == set()
     assert search(spark, [(0, [1.0])], 20) == set()
     twice = [r for r in search(spark, [(0, [1.0]), (3, [2.0]), (3, [2.0])], 5)]
