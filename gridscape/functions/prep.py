@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscape.errors import InvalidInputData
 from gridscape.functions.vector import l2sq
+from gridscape.schema import with_pos
 
 
 def minmax(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -93,8 +96,17 @@ def orthonormal(a: np.ndarray) -> np.ndarray:
     return u @ v
 
 
-def order_statistic(rows: DataFrame, value: str, fraction: float, by: list[str]) -> DataFrame:
-    """The value of 0-based rank floor(fraction * n) within each group."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_k") == F.floor(F.col("_n") * fraction)).select(*by, F.col(value).alias("value"))
+def order_statistics(rows: DataFrame, value: str, fractions: dict[str, float], by: str) -> DataFrame:
+    """by, and for each name in fractions the value of 0-based rank floor(fraction * n) within the group.
+
+    One range sort by (group, value) gives every row its place; a group's ranks begin at the sum of the counts before it, so no group is gathered in a
+    task. Groups are few (dimensions of a vector): their counts come to the driver.
+    """
+    counts = rows.groupBy(by).count().orderBy(by).collect()
+    wanted, start = [], 0
+    for r in counts:
+        wanted += [(start + math.floor(f * r["count"]), name) for name, f in fractions.items()]
+        start += r["count"]
+    places = rows.sparkSession.createDataFrame(wanted, "pos long, name string")
+    found = with_pos(rows.select(by, value), by, value).join(F.broadcast(places), "pos")
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in fractions])

@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscape.errors import InsufficientData
 from gridscape.operators import kernels
 from gridscape.plans.planner import pairwise, vectors
+from gridscape.schema import with_pos
 
 
 def bandwidth(rows: DataFrame) -> DataFrame:
@@ -41,15 +42,19 @@ def density(rows: DataFrame, width: float | None = None) -> DataFrame:
     return pairwise(base, base, part, "row_id long, part double", n=n).groupBy("row_id").agg((F.sum("part") / n).alias("density"))
 
 
-def is_maximum(v: str, order: str) -> Column:
-    """Whether a value is above both neighbours in order; the ends are not."""
-    w = Window.orderBy(order)
-    return F.coalesce((F.lag(v).over(w) < F.col(v)) & (F.lead(v).over(w) < F.col(v)), F.lit(False))
+def local_maxima(values: DataFrame, v: str = "density", order: str = "row_id", block: int = 100_000) -> DataFrame:
+    """The rows above both neighbours in row order; the two ends are not.
 
-
-def local_maxima(values: DataFrame, v: str = "density", order: str = "row_id") -> DataFrame:
-    """The rows of strict local maxima in row order. Neighbours meet in one ordered window of (row, value) pairs, all that this needs."""
-    return values.withColumn("_top", is_maximum(v, order)).where("_top").drop("_top")
+    Rows are dealt by position into blocks, the edge rows of a block also to the block beside it, so neighbours meet without a window over all rows.
+    """
+    placed = with_pos(values, order)
+    own = F.floor(F.col("pos") / block)
+    first, last = F.col("pos") % block == 0, F.col("pos") % block == block - 1
+    beside = F.array_compact(F.array(own, F.when(first & (own > 0), own - 1), F.when(last, own + 1)))
+    w = Window.partitionBy("_block").orderBy("pos")
+    near = placed.withColumn("_block", F.explode(beside)).withColumns({"_before": F.lag(v).over(w), "_after": F.lead(v).over(w)})
+    top = (F.col("_block") == own) & (F.col("_before") < F.col(v)) & (F.col("_after") < F.col(v))
+    return near.where(top).select(*values.columns)
 
 
 def density_peaks(rows: DataFrame, k: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.functions.prep import order_statistic
+from gridscape.functions.prep import order_statistics
 from gridscape.operators import gmm, kernels, lloyd
 from gridscape.plans.planner import vectors
 
@@ -119,8 +119,7 @@ def smoothing_bandwidth(rows: DataFrame, m: int, n: int, method: str = "silverma
     """sigma: Silverman's 0.9 min(s, IQR / 1.34) n^-1/5 or Scott's n^(-1/(d+4)) s, from deviations and order statistics averaged over features."""
     each = rows.select(F.posexplode("features").alias("dim", "x"))
     stats = each.groupBy("dim").agg(F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("rows"))
-    low, high = (order_statistic(each, "x", q, ["dim"]).withColumnRenamed("value", v) for q, v in ((0.25, "q1"), (0.75, "q3")))
-    joined = stats.join(low, "dim").join(high, "dim").agg(F.greatest(F.avg("s"), F.lit(1e-12)).alias("s"), F.greatest(F.avg(F.col("q3") - F.col("q1")), F.lit(1e-12)).alias("iqr"), F.max("rows").cast("double").alias("rows"), F.count(F.lit(1)).alias("d"))
+    joined = stats.join(order_statistics(each, "x", {"q1": 0.25, "q3": 0.75}, "dim"), "dim").agg(F.greatest(F.avg("s"), F.lit(1e-12)).alias("s"), F.greatest(F.avg(F.col("q3") - F.col("q1")), F.lit(1e-12)).alias("iqr"), F.max("rows").cast("double").alias("rows"), F.count(F.lit(1)).alias("d"))
     silverman = 0.9 * F.least(F.col("s"), F.col("iqr") / 1.34) * F.pow("rows", F.lit(-0.2))
     scott = F.pow(F.col("rows"), -1 / (F.col("d") + 4)) * F.col("s")
     return joined.select(F.greatest(F.lit(0.5), F.least(F.lit(max(m, n) / 2), silverman if method == "silverman" else scott)).alias("sigma"))

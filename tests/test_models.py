@@ -231,6 +231,11 @@ def test_kde(spark):
     assert all(r.density >= 0 for r in density(rows).collect())
     spike = spark.createDataFrame([(i, 1.0 if i == 5 else 0.1) for i in range(11)], "row_id long, density double")
     assert [r.row_id for r in local_maxima(spike).collect()] == [5]
+    rng = np.random.default_rng(0).random(40)
+    wave = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng)], "row_id long, density double").repartition(5)
+    want = [i for i in range(1, 39) if rng[i - 1] < rng[i] > rng[i + 1]]
+    for block in (1, 3, 40, 1000):
+        assert sorted(r.row_id for r in local_maxima(wave, block=block).collect()) == want
     with pytest.raises(InsufficientData):
         density_peaks(rows, 19)
 

@@ -124,6 +124,14 @@ def test_preparation(spark):
     assert prep.edge_point(frame(spark, [[0.0], [1.0], [5.0]])).first().row_id == 2
 
 
+def test_order_statistics(spark):
+    rng = np.random.default_rng(1)
+    data = {g: sorted(rng.random(n).tolist()) for g, n in ((0, 9), (1, 4), (5, 1))}
+    df = spark.createDataFrame([(g, v) for g, x in data.items() for v in x], "dim int, x double").repartition(4)
+    got = {r.dim: (r.q1, r.q3) for r in prep.order_statistics(df, "x", {"q1": 0.25, "q3": 0.75}, "dim").collect()}
+    assert got == {g: (x[int(0.25 * len(x))], x[int(0.75 * len(x))]) for g, x in data.items()}
+
+
 def test_matrices():
     h = prep.hadamard_matrix(3)
     assert np.array_equal(h @ h.T, 8 * np.eye(8))
