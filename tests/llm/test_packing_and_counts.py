@@ -22,7 +22,7 @@ def ids_of(text):
 def plain_cost(places, penalties, capacity):
     f = {0: 0}
     for j, pen in list(zip(places, penalties, strict=True))[1:]:
-        best = min(f[i] + (0 if (j - i) & (j - i - 1) == 0 else capacity - (j - i)) for i in places if i < j and j - i <= capacity)
+        best = min(f[i] + (0 if (j - i) & (j - i - 1) == 0 and j - i >= capacity // packing.SHORTEST else capacity - (j - i)) for i in places if i < j and j - i <= capacity)
         f[j] = best + pen + packing.WINDOW_PENALTY
     return f[places[-1]]
 
@@ -39,7 +39,7 @@ def test_cuts_are_optimal(seed, n):
     cuts, cost = packing.best_cuts(np.array(places), np.array(pen), 32)
     want = plain_cost(places, pen, 32)
     sizes = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-    own = sum(0 if s & (s - 1) == 0 else 32 - s for s in sizes) + sum(dict(zip(places, pen, strict=True))[c] + packing.WINDOW_PENALTY for c in cuts[1:])
+    own = sum(0 if s & (s - 1) == 0 and s >= 32 // packing.SHORTEST else 32 - s for s in sizes) + sum(dict(zip(places, pen, strict=True))[c] + packing.WINDOW_PENALTY for c in cuts[1:])
     assert cost == want == own and max(sizes) <= 32 and cuts[0] == 0 and cuts[-1] == places[-1]
 
 
