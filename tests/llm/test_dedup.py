@@ -51,6 +51,7 @@ def test_least_edges(values, span):
 def test_fingerprints_and_components(spark):
     texts = [*corpus(60, 5), (100, None), (101, ""), (102, "One"), (103, "one"), (104, "Two  words"), (105, "two words")]
     got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.groups(documents(spark, texts, True), shard_rows=4).collect()}
+    assert simhash.groups(documents(spark, EDGES).limit(0)).count() == 0 and simhash.groups(documents(spark, EDGES)).count() == len(EDGES)
     assert got == simhash.brute_force({i: t or "" for i, t in texts})
 
 
