@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,13 @@ def subset(rows: DataFrame, chosen: DataFrame, key: str = "row_id") -> DataFrame
     return rows.join(chosen.select(key), key, "left_semi")
 
 
+def pca(rows: DataFrame, k: int, features: str = "features") -> DataFrame:
+    """The first k principal components instead of the features: a linear embedding to cluster in."""
+    ready = rows.withColumn("_vector", array_to_vector(features))
+    model = PCA(k=k, inputCol="_vector", outputCol="_scores").fit(ready)
+    return model.transform(ready).withColumn(features, vector_to_array("_scores")).drop("_vector", "_scores")
+
+
 def uniform(seed: int, *parts: Column) -> Column:
     """A uniform number in [0, 1) that depends on its arguments only, not on partitions."""
     return F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 11).cast("double") / float(1 << 53)

@@ -100,7 +100,12 @@ SQL_FUNCTIONS = {
 }
 
 
+GRID_FUNCTION = """CREATE OR REPLACE TEMPORARY FUNCTION som_grid(m INT, n INT) RETURNS TABLE (neuron_id INT, grid_row INT, grid_col INT)
+RETURN SELECT u, u DIV n, u % n FROM (SELECT explode(sequence(0, m * n - 1)) AS u)"""
+
+
 def register(spark: SparkSession) -> None:
-    """The distances as temporary SQL functions."""
+    """The distances as temporary SQL functions, and the units of an m x n map as the table function som_grid(m, n)."""
+    spark.sql(GRID_FUNCTION)
     for name, (arguments, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS DOUBLE RETURN {body}")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gridscape.functions.vector import l2sq
 from gridscape.operators import gmm, gridops, kselect
 from gridscape.operators.assign import distance_matrix, grid_place, hit_map, nearest
-from gridscape.operators.density import grid_clusters
+from gridscape.operators.density import DensityModel, grid_clusters
+from gridscape.operators.som import SOMModel
 from gridscape.plans.planner import added_up
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, near_sql, plane, plane_sql, points, registry, shards_sql, sq, weights
 
@@ -49,6 +50,14 @@ def grid_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridops.smooth_table(_grid(spark, sf_dir), SIGMA).select("grid_row", "grid_col", F.round("density", 4).alias("density"))
 
 
+@query(f"{SMOOTH} SELECT row_id, round(sm.density / (SELECT max(density) FROM sm), 4) AS density FROM a JOIN sm ON sm.unit = a.unit")
+def density_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's density, 1 at the densest unit."""
+    rows = points(spark, sf_dir).drop("label")
+    model = DensityModel.from_som(SOMModel(weights(spark, sf_dir), ROWS, COLUMNS), 1.5).refit_density(rows)
+    return model.transform(rows).select("row_id", F.round("density", 4).alias("density"))
+
+
 @query(f"{OTSU} SELECT round(th, 4) AS threshold FROM th")
 def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridops.otsu_table(gridops.smooth_table(_grid(spark, sf_dir), SIGMA)).select(F.round("threshold", 4).alias("threshold"))

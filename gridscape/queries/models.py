@@ -197,7 +197,7 @@ def gap_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(kselect.gap_statistic(spark, sample, [2, 3, 4], 3), kselect.bic_k(spark, sample, [2, 3, 4]))], "k_gap int, k_bic int")
 
 
-@query()
+@query("SELECT label, least(count(*), 200 // any_value(k)) AS count FROM embeddings CROSS JOIN (SELECT max(label) + 1 AS k FROM embeddings) GROUP BY label")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kselect.stratified_sample(points(spark, sf_dir), "label", 200).groupBy("label").count()
 

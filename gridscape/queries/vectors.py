@@ -193,6 +193,12 @@ def init_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(seeds), V.l2sq("features", "weights") == 0).groupBy("unit").agg(F.max("row_id").alias("row_id"))
 
 
+@query("SELECT CAST(i AS INTEGER) AS unit, CAST(j AS INTEGER) AS dim, CASE WHEN bit_count(i & j) % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END * pow(2, -0.5) + 0.0 AS x FROM range(16) a(i), range(8) b(j)")
+def init_zero_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More units than features: scaled Hadamard rows between partial identities."""
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(seeding.zero(UNITS, 8, "hadamard")) for j, v in enumerate(row)], "unit int, dim int, x double")
+
+
 def _seeded(method: str, variant: str = "default"):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
         return long_form(codebook_table(spark, seeding.init_codebook(points(spark, sf_dir).select("row_id", "features"), method, UNITS, 7, variant=variant)), "unit", "weights", 6)
@@ -201,7 +207,7 @@ def _seeded(method: str, variant: str = "default"):
     return fn
 
 
-for _method, _variant in (("random", "default"), ("he", "default"), ("lecun", "default"), ("lsuv", "default"), ("lsuv", "svd"), ("zero", "hadamard"), ("kmeans", "default"), ("kmeans++", "default"), ("kde", "default"), ("kde_kmeans", "refine")):
+for _method, _variant in (("random", "default"), ("he", "default"), ("lecun", "default"), ("lsuv", "default"), ("lsuv", "svd"), ("kmeans", "default"), ("kmeans++", "default"), ("kde", "default"), ("kde_kmeans", "refine")):
     query()(_seeded(_method, _variant))
 
 
@@ -282,6 +288,17 @@ def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(points(spark, sf_dir).withColumn("v", prep.random_vector(3, 11)), "row_id", "v", 6)
 
 
-@query()
+@query("SELECT CAST(i AS INTEGER) AS unit, CAST(j AS INTEGER) AS dim, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM range(8) a(i), range(8) b(j)")
 def orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(codebook_table(spark, prep.orthonormal(np.random.default_rng(3).normal(size=(8, 8)))), "unit", "weights", 6)
+    """The products of the columns of an orthonormal matrix."""
+    q = prep.orthonormal(np.random.default_rng(3).normal(size=(12, 8)))
+    return long_form(codebook_table(spark, q.T @ q), "unit", "weights", 6)
+
+
+@query("SELECT true AS unit_variance")
+def lsuv_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That activations through the variance-scaled seeds have a variance within 0.1 of 1."""
+    rows = points(spark, sf_dir).select("row_id", "features")
+    book = codebook_table(spark, seeding.init_codebook(rows, "lsuv", UNITS, 7))
+    act = rows.crossJoin(F.broadcast(book)).agg(F.var_pop(V.dot("features", "weights")).alias("v"))
+    return act.select((F.abs(F.col("v") - 1) < 0.1 + 1e-9).alias("unit_variance"))

@@ -124,6 +124,13 @@ def test_preparation(spark):
     assert prep.edge_point(frame(spark, [[0.0], [1.0], [5.0]])).first().row_id == 2
 
 
+def test_pca(spark):
+    rows = frame(spark, [[float(i), 2.0 * i, 0.0] for i in range(20)])
+    got = prep.pca(rows, 1).orderBy("row_id").collect()
+    steps = np.diff([r.features[0] for r in got])
+    assert len(got[0].features) == 1 and np.allclose(np.abs(steps), np.sqrt(5))
+
+
 def test_order_statistics(spark):
     rng = np.random.default_rng(1)
     data = {g: sorted(rng.random(n).tolist()) for g, n in ((0, 9), (1, 4), (5, 1))}
@@ -141,6 +148,7 @@ def test_matrices():
 
 def test_sql_functions(spark):
     V.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM som_grid(2, 2) ORDER BY neuron_id").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)]
     assert spark.sql("SELECT vec_l2(array(0D, 0D), array(3D, 4D)), vec_l1(array(0D), array(-2D))").first()[:] == (5.0, 2.0)
 
 
