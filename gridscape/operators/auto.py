@@ -14,6 +14,7 @@ from gridscape.operators.gmm import DiagGMM
 from gridscape.operators.som import SOM, SOMModel
 from gridscape.schema import assemble, shape
 
+#: What results call the algorithms.
 NAMES = ("DenSOM", "KMeans", "GMM")
 
 

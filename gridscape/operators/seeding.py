@@ -124,7 +124,7 @@ def init_codebook(rows: DataFrame, method: str, k: int, seed: int = 0, wanted: s
     from gridscape.operators.lloyd import fit_rows
 
     n, d = shape(rows)
-    method = {"kmeans_plus_plus": "kmeans++", "som_plus_plus": "som++", "kdek_means": "kde_kmeans"}.get(method, method)
+    method = {"kmeans_plus_plus": "kmeans++", "farthest": "som++", "kdekmeans": "kde_kmeans"}.get(method, method)
     if method not in METHODS:
         raise InvalidInitMethod(method)
     if method == "random":

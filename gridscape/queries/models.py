@@ -156,7 +156,7 @@ def som_tree_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def som_tsk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def som_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).cluster_refined(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 
 
