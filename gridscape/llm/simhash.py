@@ -7,8 +7,8 @@ Each shard holds the fingerprints at home there and the visitors, runs a finer t
 emits only a spanning star of each local component, never its pairs. Stars join to components by label propagation with
 pointer jumping over tables in the shared folder.
 
-`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes little: there, documents meet only those of nearly their own
-length, fingerprints select candidate pairs, and a MinHash signature of word shingles judges each before it links.
+`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes little: there, texts meet only those of nearly their own
+length, the same tree selects candidate pairs among them, and a MinHash signature of word shingles judges each before it links.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LEAST_SHARDS = 8
 MOST_SHARDS = 4_096
 SAMPLE_PER_SHARD = 64
 LEAF = 64
+#: Rows that are compared with a leaf, and pairs that are judged, at a time.
+STRIP, JUDGED = 1 << 14, 4_096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -137,10 +139,14 @@ class Sets:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def link_within(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint, the index of its local component's root: links between one at home and any other."""
+def link_within(fps: np.ndarray, here: np.ndarray, asking: np.ndarray, radius: int, judge=None) -> np.ndarray:
+    """For each fingerprint, the index of its local component's root: links between the rows `here` and the rows `asking` of at most `radius` bits.
+
+    A tree over `here`; `asking` rows descend to both sides of a node where the triangle inequality can't rule one out. judge(i, j), if given, says
+    which of the near pairs link; a pair that others have joined meanwhile isn't judged.
+    """
     sets = Sets(len(fps))
-    todo = [(np.flatnonzero(home), np.arange(len(fps)))]
+    todo = [(here, asking)]
     while todo:
         here, asking = todo.pop()
         if len(here) == 0 or len(asking) == 0:
@@ -150,19 +156,31 @@ def link_within(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
             point, middle = vantage(fps[here])
             d, e = distance(fps[here], point).astype(np.int64), distance(fps[asking], point).astype(np.int64)
             split = 0 < int((d <= middle).sum()) < len(here)
-        if not split:
-            for k in range(0, len(asking), 1 << 14):
-                block = asking[k : k + (1 << 14)]
-                for x in range(0, len(here), LEAF):
-                    own = here[x : x + LEAF]
-                    i, j = np.nonzero(distance(fps[block][:, None], fps[own][None, :]) <= radius)
-                    sets.union(block[i], own[j])
+        if split:
+            todo.append((here[d <= middle], asking[e <= middle + radius]))
+            todo.append((here[d > middle], asking[e > middle - radius]))
             continue
-        todo.append((here[d <= middle], asking[e <= middle + radius]))
-        todo.append((here[d > middle], asking[e > middle - radius]))
+        for x in range(0, len(here), LEAF):
+            own = here[x : x + LEAF]
+            for k in range(0, len(asking), STRIP):
+                block = asking[k : k + STRIP]
+                i, j = np.nonzero(distance(fps[block][:, None], fps[own][None, :]) <= radius)
+                _join(sets, block[i], own[j], judge)
     return sets.find(np.arange(len(fps)))
 
 
+def _join(sets: Sets, i: np.ndarray, j: np.ndarray, judge) -> None:
+    if judge is None:
+        sets.union(i, j)
+        return
+    while len(i):
+        apart = sets.find(i) != sets.find(j)
+        i, j = i[apart], j[apart]
+        links = judge(i[:JUDGED], j[:JUDGED])
+        sets.union(i[:JUDGED][links], j[:JUDGED][links])
+        i, j = i[JUDGED:], j[JUDGED:]
+
+
 def _routed(nodes: list[tuple[int, int]], radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +196,7 @@ def _stars(radius: int):
         fps = rows["fp"].to_numpy()
         order = np.argsort(fps)
         fps, home = fps[order], rows["home"].to_numpy(zero_copy_only=False)[order]
-        root = link_within(fps.view(np.uint64), home, radius)
+        root = link_within(fps.view(np.uint64), np.flatnonzero(home), np.arange(len(fps)), radius)
         linked = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"u": pa.array(fps[linked]), "v": pa.array(fps[root[linked]])})
 
@@ -278,32 +296,13 @@ def band(n: np.ndarray, least: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(1 / least) + 1e-9).astype(np.int32)
 
 
-def link_alike(fps: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """Each row's root: rows of `left` linked to rows of `right` that are near and alike; what is joined already isn't judged again."""
-    sets = Sets(len(fps))
-    for x in range(0, len(right), LEAF):
-        own = right[x : x + LEAF]
-        for y in range(0, len(left), 1 << 12):
-            block = left[y : y + (1 << 12)]
-            i, j = np.nonzero(distance(fps[block][:, None], fps[own][None, :]) <= radius)
-            i, j = block[i], own[j]
-            while len(i):
-                apart = sets.find(i) != sets.find(j)
-                i, j = i[apart], j[apart]
-                few = slice(0, 4096)
-                good = alike(sigs[i[few]], sigs[j[few]], least)
-                sets.union(i[few][good], j[few][good])
-                i, j = i[4096:], j[4096:]
-    return sets.find(np.arange(len(fps)))
-
-
 def _linked(radius: int, least: float):
     def run(rows: pa.Table) -> pa.Table:
         first, fps = rows["first"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
         order = np.argsort(first)
         sigs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, BINS)[order]
         left, right = (np.flatnonzero(np.isin(rows["side"].to_numpy()[order], sides)) for sides in ((0, 2), (1, 2)))
-        root = link_alike(fps[order], sigs, left, right, radius, least)
+        root = link_within(fps[order], right, left, radius, lambda i, j: alike(sigs[i], sigs[j], least))
         first = first[order]
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"u": pa.array(first[linked]), "v": pa.array(first[root[linked]])})
