@@ -7,8 +7,9 @@ Each shard holds the fingerprints at home there and the visitors, runs a finer t
 emits only a spanning star of each local component, never its pairs. Stars join to components by label propagation with
 pointer jumping over tables in the shared folder.
 
-`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes little: there, texts meet only those of nearly their own
-length, the same tree selects candidate pairs among them, and a MinHash signature of word shingles judges each before it links.
+`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes nothing: there, every text meets all of nearly its own
+length. A MinHash signature of the set of word shingles judges the pairs, behind a bound on the bits of the signature that no pair it would let pass
+can exceed; pairs whose estimate is near the threshold are settled by the exact similarity of the sets.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ LEAST_SHARDS = 8
 MOST_SHARDS = 4_096
 SAMPLE_PER_SHARD = 64
 LEAF = 64
-#: Rows that are compared with a leaf, and pairs that are judged, at a time.
-STRIP, JUDGED = 1 << 14, 4_096
+#: Rows that are compared with a leaf at a time.
+STRIP = 1 << 14
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,11 +140,10 @@ class Sets:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def link_within(fps: np.ndarray, here: np.ndarray, asking: np.ndarray, radius: int, judge=None) -> np.ndarray:
+def link_within(fps: np.ndarray, here: np.ndarray, asking: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint, the index of its local component's root: links between the rows `here` and the rows `asking` of at most `radius` bits.
 
-    A tree over `here`; `asking` rows descend to both sides of a node where the triangle inequality can't rule one out. judge(i, j), if given, says
-    which of the near pairs link; a pair that others have joined meanwhile isn't judged.
+    A tree over `here`; `asking` rows descend to both sides of a node where the triangle inequality can't rule one out.
     """
     sets = Sets(len(fps))
     todo = [(here, asking)]
@@ -165,22 +165,10 @@ def link_within(fps: np.ndarray, here: np.ndarray, asking: np.ndarray, radius: i
             for k in range(0, len(asking), STRIP):
                 block = asking[k : k + STRIP]
                 i, j = np.nonzero(distance(fps[block][:, None], fps[own][None, :]) <= radius)
-                _join(sets, block[i], own[j], judge)
+                sets.union(block[i], own[j])
     return sets.find(np.arange(len(fps)))
 
 
-def _join(sets: Sets, i: np.ndarray, j: np.ndarray, judge) -> None:
-    if judge is None:
-        sets.union(i, j)
-        return
-    while len(i):
-        apart = sets.find(i) != sets.find(j)
-        i, j = i[apart], j[apart]
-        links = judge(i[:JUDGED], j[:JUDGED])
-        sets.union(i[:JUDGED][links], j[:JUDGED][links])
-        i, j = i[JUDGED:], j[JUDGED:]
-
-
 def _routed(nodes: list[tuple[int, int]], radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,33 +250,46 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return rows.withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
 
 
-LIKE, LIKE_SHINGLE, LIKE_RADIUS, BINS = 0.8, 5, 14, 256
+LIKE, LIKE_SHINGLE, BINS = 0.8, 5, 256
 BAND_BLOCK = 16_384
+#: Standard errors of a signature's estimate, on either side of the threshold, within which the exact similarity decides.
+ERRORS = 5
+#: Rows of either side that are compared, and pairs that are judged by signature and by their sets, at a time.
+TILE, JUDGED, SETTLED = 512, 4_096, 512
 
 
-def signatures(raw: np.ndarray, at: np.ndarray, shingle: int = LIKE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, BINS values of 16 bits) of each text: the least shingle hash of each bin, 0 for an empty bin."""
-    n, out = np.zeros(len(at) - 1, np.int64), np.zeros((len(at) - 1, BINS), np.uint16)
+def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = LIKE_SHINGLE) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, rising; a text shorter than a shingle is one, a text without words has none."""
     for i, j in slices(at):
         part = _LOWER[raw[at[i] : at[j]]]
         starts, ends, first = words(part, at[i : j + 1] - at[i])
         h = word_hashes(part, starts, ends)
         grams = gram_hashes(h, shingle)
-        for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            own = np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else gram_hashes(h[a:b], b - a) if b > a else h[:0]
-            if not len(own):
-                continue
-            n[i + k] = len(own)
-            bins = (own >> np.uint64(56)).astype(np.int64)
-            least = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of each bin is its least
-            out[i + k, bins[least]] = mix(own[least]) % np.uint64(65535) + np.uint64(1)
-    return n, out
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else gram_hashes(h[a:b], b - a) if b > a else h[:0]
+
+
+def signatures(sets: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of distinct shingles, BINS values of 16 bits) of each of n sets: the least shingle hash of each bin, 0 for an empty bin."""
+    size, out = np.zeros(n, np.int64), np.zeros((n, BINS), np.uint16)
+    for k, own in enumerate(sets):
+        size[k] = len(own)
+        bins = (own >> np.uint64(56)).astype(np.int64)
+        least = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of each bin is its least
+        out[k, bins[least]] = mix(own[least]) % np.uint64(65535) + np.uint64(1)
+    return size, out
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether the estimated Jaccard similarity of signatures, row by row, reaches `least`."""
-    some = (a != 0) | (b != 0)
-    return (some & (a == b)).sum(axis=1) >= least * some.sum(axis=1)
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity of signatures, row by row; two empty ones are alike."""
+    some = ((a != 0) | (b != 0)).sum(axis=1)
+    return np.where(some > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(shared, all) of two rising arrays of distinct values."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both, len(a) + len(b) - both
 
 
 def band(n: np.ndarray, least: float) -> np.ndarray:
@@ -296,23 +297,100 @@ def band(n: np.ndarray, least: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(1 / least) + 1e-9).astype(np.int32)
 
 
-def _linked(radius: int, least: float):
+def margin(least: float) -> float:
+    return ERRORS * float(np.sqrt(least * (1 - least) / BINS))
+
+
+def candidates(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, low: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of left and right rows: no pair with an estimate of `low` or more is missing.
+
+    Of such a pair at most (1 - low) / low times the filled bins of either differ, as at least `low` of the bins filled in one or the other agree;
+    and no more of the values' last bits differ than of the values.
+    """
+    bits = np.packbits(sigs & np.uint16(1), axis=1).view(np.uint64).T.copy()
+    most = np.minimum((1 - low) * BINS, (1 - low) / low * (sigs != 0).sum(axis=1)) + 1e-6
+    most = most.astype(np.uint8)
+    for x in range(0, len(right), TILE):
+        own = right[x : x + TILE]
+        for y in range(0, len(left), TILE):
+            block = left[y : y + TILE]
+            d = distance(bits[0, block][:, None], bits[0, own][None, :])
+            for k in range(1, len(bits)):
+                d += distance(bits[k, block][:, None], bits[k, own][None, :])  # 256 is 0, which only lets a pair pass
+            i, j = np.nonzero(d <= most[own][None, :])
+            if len(i):
+                yield block[i], own[j]
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by first, left rows, right rows) of a task."""
+    order = np.argsort(rows["first"].to_numpy())
+    side = rows["side"].to_numpy()[order]
+    return order, np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+
+
+def _linked(least: float):
+    """Links of pairs whose estimate is surely high enough; and the rows of which some pair, apart so far, is too near the threshold to tell."""
+    low, high = least - margin(least), least + margin(least)
+
     def run(rows: pa.Table) -> pa.Table:
-        first, fps = rows["first"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(first)
+        order, left, right = _sides(rows)
+        first = rows["first"].to_numpy()[order]
         sigs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, BINS)[order]
-        left, right = (np.flatnonzero(np.isin(rows["side"].to_numpy()[order], sides)) for sides in ((0, 2), (1, 2)))
-        root = link_within(fps[order], right, left, radius, lambda i, j: alike(sigs[i], sigs[j], least))
-        first = first[order]
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": pa.array(first[linked]), "v": pa.array(first[root[linked]])})
+        sets, open_ = Sets(len(first)), np.zeros(len(first), bool)
+        for i, j in candidates(sigs, left, right, low):
+            while len(i):
+                apart = sets.find(i) != sets.find(j)
+                i, j = i[apart], j[apart]
+                a, b = i[:JUDGED], j[:JUDGED]
+                near = estimates(sigs[a], sigs[b])
+                sure, unsure = near >= min(high, 1.0), near >= low
+                sets.union(a[sure], b[sure])
+                open_[a[unsure & ~sure]] = open_[b[unsure & ~sure]] = True
+                i, j = i[JUDGED:], j[JUDGED:]
+        root = sets.find(np.arange(len(first)))
+        told = np.flatnonzero(open_ | (root != np.arange(len(first))))
+        task = {k: rows[k].take(pa.array(order[told])) for k in ("b", "r", "c", "l", "side")}
+        return pa.table({**task, "first": pa.array(first[told]), "root": pa.array(first[root[told]]), "unsure": pa.array(open_[told])})
+
+    return run
+
+
+def _settled(least: float, shingle: int):
+    """Links of the unsure rows of a task by the exact similarity of their sets, beyond those it had found."""
+    low = least - margin(least)
+
+    def run(rows: pa.Table) -> pa.Table:
+        order, left, right = _sides(rows)
+        first, root = rows["first"].to_numpy()[order], rows["root"].to_numpy()[order]
+        raw, at = utf8(one_array(rows["text"]).take(pa.array(order)))
+        own = list(shingle_sets(raw, at, shingle))
+        _, sigs = signatures(iter(own), len(own))
+        sets = Sets(len(first))
+        _, head, group = np.unique(root, return_index=True, return_inverse=True)
+        sets.union(np.arange(len(first)), head[group])
+        for i, j in candidates(sigs, left, right, low):
+            while len(i):
+                apart = sets.find(i) != sets.find(j)
+                i, j = i[apart], j[apart]
+                a, b = i[:SETTLED], j[:SETTLED]
+                near = estimates(sigs[a], sigs[b]) >= low
+                a, b = a[near], b[near]
+                counts = np.array([jaccard(own[x], own[y]) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+                links = counts[:, 0] >= least * counts[:, 1] - 1e-9
+                sets.union(a[links], b[links])
+                i, j = i[SETTLED:], j[SETTLED:]
+        found = sets.find(np.arange(len(first)))
+        new = np.flatnonzero(found != np.arange(len(first)))
+        return pa.table({"u": pa.array(first[new]), "v": pa.array(first[found[new]])})
 
     return run
 
 
-def similar_groups(docs: DataFrame, *, least: float = LIKE, shingle: int = 3, like_shingle: int = LIKE_SHINGLE, radius: int = LIKE_RADIUS, block: int = BAND_BLOCK) -> DataFrame:
-    """doc_id, component_id of every row: equal lower-case texts are linked, and texts whose fingerprints differ in at most `radius` bits and whose
-    sets of `like_shingle` words have an estimated Jaccard similarity of `least` or more.
+def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int = LIKE_SHINGLE, block: int = BAND_BLOCK) -> DataFrame:
+    """doc_id, component_id of every row: equal lower-case texts are linked, and texts whose sets of `like_shingle` words have a Jaccard similarity of
+    `least` or more. All pairs of texts of nearly equal numbers of distinct shingles are looked at. A 256-bin signature's estimate decides where it is
+    ERRORS standard errors or more away from `least`, the sets themselves nearer to it.
 
     Equal texts collapse first. Bands of length, split by hash into blocks of bounded expected size, meet block by block within a band and with the band above,
     so one length that a third of all texts have is dealt over many tasks. Null texts are empty, and empty texts equal; rows of a null doc_id
@@ -322,16 +400,16 @@ def similar_groups(docs: DataFrame, *, least: float = LIKE, shingle: int = 3, li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(1))
-            n, sigs = signatures(raw, at, like_shingle)
-            found = text_fingerprints(raw, at, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64)), pa.array(n), pa.array(band(n, least)), pa.array([x.tobytes() for x in sigs], pa.binary())], ["doc_id", "same", "fp", "n", "band", "signature"])
+            n, sigs = signatures(shingle_sets(raw, at, like_shingle), len(at) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(band(n, least)), pa.array([x.tobytes() for x in sigs], pa.binary())], ["doc_id", "same", "also", "n", "band", "signature"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("same"))
-    found = cut(rows.mapInArrow(run, "doc_id long, same long, fp long, n long, band int, signature binary"))
-    key = ["same", "fp", "n"]
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(lower).alias("same"), F.xxhash64(F.lit(1), lower).alias("also"))
+    found = cut(rows.mapInArrow(run, "doc_id long, same long, also long, n long, band int, signature binary"))
+    key = ["same", "also", "n"]
     classes = cut(found.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("first")))
-    nodes = cut(found.withColumnRenamed("doc_id", "first").join(classes, [*key, "first"], "left_semi").dropDuplicates(["first"]).select("first", "fp", "band", "signature"))
+    nodes = cut(found.withColumnRenamed("doc_id", "first").join(classes, [*key, "first"], "left_semi").dropDuplicates(["first"]).select("first", "same", "also", "band", "signature"))
     # bounded: a band of length is a factor 1 / least, so there are a few hundred at most
     sizes = {r.band: r["count"] for r in nodes.groupBy("band").count().collect()}
     blocks = {b: max(1, -(-c // block)) for b, c in sizes.items()}
@@ -345,8 +423,14 @@ def similar_groups(docs: DataFrame, *, least: float = LIKE, shingle: int = 3, li
         F.transform(F.when(above.isNotNull(), F.sequence(F.lit(0), above - 1)).otherwise(none), lambda k: meet((F.col("band") + 1).alias("b"), k.alias("r"), F.col("band").alias("c"), F.col("part").alias("l"), F.lit(0).alias("side"))),
         F.transform(F.when(parts[F.col("band") - 1].isNotNull(), F.sequence(F.lit(0), parts[F.col("band") - 1] - 1)).otherwise(none), lambda k: meet(F.col("band").alias("b"), F.col("part").alias("r"), (F.col("band") - 1).alias("c"), k.alias("l"), F.lit(1).alias("side"))),
     )
-    dealt = placed.withColumn("task", F.explode(tasks)).select("first", "fp", "signature", F.col("task.b").alias("b"), F.col("task.r").alias("r"), F.col("task.c").alias("c"), F.col("task.l").alias("l"), F.col("task.side").alias("side"))
-    state = components(dealt.groupBy("b", "r", "c", "l").applyInArrow(_linked(radius, least), "u long, v long"))
+    dealt = placed.withColumn("task", F.explode(tasks)).select("first", "signature", F.col("task.b").alias("b"), F.col("task.r").alias("r"), F.col("task.c").alias("c"), F.col("task.l").alias("l"), F.col("task.side").alias("side"))
+    told = cut(dealt.groupBy("b", "r", "c", "l").applyInArrow(_linked(least), "b int, r int, c int, l int, side int, first long, root long, unsure boolean"))
+    unsure = told.where("unsure").drop("unsure")
+    asked = unsure.select("first").distinct().join(nodes.select("first", "same", "also"), "first")
+    texts = rows.withColumnRenamed("doc_id", "first").join(asked, ["first", "same", "also"], "left_semi").select("first", "text").dropDuplicates(["first"])
+    settled = unsure.join(texts, "first").groupBy("b", "r", "c", "l").applyInArrow(_settled(least, like_shingle), "u long, v long")
+    edges = told.where("first <> root").select(F.col("first").alias("u"), F.col("root").alias("v")).unionByName(settled)
+    state = components(edges)
     named = classes.join(state, F.col("first") == F.col("node"), "left").select(*key, F.coalesce("label", "first").alias("component_id"))
     return found.select("doc_id", *key).join(named, key, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

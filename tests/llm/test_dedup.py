@@ -113,6 +113,33 @@ def test_similar_groups(spark):
                     assert got[i] != got[j]
 
 
+def test_similar_groups_are_those_of_the_definition(spark):
+    """Pairs a little above and below the threshold: blocks replaced, passages repeated another number of times, scattered words changed."""
+    rng = np.random.default_rng(7)
+    new = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    texts: list[tuple[int, str]] = []
+
+    def pair(a: list[str], b: list[str]) -> None:
+        texts.extend([(len(texts), " ".join(a)), (len(texts) + 1, " ".join(b))])
+
+    for size in (20, 45, 150, 400, 1500):
+        for _ in range(40):
+            base, at = new(size), int(rng.integers(0, size // 2))
+            block = max(1, round(size * rng.uniform(0.06, 0.14)))
+            pair(base, base[:at] + new(block) + base[at + block :])
+            pair(base := new(size), base + new(round(size * rng.uniform(0.15, 0.32))))
+    for size in (30, 100):
+        p, q = new(size), new(size)
+        pair(p + q * 6, p * 6 + q)
+    want = {i: i for i, _ in texts}
+    for (i, a), (j, b) in zip(texts[::2], texts[1::2], strict=True):
+        if jaccard(a, b) >= 0.8:
+            want[j] = i
+    assert 150 < sum(i != j for i, j in want.items()) < 350
+    for block in (100, simhash.BAND_BLOCK):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts), block=block).collect()} == want
+
+
 def test_keep_first(spark):
     docs = documents(spark, [*EDGES, (30, "Two  words"), (31, "two words"), (32, "TWO  words")], True)
     kept = simhash.keep_first(docs)
