@@ -95,14 +95,55 @@ def lloyd(step, c: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, f
     return c, float(step(c)[:, 1].sum()), passes
 
 
-def d2_sampling(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def row_hashes(ids: np.ndarray, *values: int) -> np.ndarray:
+    """Spark's xxhash64 of a long and ints, so that a task orders and draws rows as a plan of Columns does."""
+    lane = _rotated(np.asarray(ids, np.int64).view(np.uint64) * _P[1], 31) * _P[0]
+    h = _finished(_rotated(lane ^ (np.uint64(42 + 8) + _P[4]), 27) * _P[0] + _P[3])
+    for v in values:
+        lane = np.array([v & 0xFFFFFFFF], np.uint64) * _P[0]
+        h = _finished(_rotated((h + _P[4] + np.uint64(4)) ^ lane, 23) * _P[1] + _P[2])
+    return h.view(np.int64)
+
+
+def hashed_order(ids: np.ndarray, *values: int) -> np.ndarray:
+    return np.lexsort((ids, row_hashes(ids, *values)))
+
+
+def drawn(ids: np.ndarray, near: np.ndarray, taken: list[int], seed: int, turn: int) -> tuple[int, float, float]:
+    """(row, key, second key): the row of least key is drawn with probability in proportion to `near`, whatever the parts the rows lie in.
+
+    An exponential race: a row's time is drawn by the hash of its id, seed and turn, and runs at the speed of its weight. Rows without
+    weight come last, those taken before last of all.
+    """
+    time = -np.log(((row_hashes(ids, seed, turn).view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+    time = np.where(np.isin(ids, np.array(taken, np.int64)), np.inf, time)
+    key = np.full(len(ids), np.inf)
+    np.divide(time, near, out=key, where=near > 0)
+    best = int(np.lexsort((ids, time, key))[0])
+    return best, float(key[best]), float(time[best])
+
+
+def d2_sampling(x: np.ndarray, k: int, ids: np.ndarray, seed: int) -> np.ndarray:
     """k-means++ proper: each next seed with probability in proportion to its squared distance to the chosen."""
-    chosen = [int(rng.integers(len(x)))]
-    near = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    chosen: list[int] = []
+    near = np.ones(len(x))
     while len(chosen) < k:
-        total = near.sum()
-        chosen.append(int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x))))
-        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(drawn(ids, near, [int(ids[i]) for i in chosen], seed, len(chosen))[0])
+        d2 = ((x - x[chosen[-1]]) ** 2).sum(axis=1)
+        near = d2 if len(chosen) == 1 else np.minimum(near, d2)
     return x[chosen]
 
 

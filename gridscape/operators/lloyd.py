@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from gridscape.errors import AlreadyFitted, InvalidClusterCount, InvalidInitMethod
 from gridscape.operators import kernels
 from gridscape.operators.assign import codebook_table, nearest, nearest_column
-from gridscape.operators.seeding import farthest_rows, global_range
-from gridscape.plans.planner import added_up, in_one_task, plan, vectors
+from gridscape.operators.seeding import d2_rows, farthest_rows, global_range
+from gridscape.plans.planner import added_up, in_one_task, plan
 from gridscape.schema import FeatureSpec, assemble, check_width, shape
 
 
@@ -57,18 +57,19 @@ class KMeans:
         return model
 
 
-def seeds(x: np.ndarray, k: int, init: str, seed: int) -> np.ndarray:
+def seeds(x: np.ndarray, k: int, init: str, seed: int, ids: np.ndarray | None = None) -> np.ndarray:
+    """ids: of the rows, their positions if not given; D^2 sampling draws by them."""
     if init == "farthest":
         return x[kernels.farthest_points(x, k)]
-    rng = np.random.default_rng(seed)
     if init == "d2":
-        return kernels.d2_sampling(x, k, rng)
+        return kernels.d2_sampling(x, k, np.arange(len(x)) if ids is None else ids, seed)
+    rng = np.random.default_rng(seed)
     low, high = x.min(), x.max()
     return rng.uniform(low, high if high - low >= 1e-12 else low + 1e-6, (k, x.shape[1]))
 
 
-def fit_array(x: np.ndarray, k: int, init: str = "farthest", max_iter: int = 300, tol: float = 1e-6, seed: int = 0, initial: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-    start = np.array(initial, float) if initial is not None else seeds(x, k, init, seed)
+def fit_array(x: np.ndarray, k: int, init: str = "farthest", max_iter: int = 300, tol: float = 1e-6, seed: int = 0, initial: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+    start = np.array(initial, float) if initial is not None else seeds(x, k, init, seed, ids)
     return kernels.lloyd(lambda c: kernels.lloyd_sums(x, c), start, max_iter, tol)
 
 
@@ -84,11 +85,11 @@ def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 30
         check_width(rows, np.shape(initial)[1])
     if plan(n, d, wanted) == "local":
 
-        def solve(x: np.ndarray) -> dict[str, np.ndarray]:
-            c, inertia, passes = fit_array(x, k, init, max_iter, tol, seed, initial)
+        def solve(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+            c, inertia, passes = fit_array(x, k, init, max_iter, tol, seed, initial, ids)
             return {"centers": c, "inertia": np.array([inertia]), "passes": np.array([passes])}
 
-        found = in_one_task(rows, solve)
+        found = in_one_task(rows, solve, with_ids=True)
         return KMeansModel(found["centers"], float(found["inertia"][0]), int(found["passes"][0]))
     rows = rows.persist()
     try:
@@ -96,9 +97,8 @@ def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 30
             start = np.array(initial, float)
         elif init == "farthest":
             start = farthest_rows(rows, k)
-        elif init == "d2":  # over a bounded sample by hash of the row
-            sample = rows.orderBy(F.xxhash64("row_id", F.lit(seed))).limit(max(10_000, 20 * k)).toArrow()
-            start = seeds(vectors(sample["features"]), k, init, seed)
+        elif init == "d2":
+            start = d2_rows(rows, k, seed)
         else:
             low, high = global_range(rows)
             start = np.random.default_rng(seed).uniform(low, high if high - low >= 1e-12 else low + 1e-6, (k, d))

@@ -88,6 +88,28 @@ def farthest_rows(rows: DataFrame, k: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def d2_rows(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Distributed D^2 sampling over all rows: k narrow passes, each batch answering with the one row it draws; the same rows as in one task."""
+    chosen: list[np.ndarray] = []
+    taken: list[int] = []
+    while len(chosen) < k:
+        book, skip = np.array(chosen), list(taken)
+
+        def run(batches, book=book, skip=skip):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, ids = vectors(b.column(1)), b.column(0).to_numpy()
+                near = np.min([((x - c) ** 2).sum(axis=1) for c in book], axis=0) if len(book) else np.ones(len(x))
+                best, key, time = kernels.drawn(ids, near, skip, seed, len(book))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([time]), pa.array(ids[[best]]), b.column(1).take(pa.array([best]))], ["key", "time", "row_id", "features"])
+
+        r = rows.select("row_id", "features").mapInArrow(run, "key double, time double, row_id long, features array<double>").orderBy("key", "time", "row_id").first()
+        chosen.append(np.array(r.features))
+        taken.append(r.row_id)
+    return np.array(chosen)
+
+
 def gram(rows: DataFrame) -> np.ndarray:
     """[n, sum x, sum x x^T] as one bordered matrix, by one narrow pass and a sum."""
 

@@ -143,17 +143,16 @@ class SOM:
         if self.algorithm == "batch_map":
             w = self._batch_map(rows, w, epochs, schedule, count)
         elif one_by_one or plan(count, d, self.plan) == "local":
-            w = in_one_task(rows, lambda x: {"w": self._train(x, w, epochs, shuffle, size, total, schedule, one_by_one)})["w"]
+            w = in_one_task(rows, lambda x, ids: {"w": self._train(x, ids, w, epochs, shuffle, size, total, schedule, one_by_one)}, with_ids=True)["w"]
         else:
             w = self._distributed(rows, w, epochs, shuffle, size, total, schedule, count)
         return SOMModel(w, self.m, self.n, self.distance, self.learning_rate, self.neighbor_radius, schedule.end(), features)
 
-    def _train(self, x: np.ndarray, w: np.ndarray, epochs: int, shuffle: bool, size: int, total: int, schedule: kernels.Schedule, one_by_one: bool) -> np.ndarray:
-        rng = np.random.default_rng(self.seed)
-        done = 0
-        for _ in range(epochs):
+    def _train(self, x: np.ndarray, ids: np.ndarray, w: np.ndarray, epochs: int, shuffle: bool, size: int, total: int, schedule: kernels.Schedule, one_by_one: bool) -> np.ndarray:
+        whole, done = x, 0
+        for epoch in range(epochs):
             if shuffle:
-                x = x[rng.permutation(len(x))]
+                x = whole[kernels.hashed_order(ids, self.seed + epoch)]
             for i in range(0, len(x), size):
                 batch = x[i : min(i + size, i + total - done)]
                 g = np.arange(done, done + len(batch), dtype=float)

@@ -37,17 +37,21 @@ def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (x.shape[1] if x.ndim > 1 else 0), pa.int32()), flat)
 
 
-def in_one_task(rows: DataFrame, solve: Callable[[np.ndarray], dict[str, np.ndarray]], order: str = "row_id") -> dict[str, np.ndarray]:
-    """Run solve over the feature matrix, rows in order, in one executor task; its arrays come back. For inputs within LOCAL_BYTES."""
+def in_one_task(rows: DataFrame, solve: Callable[..., dict[str, np.ndarray]], order: str = "row_id", with_ids: bool = False) -> dict[str, np.ndarray]:
+    """Run solve over the feature matrix (and the values of `order`), rows in order, in one executor task; its arrays come back. For inputs within LOCAL_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [vectors(b.column(0)) for b in batches if b.num_rows]
+        found, ids = [], [np.zeros(0, np.int64)]
+        for b in batches:
+            if b.num_rows:
+                found.append(vectors(b.column(0)))
+                ids += [b.column(1).to_numpy(zero_copy_only=False)] if with_ids else []
         x = np.concatenate(found) if found else np.zeros((0, 0))
-        for name, value in solve(x).items():
+        for name, value in (solve(x, np.concatenate(ids)) if with_ids else solve(x)).items():
             value = np.asarray(value, dtype=np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(value.shape)], pa.list_(pa.int64())), pa.array([value.ravel()], pa.list_(pa.float64()))], ["name", "shape", "data"])
 
-    sorted_rows = rows.select(order, "features").repartition(1).sortWithinPartitions(order).select("features")
+    sorted_rows = rows.select(order, "features").repartition(1).sortWithinPartitions(order).select("features", *([order] if with_ids else []))
     return {r.name: np.array(r.data).reshape(r.shape) for r in sorted_rows.mapInArrow(run, "name string, shape array<long>, data array<double>").collect()}
 
 

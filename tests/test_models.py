@@ -51,6 +51,32 @@ def test_lloyd_cases(spark):
     assert np.array_equal(kept.centers[1], [1e6, 1e6])  # an empty cluster keeps its centre
 
 
+def test_row_hashes_are_those_of_spark(spark):
+    ids = np.array([0, 1, -1, 7, 2**40, -(2**62)], np.int64)
+    got = spark.createDataFrame([(i,) for i in ids.tolist()], "i long").select(*[F.xxhash64("i", *map(F.lit, v)).alias(str(v)) for v in ((), (3,), (-5, 9))]).collect()
+    for k, v in enumerate(((), (3,), (-5, 9))):
+        assert [r[k] for r in got] == kernels.row_hashes(ids, *v).tolist()
+
+
+def test_d2_seeds_from_all_rows_on_either_plan(spark):
+    """One far row of 12 000 that no sample of 10 000 by hash of the row would hold."""
+    x = np.random.default_rng(0).normal(size=(12_000, 2))
+    far = int(np.argsort(kernels.row_hashes(np.arange(len(x)), 0))[-1])
+    x[far] = 1e6
+    rows = frame(spark, x).repartition(3)
+    found = [lloyd.fit_rows(rows, 2, "d2", max_iter=0 if k else 20, wanted=plan).centers for k in (0, 1) for plan in ("local", "distributed")]
+    for a, b in (found[:2], found[2:]):
+        assert np.allclose(a, b)
+        assert np.abs(a - 1e6).max(axis=1).min() < 1
+
+
+def test_shuffled_map_is_the_same_on_either_plan(spark):
+    rows = frame(spark, sine(150, 3)).repartition(3)
+    local, spread = (SOM(3, 3, init="zero", seed=2, plan=plan).fit(rows, 2) for plan in ("local", "distributed"))
+    assert np.allclose(local.weights, spread.weights, atol=1e-9)
+    assert not np.allclose(local.weights, SOM(3, 3, init="zero", seed=2).fit(rows, 2, False).weights, atol=1e-6)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(2, 40), st.integers(1, 4), st.integers(0, 10**6))
 def test_lloyd_inertia_never_rises(n, k, seed):
