@@ -4,9 +4,9 @@ Documents, in the order in which a partition holds them, form one run of token i
 of a document (free), at the end of a sentence, or, where neither is near, at one of a grid of places inside a sentence (dearer). With
 f(j) the least cost of cutting the run up to place j,
 
-    f(j) = penalty(j) + window + min( min over i >= j - capacity of f(i) + i  + capacity - j,  f(j - 2^k) for the larger powers of two )
+    f(j) = penalty(j) + window + min( min over i >= j - capacity of f(i) + i  + capacity - j,  f(j - 2^k) for each power of two )
 
-since a window is padded to the capacity unless its length is a power of two; powers below an eighth of the capacity give windows too short to want. The inner minimum slides, so a monotone queue finds it in constant time.
+since a window is padded to the capacity unless its length is a power of two. The inner minimum slides, so a monotone queue finds it in constant time.
 Nothing is shuffled, and a task holds only a chunk of the run: the last window of a chunk is open and goes on with the next.
 """
 
@@ -34,8 +34,8 @@ INSIDE_PENALTY = 8
 #: What any window costs beside its padding, so that short ones don't multiply.
 WINDOW_PENALTY = 32
 GRID = 16
-#: A window that isn't padded has at least this part of the capacity.
-SHORTEST = 8
+#: A window that isn't padded has at least this part of the capacity: one token, so that every power of two counts.
+SHORTEST = CAPACITY
 CHUNK_TOKENS = 1 << 19
 #: Characters on which both libraries split alike; a text with any other, or with a special token's string, goes to `tokenizers`.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ſ]|<\\|endoftext\\|>")

@@ -43,6 +43,18 @@ def test_cuts_are_optimal(seed, n):
     assert cost == want == own and max(sizes) <= 32 and cuts[0] == 0 and cuts[-1] == places[-1]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60))
+def test_every_power_of_two_is_unpadded(seed, n):
+    rng = random.Random(seed)
+    places = np.cumsum([0, *(rng.choice([1, 2, 3, 31, 32, 64, 100]) for _ in range(n))]).tolist()
+    pen = [0] + [rng.choice([0, 2, 8]) for _ in range(n)]
+    f = {0: 0}
+    for j, p in list(zip(places, pen, strict=True))[1:]:
+        f[j] = p + packing.WINDOW_PENALTY + min(f[i] + (0 if (j - i).bit_count() == 1 else 1024 - (j - i)) for i in places if i < j <= i + 1024)
+    assert packing.best_cuts(np.array(places), np.array(pen))[1] == f[places[-1]]
+
+
 @pytest.mark.parametrize("chunk", [64, packing.CHUNK_TOKENS])
 def test_every_id_lies_in_one_piece(spark, chunk):
     rows = corpus(50, 2) + [(100 + i, t) for i, t in enumerate([None, "", "日本語 text", "<|endoftext|>", "z" * 4000, "Long. " * 900])]
