@@ -12,12 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -61,6 +64,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame) -> list[Column] | None:
+    """What sorts the rows of a table of part files as they were written, whatever the order in which Spark reads the files; None for other frames."""
+    try:
+        about = df.metadataColumn("_metadata")
+        order = [F.length(about.getField("file_path")), about.getField("file_path"), about.getField("row_index")]  # part-99999 before part-100000
+        df.select(*order).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return order
+
+
+def bounded(batch: pa.RecordBatch, *texts: int, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most `rows` rows and about `most` bytes of the columns of those numbers; a longer text has a slice of its own."""
+    n = batch.num_rows
+    sizes = np.zeros(n, np.int64)
+    for k in texts:
+        sizes += pc.fill_null(pc.binary_length(one_array(batch.column(k))), 0).to_numpy().astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    i = 0
+    while i < n:
+        j = max(i + 1, min(i + rows, int(np.searchsorted(at, at[i] + most, side="right")) - 1))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def one_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

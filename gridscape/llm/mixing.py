@@ -5,6 +5,8 @@ to the cumulative demand D(t) = target * ((1 - slope) t + slope t^2). A source's
 until the target is met, each begin at a cumulative offset; the training position of a document is D^-1 of that offset, found by
 the quadratic's closed form. Sorting by position by range gives the training order.
 
+Documents are taken whole: the one at which a source's target ends is in the mix if at least half of it lies before that end.
+
 Prefix sums never gather a source in one task: documents fall by hash into buckets of a bounded expected size, whose sums are added up first.
 """
 
@@ -48,12 +50,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = (0.0, 0.5, -0.5), *, seed: int = 8, most: int = PASSES, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, passes, part, offset, and the columns named in `keep`.
+    """One row per document: doc_id, source, size, source_size, target, taken, passes, more, offset, and the columns named in `keep`.
 
-    taken = passes * size + part: `passes` whole repeats and `part` words of one more, cut where the source's whole target ends, so a source's
-    taken words sum to its target rounded down. A null text has size 0 and is taken 0 times; a null source is a source of its own, the last;
-    documents of one id follow each other by size, and exact repeats each count. No words at all: targets are 0.
-    Other columns, whatever their names, are left alone. An empty table gives an empty result. `slopes` is each source's schedule in turn, |slope| < 1.
+    taken = passes * size + more: `passes` whole repeats, and `more`, either the size or 0, for the last pass. The document at which a source's target
+    ends is taken if that brings the source nearer to its target, so taken words differ from the target by half of that document at most.
+    A null text has size 0 and is taken 0 times; a null source is a source of its own, the last; documents of one id follow each other by size, and
+    exact repeats each count. No words at all: targets are 0. Other columns, whatever their names, are left alone. An empty table gives an empty
+    result. `slopes` is each source's schedule in turn, |slope| < 1.
     """
     extra = [named(c).alias(f"keep_{c}") for c in keep or []]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -78,8 +81,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[flo
     goal_words = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal_words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rows = rows.withColumn("offset", offset).withColumn("passes", passes)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), goal_words - F.col("passes") * F.col("source_size") - F.col("offset")))
-    rows = rows.withColumn("part", part.cast("long")).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
+    middle = 2 * F.col("offset") + F.col("size")
+    more = F.when(middle <= 2 * (goal_words - F.col("passes") * F.col("source_size")), F.col("size")).otherwise(0)
+    rows = rows.withColumn("more", more.cast("long")).withColumn("taken", F.col("passes") * F.col("size") + F.col("more"))
     return rows.drop("bucket", "base", "buckets")
 
 
@@ -90,17 +94,19 @@ def position(offset: Column) -> Column:
     return F.when(F.col("slope") == 0, u).otherwise((F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * F.col("slope") * u)) - b) / (2 * F.col("slope")))
 
 
+def ordered(mixed: DataFrame) -> DataFrame:
+    """The rows of `mix` with `position`, where a document's first repeat begins, sorted by range of it; documents not taken have none and come first."""
+    placed = mixed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("offset"))))
+    return placed.repartitionByRange(F.col("position"), F.col("h")).sortWithinPartitions("position", "h")
+
+
 def training_order(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = (0.0, 0.5, -0.5), *, seed: int = 8, most: int = PASSES) -> DataFrame:
-    """The mix itself: the columns of docs, one row per document and pass, sorted by range of training position.
+    """The mix itself: the columns of docs, one row per document and pass, whole, sorted by range of training position.
 
-    A document beyond its source's target isn't there; the one that the target cuts is there with its first words, joined by spaces. Null and empty
-    texts take no part. See `mix` for the other cases.
+    Written to files, the order is that of the part files and of the rows in them, which `common.in_written_order` brings back. A document beyond its
+    source's target isn't there. Null and empty texts take no part. See `mix` for the other cases.
     """
     mixed = mix(docs, weights, slopes, seed=seed, most=most, keep=docs.columns)
-    copies = mixed.where(F.col("taken") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("part") > 0, 0).otherwise(1))))
+    copies = mixed.where(F.col("taken") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("more") > 0, 0).otherwise(1))))
     copies = copies.withColumn("position", position(F.col("pass") * F.col("source_size") + F.col("offset")))
-    cut = (F.col("pass") == F.col("passes")) & (F.col("part") < F.col("size"))
-    first = F.array_join(F.slice(F.filter(F.split(F.col("keep_text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
-    text = F.when(cut, first).otherwise(F.col("keep_text"))
-    columns = [(text if c == "text" else F.char_length(text).cast("long") if c == "n_chars" else named(f"keep_{c}")).alias(c) for c in docs.columns]
-    return copies.repartitionByRange(F.col("position"), F.col("h")).sortWithinPartitions("position", "h", "pass").select(*columns)
+    return copies.repartitionByRange(F.col("position"), F.col("h"), F.col("pass")).sortWithinPartitions("position", "h", "pass").select(*[named(f"keep_{c}").alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ f(j) the least cost of cutting the run up to place j,
     f(j) = penalty(j) + window + min( min over i >= j - capacity of f(i) + i  + capacity - j,  f(j - 2^k) for each power of two )
 
 since a window is padded to the capacity unless its length is a power of two. The inner minimum slides, so a monotone queue finds it in constant time.
-Nothing is shuffled, and a task holds only a chunk of the run: the last window of a chunk is open and goes on with the next.
+A task holds only a chunk of the run: the last window of a chunk is open and goes on with the next.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from gridscape.llm.common import ids as key_and_text
-from gridscape.llm.common import small_batches
+from gridscape.llm.common import named, small_batches
 
 CAPACITY = 1024
 SENTENCE_PENALTY = 2
@@ -37,8 +37,8 @@ GRID = 16
 #: A window that isn't padded has at least this part of the capacity: one token, so that every power of two counts.
 SHORTEST = CAPACITY
 CHUNK_TOKENS = 1 << 19
-#: Characters on which both libraries split alike; a text with any other, or with a special token's string, goes to `tokenizers`.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ſ]|<\\|endoftext\\|>")
+#: Characters on which both libraries split alike; a text with any other, or with an added token's string, goes to `tokenizers`.
+PLAIN = "[^\t\n\r\x20-\x7e¡-ſ]"
 
 
 @dataclass(frozen=True)
@@ -64,14 +64,15 @@ def _loaded(v: Vocabulary):
     ends = np.zeros(slow.get_vocab_size(), bool)
     for token, at in slow.get_vocab().items():
         ends[at] = token[-1:] in (".", "!", "?", "Ċ")  # the last is the line feed's letter in byte-level vocabularies
-    return slow, fast, ends
+    added = sorted((x.content for x in slow.get_added_tokens_decoder().values() if x.content), key=len, reverse=True)
+    return slow, fast, ends, re.compile("|".join([PLAIN, *map(re.escape, added)]))
 
 
 def encode(v: Vocabulary, text: str) -> np.ndarray:
-    slow, fast, _ = _loaded(v)
+    slow, fast, _, other = _loaded(v)
     if not text:
         return np.empty(0, np.uint32)
-    if fast is None or PLAIN.search(text):
+    if fast is None or other.search(text):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
@@ -169,13 +170,19 @@ class _Packer:
         return pa.RecordBatch.from_arrays(arrays, [*(c.split()[0] for c in SCHEMA.split(", ")), "ids"][: len(arrays)])
 
 
-def pack(df: DataFrame, vocabulary: Vocabulary, *, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", key: str = "doc_id", with_ids: bool = False, chunk: int = CHUNK_TOKENS) -> DataFrame:
+def pack(df: DataFrame, vocabulary: Vocabulary, *, order: list[Column] | None = None, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", key: str = "doc_id", with_ids: bool = False, chunk: int = CHUNK_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
     A document's ids are those of its text and `end_id`. A null text is empty: its one id is `end_id`. A null key stays; repeated rows are documents of their
     own; other columns aren't read. An empty table gives an empty result. A document longer than a window is cut as the costs say.
-    sequence_id is unique over all partitions: the partition's number and a count.
+    sequence_id is unique over all partitions: the partition's number and a count. With `order`, columns of df that sort its rows, texts move once, by
+    range, and sequences and the pieces in them follow that order; without, they follow each partition's, and nothing moves.
     """
+    rows = key_and_text(df, text, key)
+    if order:
+        by = [f"_by{i}" for i in range(len(order))]
+        keyed = df.select(named(key).cast("long").alias("doc_id"), named(text).alias("text"), *[c.alias(b) for c, b in zip(order, by, strict=True)])
+        rows = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(vocabulary, capacity, with_ids, TaskContext.get().partitionId() << 40)
@@ -187,4 +194,4 @@ def pack(df: DataFrame, vocabulary: Vocabulary, *, capacity: int = CAPACITY, end
         yield packer.pack(True)
 
     small_batches(df.sparkSession)
-    return key_and_text(df, text, key).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -51,8 +51,8 @@ def op7_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.ordered(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op9_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +125,15 @@ f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0) AS rest,
       FROM w WINDOW p AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, CAST(cap AS HUGEINT) * weights < rest * weight AS capped FROM f),
 e AS (SELECT min_by(rest, (cap / weight, k)) AS rest, min_by(weights, (cap / weight, k)) AS weights FROM g WHERE NOT capped),
-t AS (SELECT d.doc_id, d.size, CAST(sum(d.size) OVER o - d.size AS BIGINT) AS ahead, g.source_size,
+t AS (SELECT d.doc_id, d.size, CAST(sum(d.size) OVER o - d.size AS BIGINT) AS ahead, g.source_size, CAST(CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE -0.5 END AS DOUBLE) AS slope,
     CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(weight * e.rest AS DOUBLE) / CAST(e.weights AS DOUBLE) END AS target
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source CROSS JOIN e
-  WINDOW o AS (PARTITION BY d.source ORDER BY md5('8:' || d.doc_id), d.size ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size * size
-  + greatest(0, least(size, CAST(floor(target) AS BIGINT) % source_size - ahead)) END AS taken FROM t
+  WINDOW o AS (PARTITION BY d.source ORDER BY md5('8:' || d.doc_id), d.size ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size * size
+    + CASE WHEN 2 * ahead + size <= 2 * (CAST(floor(target) AS BIGINT) % source_size) THEN size ELSE 0 END END AS taken,
+    CASE WHEN target > 0 THEN least(1.0::DOUBLE, CAST(ahead AS DOUBLE) / target) ELSE 0 END AS u FROM t)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN u ELSE (sqrt(greatest(0.0::DOUBLE, (1 - slope) * (1 - slope) + 4 * slope * u)) - (1 - slope)) / (2 * slope) END END AS position FROM m
 """
 
 

@@ -2,19 +2,19 @@
 
 A fingerprint has a bit set where over half of the text's shingle hashes do. Distinct fingerprints are dealt over shards by a vantage-point
 tree built from a bounded sample: a node splits by Hamming distance to its vantage point at the median m, and by the triangle inequality a
-fingerprint at distance d has all neighbours within `radius` inside if d <= m - radius, outside if d > m + radius, else it visits both sides.
-Each shard holds the fingerprints at home there and the visitors, runs a finer tree of the same kind over them in whole-array steps, and
+fingerprint at distance d has all neighbours within `radius` inside if d <= m - radius, outside if d > m + radius, else it may have some on the other side.
+Shards that turn out too large are split again by trees of their own. Each shard holds the fingerprints at home there and the visitors from beyond a border, runs a finer tree of the same kind over them in whole-array steps, and
 emits only a spanning star of each local component, never its pairs. Stars join to components by label propagation with
 pointer jumping over tables in the shared folder.
 
-`similar_groups` is for looser likeness than a few bits, where the triangle inequality prunes nothing: there, every text meets all of nearly its own
-length. A MinHash signature of the set of word shingles judges the pairs, behind a bound on the bits of the signature that no pair it would let pass
-can exceed; pairs whose estimate is near the threshold are settled by the exact similarity of the sets.
+`similar_groups` is for looser likeness than a few bits: texts of similarity 0.8 differ in about 10 of 64 bits, unrelated ones in 32 give or take 4, so that
+the triangle inequality prunes nothing. There, MinHash bands of the sets of word shingles find the candidates, and the sets themselves decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import cut, gram_hashes, ids, mix, one_array, slices, small_batches, utf8, word_hashes, words
+from gridscape.llm.common import bounded, cut, gram_hashes, ids, mix, one_array, slices, small_batches, utf8, word_hashes, words
 
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
-MOST_SHARDS = 4_096
+#: The most shards of one tree.
+SHARDS = 4_096
 SAMPLE_PER_SHARD = 64
+#: Rows of one shard that a task splits at a time.
+PART_ROWS = 1 << 18
+ROUTED = "shard long, fp long, home boolean"
 LEAF = 64
 #: Rows that are compared with a leaf at a time.
 STRIP = 1 << 14
@@ -89,34 +93,64 @@ def vantage(points: np.ndarray) -> tuple[np.uint64, int]:
     return best, int(np.median(distance(few, best)))
 
 
-def build(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
-    """A complete tree of that depth, in heap order: (vantage point, median) of each inner node."""
-    nodes: list[tuple[int, int]] = []
-    level = [np.sort(sample)]
-    for _ in range(depth):
-        below = []
-        for points in level:
-            point, middle = vantage(points) if len(points) else (np.uint64(0), 32)
-            d = distance(points, point)
-            nodes.append((int(point), middle))
-            below += [points[d <= middle], points[d > middle]]
-        level = below
-    return nodes
-
-
-def route(nodes: list[tuple[int, int]], fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, position in fps, whether it is at home there) for each shard that a fingerprint has to visit."""
-    at, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
-    points, middles = np.array([p for p, _ in nodes], np.uint64), np.array([m for _, m in nodes], np.int64)
-    for _ in range(int(np.log2(len(nodes) + 1))):
-        d, m = distance(fps[at], points[node]).astype(np.int64), middles[node]
-        inside, outside = d <= m + radius, d > m - radius
+@dataclass(frozen=True)
+class Tree:
+    """Inner nodes of a vantage-point tree: vantage point, median, and the child on either side, where -1 - k is shard k."""
+
+    point: np.ndarray
+    middle: np.ndarray
+    inside: np.ndarray
+    outside: np.ndarray
+
+    @property
+    def shards(self) -> int:
+        return len(self.point) + 1
+
+
+def build(sample: np.ndarray, leaf: int) -> Tree:
+    """The tree whose shards hold at most `leaf` points of the sample, where its points can be told apart by distance."""
+    nodes: list[list[int]] = []
+    shards = 0
+
+    def grow(points: np.ndarray) -> int:
+        nonlocal shards
+        if len(points) > leaf:
+            point, middle = vantage(points)
+            near = distance(points, point) <= middle
+            if 0 < int(near.sum()) < len(points):
+                own = len(nodes)
+                nodes.append([int(point), middle, 0, 0])
+                nodes[own][2:] = grow(points[near]), grow(points[~near])
+                return own
+        shards += 1
+        return -shards
+
+    grow(np.sort(sample))
+    columns = list(zip(*nodes, strict=True)) or [()] * 4
+    return Tree(np.array(columns[0], np.uint64), *(np.array(c, np.int64) for c in columns[1:]))
+
+
+def route(tree: Tree, fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, position in fps, whether it is at home there) for each shard that a fingerprint has to visit.
+
+    Of two linked fingerprints at home on either side of a node the outer one visits the inner one, never the other way round; a visitor goes on to both
+    sides where the triangle inequality can't rule one out.
+    """
+    at, node = np.arange(len(fps)), np.full(len(fps), 0 if len(tree.point) else -1, np.int64)
+    done: list[tuple[np.ndarray, ...]] = []
+    while True:
+        rest = node >= 0
+        done.append((-1 - node[~rest], at[~rest], home[~rest]))
+        at, node, home = at[rest], node[rest], home[rest]
+        if not len(at):
+            return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+        d, m = distance(fps[at], tree.point[node]).astype(np.int64), tree.middle[node]
+        inside, outside = d <= m + radius, np.where(home, d > m, d > m - radius)
         at, node, home = (
             np.concatenate([at[inside], at[outside]]),
-            np.concatenate([2 * node[inside] + 1, 2 * node[outside] + 2]),
-            np.concatenate([(home & (d <= m))[inside], (home & (d > m))[outside]]),
+            np.concatenate([tree.inside[node[inside]], tree.outside[node[outside]]]),
+            np.concatenate([(home & (d <= m))[inside], home[outside]]),
         )
-    return node - len(nodes), at, home
 
 
 class Sets:
@@ -169,12 +203,36 @@ def link_within(fps: np.ndarray, here: np.ndarray, asking: np.ndarray, radius: i
     return sets.find(np.arange(len(fps)))
 
 
-def _routed(nodes: list[tuple[int, int]], radius: int):
+def _routed(tree: Tree, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = one_array(batch.column(0)).to_numpy()
-            shard, at, home = route(nodes, fps.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[at]), pa.array(home)], ["shard", "fp", "home"])
+            shard, at, home = route(tree, fps.view(np.uint64), np.ones(len(fps), bool), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[at]), pa.array(home)], ["shard", "fp", "home"])
+
+    return run
+
+
+SPLIT = "shard long, point array<long>, middle array<long>, inside array<long>, outside array<long>"
+
+
+def _grown(rows: pa.Table) -> pa.Table:
+    """The tree of one shard's sample, as a row."""
+    tree = build(rows["fp"].to_numpy().view(np.uint64), max(1, rows.num_rows // rows["leaves"][0].as_py()))
+    columns = (tree.point.view(np.int64), tree.middle, tree.inside, tree.outside)
+    return pa.table({"shard": rows["shard"].slice(0, 1), **{k: pa.array([x], pa.list_(pa.int64())) for k, x in zip(("point", "middle", "inside", "outside"), columns, strict=True)}})
+
+
+def _resplit(radius: int):
+    """A part of one shard's rows, and its tree: the same rows in the shards below."""
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        point, middle, inside, outside = (np.array(trees[k][0].as_py(), np.int64) for k in ("point", "middle", "inside", "outside"))
+        tree = Tree(point.view(np.uint64), middle, inside, outside)
+        fps = rows["fp"].to_numpy()
+        shard, at, home = route(tree, fps.view(np.uint64), rows["home"].to_numpy(zero_copy_only=False), radius)
+        own = trees["own"][0].as_py() * SHARDS + shard
+        return pa.table({"shard": pa.array(own), "fp": pa.array(fps[at]), "home": pa.array(home)})
 
     return run
 
@@ -191,15 +249,41 @@ def _stars(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """u, v: a spanning star of each shard's components, over a table (fp) of distinct fingerprints."""
+def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS, first_shards: int = SHARDS) -> DataFrame:
+    """u, v: a spanning star of each shard's components, over a table (fp) of distinct fingerprints.
+
+    The first tree has at most `first_shards` shards, from a sample that the driver holds; every shard that turns out to have over 2 * shard_rows
+    fingerprints at home is split by a tree of its own, built and applied by the executors, until none is.
+    """
     n = distinct.count()
-    depth = int(np.ceil(np.log2(min(MOST_SHARDS, max(LEAST_SHARDS, n / shard_rows)))))
-    # bounded: at most MOST_SHARDS * SAMPLE_PER_SHARD fingerprints of eight bytes, chosen by hash
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD << depth).collect()
-    nodes = build(np.array([r.fp for r in sample], np.int64).view(np.uint64), depth)
-    routed = distinct.select("fp").mapInArrow(_routed(nodes, radius), "shard int, fp long, home boolean")
-    return routed.groupBy("shard").applyInArrow(_stars(radius), "u long, v long")
+    shards = min(first_shards, max(LEAST_SHARDS, -(-n // shard_rows)))
+    # bounded: at most SHARDS * SAMPLE_PER_SHARD fingerprints of eight bytes, chosen by hash
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD * shards).collect()
+    tree = build(np.array([r.fp for r in sample], np.int64).view(np.uint64), max(1, len(sample) // shards))
+    done, level, rows = None, 0, distinct.select("fp").mapInArrow(_routed(tree, radius), ROUTED)
+    if n > min(first_shards, LEAST_SHARDS) * shard_rows:
+        rows = cut(rows)
+        while True:
+            home = F.count(F.when(F.col("home"), 1)).alias("homes")
+            sizes = rows.groupBy("shard").agg(home, F.count(F.lit(1)).alias("rows")).where(F.col("homes") > 2 * shard_rows)
+            sizes = sizes.withColumn("leaves", F.least(F.lit(SHARDS), F.ceil(F.col("homes") / shard_rows))).withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
+            sizes = cut(sizes.withColumnRenamed("shard", "large"))
+            chosen = F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1 << 32)).cast("double") * F.col("homes") < F.lit(float(SAMPLE_PER_SHARD << 32)) * F.col("leaves")
+            sampled = rows.where("home").join(sizes, F.col("shard") == F.col("large")).where(chosen)
+            trees = cut(sampled.select("shard", "fp", "leaves").groupBy("shard").applyInArrow(_grown, SPLIT).where(F.size("point") > 0))
+            if trees.isEmpty():  # no shard is large, or none can be told apart by distances
+                break
+            parts = trees.select(F.col("shard").alias("split")).join(sizes, F.col("split") == F.col("large")).select("split", "parts")
+            kept = rows.join(parts, F.col("shard") == F.col("split"), "left_anti").withColumn("level", F.lit(level))
+            left = rows.join(parts, F.col("shard") == F.col("split")).select("shard", "fp", "home", F.pmod(F.xxhash64(F.lit(11), "fp"), F.col("parts")).cast("int").alias("part"))
+            every = parts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            right = trees.withColumnRenamed("shard", "own").join(every, F.col("own") == F.col("split")).drop("split")
+            done = kept if done is None else done.unionByName(kept)
+            level += 1
+            rows = cut(left.groupBy("shard", "part").cogroup(right.groupBy("own", "piece")).applyInArrow(_resplit(radius), ROUTED))
+    every = rows.withColumn("level", F.lit(level))
+    every = every if done is None else every.unionByName(done)
+    return every.groupBy("level", "shard").applyInArrow(_stars(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,40 +334,88 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return rows.withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
 
 
-LIKE, LIKE_SHINGLE, BINS = 0.8, 5, 256
-BAND_BLOCK = 16_384
+LIKE, LIKE_SHINGLE = 0.8, 5
+#: A text of similarity s to another shares a band with it with probability 1 - (1 - s^VALUES)^BANDS: all but 3 in a million at 0.8.
+BANDS, VALUES = 32, 5
+BINS = BANDS * VALUES
+#: Sets of fewer than SMALL shingles are signed by BINS hash functions, sets of at least SMALL * least by one that is dealt over BINS bins, those between by both.
+SMALL = 1_280
+TASK_ROWS = 2_048
 #: Standard errors of a signature's estimate, on either side of the threshold, within which the exact similarity decides.
 ERRORS = 5
-#: Rows of either side that are compared, and pairs that are judged by signature and by their sets, at a time.
-TILE, JUDGED, SETTLED = 512, 4_096, 512
+#: Rows of either side that are compared, and pairs that are judged by their sets, at a time.
+TILE, SETTLED = 512, 512
+
+_RNG = np.random.default_rng(9)
+_XOR, _ODD = _RNG.integers(0, 1 << 32, BINS, np.uint32), _RNG.integers(0, 1 << 32, BINS, np.uint32) | np.uint32(1)
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = LIKE_SHINGLE) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, rising; a text shorter than a shingle is one, a text without words has none."""
+def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = LIKE_SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct shingle hashes of each text, rising, one text after the other; where each begins) of one slice of texts after the other.
+
+    A text shorter than a shingle is one, a text without words has none.
+    """
     for i, j in slices(at):
         part = _LOWER[raw[at[i] : at[j]]]
         starts, ends, first = words(part, at[i : j + 1] - at[i])
         h = word_hashes(part, starts, ends)
+        counts = np.diff(first)
+        text = np.repeat(np.arange(j - i), counts)
         grams = gram_hashes(h, shingle)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            yield np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else gram_hashes(h[a:b], b - a) if b > a else h[:0]
-
-
-def signatures(sets: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, BINS values of 16 bits) of each of n sets: the least shingle hash of each bin, 0 for an empty bin."""
-    size, out = np.zeros(n, np.int64), np.zeros((n, BINS), np.uint16)
-    for k, own in enumerate(sets):
-        size[k] = len(own)
-        bins = (own >> np.uint64(56)).astype(np.int64)
-        least = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of each bin is its least
-        out[k, bins[least]] = mix(own[least]) % np.uint64(65535) + np.uint64(1)
-    return size, out
+        whole = text[: len(grams)] == text[shingle - 1 :]
+        short = [(k, gram_hashes(h[first[k] : first[k + 1]], int(counts[k]))) for k in np.flatnonzero((counts > 0) & (counts < shingle))]
+        of = np.concatenate([text[: len(grams)][whole], np.array([k for k, _ in short], np.int64)])
+        all_ = np.concatenate([grams[whole], *(g for _, g in short)])
+        order = np.lexsort((all_, of))
+        of, all_ = of[order], all_[order]
+        new = np.ones(len(all_), bool)
+        new[1:] = (all_[1:] != all_[:-1]) | (of[1:] != of[:-1])
+        yield all_[new], np.searchsorted(of[new], np.arange(j - i + 1))
+
+
+def by_functions(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least value of each of BINS hash functions over each set; no set is empty."""
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat((x ^ a) * b, first) for a, b in zip(_XOR, _ODD, strict=True)], axis=1)
+
+
+def by_bins(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash function dealt over BINS bins, the least of each; an empty bin takes what the next filled one has."""
+    out = np.zeros((len(first), BINS), np.uint32)
+    for k, own in enumerate(np.split(grams, first[1:])):
+        bins = ((own >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        filled = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted, so the first of each bin is its least
+        nearest = filled[np.searchsorted(bins[filled], np.arange(BINS)) % len(filled)]
+        out[k] = mix(own[nearest]) >> np.uint64(32)
+    return out
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of signatures, row by row; two empty ones are alike."""
-    some = ((a != 0) | (b != 0)).sum(axis=1)
-    return np.where(some > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
+def band_keys(values: np.ndarray, scheme: int) -> np.ndarray:
+    """BANDS keys a row: a hash of VALUES values, of the band's number and of the scheme."""
+    parts = values.reshape(len(values), BANDS, VALUES).astype(np.uint64)
+    x = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + scheme * BANDS)), parts.shape[:2]).copy()
+    for k in range(VALUES):
+        x = mix(x ^ parts[:, :, k])
+    return x
+
+
+def signed(grams: np.ndarray, first: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """(number of shingles, two hashes of the set, keys, signature of BINS bytes) of each set, keys as a list of arrays."""
+    n = np.diff(first)
+    same, also = (np.array([x.sum(dtype=np.uint64) for x in np.split(mix(grams ^ np.uint64(salt)), first[1:-1])], np.uint64) for salt in (0x51, 0xA7))
+    keys: list[list[np.ndarray]] = [[] for _ in n]
+    marks = np.zeros((len(n), BINS), np.uint8)
+    for scheme, chosen, values in ((1, n >= SMALL * least, by_bins), (0, (n > 0) & (n < SMALL), by_functions)):
+        at = np.flatnonzero(chosen)
+        if len(at):
+            rows = np.concatenate([grams[first[k] : first[k + 1]] for k in at])
+            found = values(rows, np.concatenate([[0], np.cumsum(n[at])[:-1]]))
+            marks[at] = (mix(found.astype(np.uint64) + np.uint64(scheme)) >> np.uint64(56)).astype(np.uint8)
+            for k, own in zip(at, band_keys(found, scheme), strict=True):
+                keys[k].append(own)
+    for k in np.flatnonzero(n == 0):
+        keys[k].append(np.zeros(1, np.uint64))
+    return n, same, also, [np.concatenate(x) for x in keys], marks
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -292,147 +424,140 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def band(n: np.ndarray, least: float) -> np.ndarray:
-    """Texts of similarity `least` differ by one band at most: |A n B| / |A u B| is at most the ratio of their sizes."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(1 / least) + 1e-9).astype(np.int32)
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both, every = jaccard(a, b)
+    return both >= least * every - 1e-9
 
 
-def margin(least: float) -> float:
-    return ERRORS * float(np.sqrt(least * (1 - least) / BINS))
+def text_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    return [x for grams, first in shingle_sets(*utf8(column), shingle) for x in np.split(grams, first[1:-1])]
 
 
-def candidates(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, low: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of left and right rows: no pair with an estimate of `low` or more is missing.
+def _verified(least: float, shingle: int):
+    """The pairs (u, v) whose texts are alike."""
 
-    Of such a pair at most (1 - low) / low times the filled bins of either differ, as at least `low` of the bins filled in one or the other agree;
-    and no more of the values' last bits differ than of the values.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in bounded(whole, 2, 3):
+                pairs = zip(text_sets(batch.column(2), shingle), text_sets(batch.column(3), shingle), strict=True)
+                fine = pa.array([alike(a, b, least) for a, b in pairs], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], ["u", "v"])
+
+    return run
+
+
+def apart(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), tile by tile, of a task's left and right rows in different components whose sizes and signatures allow the similarity `least`.
+
+    The share of equal bytes of two signatures estimates it, if anything from above; pairs ERRORS standard errors below are passed over.
     """
-    bits = np.packbits(sigs & np.uint16(1), axis=1).view(np.uint64).T.copy()
-    most = np.minimum((1 - low) * BINS, (1 - low) / low * (sigs != 0).sum(axis=1)) + 1e-6
-    most = most.astype(np.uint8)
+    side, n, label = (rows[c].to_numpy() for c in ("side", "n", "label"))
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
+    left, right = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+    low = (least - ERRORS * float(np.sqrt(least * (1 - least) / BINS))) * BINS
+    small = n < SMALL  # of such a text the signature is by functions, of the others by bins, which tells nothing of the two together
     for x in range(0, len(right), TILE):
         own = right[x : x + TILE]
         for y in range(0, len(left), TILE):
             block = left[y : y + TILE]
-            d = distance(bits[0, block][:, None], bits[0, own][None, :])
-            for k in range(1, len(bits)):
-                d += distance(bits[k, block][:, None], bits[k, own][None, :])  # 256 is 0, which only lets a pair pass
-            i, j = np.nonzero(d <= most[own][None, :])
-            if len(i):
-                yield block[i], own[j]
-
-
-def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by first, left rows, right rows) of a task."""
-    order = np.argsort(rows["first"].to_numpy())
-    side = rows["side"].to_numpy()[order]
-    return order, np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+            near = (label[block][:, None] != label[own][None, :]) & (np.minimum(n[block][:, None], n[own][None, :]) >= least * np.maximum(n[block][:, None], n[own][None, :]))
+            i, j = np.nonzero(near)
+            i, j = block[i], own[j]
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                fine = (small[a] != small[b]) | ((marks[a] == marks[b]).sum(axis=1) >= low)
+                if fine.any():
+                    yield a[fine], b[fine]
 
 
-def _linked(least: float):
-    """Links of pairs whose estimate is surely high enough; and the rows of which some pair, apart so far, is too near the threshold to tell."""
-    low, high = least - margin(least), least + margin(least)
+def _suspects(least: float):
+    """The rows of a task that stand in a pair of `apart`."""
 
     def run(rows: pa.Table) -> pa.Table:
-        order, left, right = _sides(rows)
-        first = rows["first"].to_numpy()[order]
-        sigs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, BINS)[order]
-        sets, open_ = Sets(len(first)), np.zeros(len(first), bool)
-        for i, j in candidates(sigs, left, right, low):
-            while len(i):
-                apart = sets.find(i) != sets.find(j)
-                i, j = i[apart], j[apart]
-                a, b = i[:JUDGED], j[:JUDGED]
-                near = estimates(sigs[a], sigs[b])
-                sure, unsure = near >= min(high, 1.0), near >= low
-                sets.union(a[sure], b[sure])
-                open_[a[unsure & ~sure]] = open_[b[unsure & ~sure]] = True
-                i, j = i[JUDGED:], j[JUDGED:]
-        root = sets.find(np.arange(len(first)))
-        told = np.flatnonzero(open_ | (root != np.arange(len(first))))
-        task = {k: rows[k].take(pa.array(order[told])) for k in ("b", "r", "c", "l", "side")}
-        return pa.table({**task, "first": pa.array(first[told]), "root": pa.array(first[root[told]]), "unsure": pa.array(open_[told])})
+        asked = np.zeros(rows.num_rows, bool)
+        for i, j in apart(rows, least):
+            asked[i] = asked[j] = True
+        return rows.filter(pa.array(asked))
 
     return run
 
 
 def _settled(least: float, shingle: int):
-    """Links of the unsure rows of a task by the exact similarity of their sets, beyond those it had found."""
-    low = least - margin(least)
+    """Links between rows of a task in different components whose texts are alike, a spanning star of them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        order, left, right = _sides(rows)
-        first, root = rows["first"].to_numpy()[order], rows["root"].to_numpy()[order]
-        raw, at = utf8(one_array(rows["text"]).take(pa.array(order)))
-        own = list(shingle_sets(raw, at, shingle))
-        _, sigs = signatures(iter(own), len(own))
-        sets = Sets(len(first))
-        _, head, group = np.unique(root, return_index=True, return_inverse=True)
+        first, label = rows["first"].to_numpy(), rows["label"].to_numpy()
+        own = text_sets(one_array(rows["text"]), shingle)
+        sets = Sets(rows.num_rows)
+        _, head, group = np.unique(label, return_index=True, return_inverse=True)
         sets.union(np.arange(len(first)), head[group])
-        for i, j in candidates(sigs, left, right, low):
+        for i, j in apart(rows, least):
             while len(i):
-                apart = sets.find(i) != sets.find(j)
-                i, j = i[apart], j[apart]
+                new = sets.find(i) != sets.find(j)
+                i, j = i[new], j[new]
                 a, b = i[:SETTLED], j[:SETTLED]
-                near = estimates(sigs[a], sigs[b]) >= low
-                a, b = a[near], b[near]
-                counts = np.array([jaccard(own[x], own[y]) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
-                links = counts[:, 0] >= least * counts[:, 1] - 1e-9
+                links = np.array([alike(own[x], own[y], least) for x, y in zip(a, b, strict=True)], bool)
                 sets.union(a[links], b[links])
                 i, j = i[SETTLED:], j[SETTLED:]
         found = sets.find(np.arange(len(first)))
-        new = np.flatnonzero(found != np.arange(len(first)))
+        new = np.flatnonzero(label != label[found])
         return pa.table({"u": pa.array(first[new]), "v": pa.array(first[found[new]])})
 
     return run
 
 
-def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int = LIKE_SHINGLE, block: int = BAND_BLOCK) -> DataFrame:
-    """doc_id, component_id of every row: equal lower-case texts are linked, and texts whose sets of `like_shingle` words have a Jaccard similarity of
-    `least` or more. All pairs of texts of nearly equal numbers of distinct shingles are looked at. A 256-bin signature's estimate decides where it is
-    ERRORS standard errors or more away from `least`, the sets themselves nearer to it.
+def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int = LIKE_SHINGLE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """doc_id, component_id of every row: texts whose sets of `like_shingle` words, in lower-case ASCII, have a Jaccard similarity of `least` or more are linked.
 
-    Equal texts collapse first. Bands of length, split by hash into blocks of bounded expected size, meet block by block within a band and with the band above,
-    so one length that a third of all texts have is dealt over many tasks. Null texts are empty, and empty texts equal; rows of a null doc_id
-    link to nothing, and have no component. Other columns aren't read; an empty table gives an empty result.
+    Texts of equal sets collapse first. MinHash bands bring candidates together, and a candidate pair is linked by the exact similarity of its sets, never
+    by an estimate near the threshold. Every text of a band is held against the band's first text; of what is then still in different components of
+    one band, all pairs are looked at, in tasks of two blocks of at most `task_rows` rows, so a band that a third of all texts share is dealt over many.
+    A pair in one component needs no look, so a group of copies costs what its size is. Null texts are empty, and texts without words equal;
+    rows of a null doc_id link to nothing, and have no component. Texts of one doc_id are one document, alike where any of them are.
+    Other columns aren't read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = utf8(batch.column(1))
-            n, sigs = signatures(shingle_sets(raw, at, like_shingle), len(at) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(band(n, least)), pa.array([x.tobytes() for x in sigs], pa.binary())], ["doc_id", "same", "also", "n", "band", "signature"])
-
-    small_batches(docs.sparkSession)
-    lower = F.lower(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(lower).alias("same"), F.xxhash64(F.lit(1), lower).alias("also"))
-    found = cut(rows.mapInArrow(run, "doc_id long, same long, also long, n long, band int, signature binary"))
-    key = ["same", "also", "n"]
-    classes = cut(found.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("first")))
-    nodes = cut(found.withColumnRenamed("doc_id", "first").join(classes, [*key, "first"], "left_semi").dropDuplicates(["first"]).select("first", "same", "also", "band", "signature"))
-    # bounded: a band of length is a factor 1 / least, so there are a few hundred at most
-    sizes = {r.band: r["count"] for r in nodes.groupBy("band").count().collect()}
-    blocks = {b: max(1, -(-c // block)) for b, c in sizes.items()}
-    parts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
-    placed = nodes.withColumn("part", F.pmod(F.xxhash64("first"), F.coalesce(parts[F.col("band")], F.lit(1))).cast("int"))
-    meet, none = F.struct, F.array().cast("array<int>")
-    own, above = parts[F.col("band")], parts[F.col("band") + 1]
-    # a task is (band of the right side, its block, band of the left side, its block); side 2 is both
-    tasks = F.concat(
-        F.transform(F.sequence(F.lit(0), own - 1), lambda k: meet(F.col("band").alias("b"), F.greatest(k, F.col("part")).alias("r"), F.col("band").alias("c"), F.least(k, F.col("part")).alias("l"), F.when(k == F.col("part"), 2).when(k > F.col("part"), 0).otherwise(1).alias("side"))),
-        F.transform(F.when(above.isNotNull(), F.sequence(F.lit(0), above - 1)).otherwise(none), lambda k: meet((F.col("band") + 1).alias("b"), k.alias("r"), F.col("band").alias("c"), F.col("part").alias("l"), F.lit(0).alias("side"))),
-        F.transform(F.when(parts[F.col("band") - 1].isNotNull(), F.sequence(F.lit(0), parts[F.col("band") - 1] - 1)).otherwise(none), lambda k: meet(F.col("band").alias("b"), F.col("part").alias("r"), (F.col("band") - 1).alias("c"), k.alias("l"), F.lit(1).alias("side"))),
-    )
-    dealt = placed.withColumn("task", F.explode(tasks)).select("first", "signature", F.col("task.b").alias("b"), F.col("task.r").alias("r"), F.col("task.c").alias("c"), F.col("task.l").alias("l"), F.col("task.side").alias("side"))
-    told = cut(dealt.groupBy("b", "r", "c", "l").applyInArrow(_linked(least), "b int, r int, c int, l int, side int, first long, root long, unsure boolean"))
-    unsure = told.where("unsure").drop("unsure")
-    asked = unsure.select("first").distinct().join(nodes.select("first", "same", "also"), "first")
-    texts = rows.withColumnRenamed("doc_id", "first").join(asked, ["first", "same", "also"], "left_semi").select("first", "text").dropDuplicates(["first"])
-    settled = unsure.join(texts, "first").groupBy("b", "r", "c", "l").applyInArrow(_settled(least, like_shingle), "u long, v long")
-    edges = told.where("first <> root").select(F.col("first").alias("u"), F.col("root").alias("v")).unionByName(settled)
-    state = components(edges)
-    named = classes.join(state, F.col("first") == F.col("node"), "left").select(*key, F.coalesce("label", "first").alias("component_id"))
-    return found.select("doc_id", *key).join(named, key, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        for whole in batches:
+            for batch in bounded(whole, 1):
+                parts = [signed(*x, least) for x in shingle_sets(*utf8(batch.column(1)), like_shingle)]
+                n, same, also = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                keys = [x for p in parts for x in p[3]]
+                lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), np.concatenate(keys).view(np.int64)).cast(pa.list_(pa.int64()))
+                columns = [batch.column(0), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), pa.array(n.astype(np.int64)), lists, pa.array([x.tobytes() for p in parts for x in p[4]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "also", "n", "keys", "marks"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    found = cut(rows.mapInArrow(run, "doc_id long, same long, also long, n long, keys array<long>, marks binary"))
+    sets = ["same", "also", "n"]
+    nodes = found.where(F.col("doc_id").isNotNull()).groupBy(*sets).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    nodes = cut(nodes)
+    banded = nodes.select("first", "n", F.explode("keys").alias("key"))
+    # one row per key that several texts have; the table of keys is written, so that adaptive execution can split a key's texts
+    heads = cut(banded.groupBy("key").agg(F.min(F.struct("first", "n")).alias("head"), F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    shared = cut(banded.join(heads, "key").select("key", "first", "n", "head", "texts"))
+    fits = F.least("n", "head.n") >= least * F.greatest("n", "head.n")
+    stars = cut(shared.where((F.col("first") != F.col("head.first")) & fits).select(F.col("first").alias("u"), F.col("head.first").alias("v")).distinct())
+    text_of = lambda name, as_: rows.select(F.col("doc_id").alias(name), F.col("text").alias(as_))
+    pairs = stars.join(text_of("u", "text_u"), "u").join(text_of("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
+    links = cut(pairs.mapInArrow(_verified(least, like_shingle), "u long, v long").distinct())
+    state = components(links)
+    labelled = shared.where("texts > 2").join(state, F.col("first") == F.col("node"), "left").select("key", "first", "n", "head", F.coalesce("label", "first").alias("label"))
+    labelled = cut(labelled)
+    # the first text of a band has met all others; bands of the same texts are one
+    others = F.col("first") != F.col("head.first")
+    split = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.when(others, F.col("label"))).alias("a"), F.max(F.when(others, F.col("label"))).alias("b"), F.sum(F.xxhash64("first").cast("decimal(38,0)")).alias("who"))
+    split = cut(split.where("a <> b").groupBy("texts", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("texts") / task_rows).cast("int").alias("parts")))
+    open_ = labelled.join(split, "key").join(nodes.select("first", "n", "marks"), ["first", "n"])
+    part = F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("l"), F.greatest(k, part).alias("r"), F.when(k == part, 2).when(k < part, 0).otherwise(1).alias("side")))
+    task = ["key", "l", "r"]
+    dealt = open_.withColumn("task", F.explode(meet)).select("key", F.col("task.l").alias("l"), F.col("task.r").alias("r"), F.col("task.side").alias("side"), "first", "n", "label", "marks")
+    suspects = cut(dealt.groupBy(*task).applyInArrow(_suspects(least), dealt.schema))
+    settled = suspects.join(text_of("first", "text"), "first").groupBy(*task).applyInArrow(_settled(least, like_shingle), "u long, v long")
+    state = components(links.unionByName(settled))
+    named = nodes.join(state, F.col("first") == F.col("node"), "left").select(*sets, F.coalesce("label", "first").alias("component_id"))
+    return found.select("doc_id", *sets).join(named, sets, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def brute_force(texts: dict[int, str], radius: int = 2, shingle: int = 3, seed: int = 42) -> dict[int, tuple[int, int]]:

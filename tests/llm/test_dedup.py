@@ -73,11 +73,24 @@ def test_links_lose_nothing(spark, spread):
             break
         label = new
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    state = {r.node: r.label for r in simhash.components(simhash.links(df, 2, shard_rows=8)).collect()}
-    groups: dict = {}
-    for x, k in zip(fps.view(np.int64).tolist(), label, strict=True):
-        groups.setdefault(state.get(x, x), set()).add(int(k))
-    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(label.tolist()))
+    for first in (simhash.SHARDS, 3):  # with three, shards are split again
+        state = {r.node: r.label for r in simhash.components(simhash.links(df, 2, shard_rows=8, first_shards=first)).collect()}
+        groups: dict = {}
+        for x, k in zip(fps.view(np.int64).tolist(), label, strict=True):
+            groups.setdefault(state.get(x, x), set()).add(int(k))
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(label.tolist()))
+
+
+def test_routing_is_even_and_one_way():
+    """A million random fingerprints: shards at home are about equal, and copies are what the README says."""
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 64, 1_000_000, np.uint64)
+    tree = simhash.build(rng.choice(fps, 64 * 64), 64)
+    shard, at, home = simhash.route(tree, fps, np.ones(len(fps), bool), 2)
+    assert sorted(at[home].tolist()) == list(range(len(fps)))
+    homes, every = (np.bincount(x, minlength=tree.shards) for x in (shard[home], shard))
+    print("shards", tree.shards, "copies", len(at) / len(fps), "largest home", homes.max(), "largest", every.max())
+    assert homes.max() < 2 * len(fps) / tree.shards + simhash.SHARD_ROWS and len(at) < 8 * len(fps)
 
 
 def test_components_follow_chains(spark):
@@ -103,8 +116,8 @@ def test_similar_groups(spark):
                 x[at] = f"n{at}"
             texts.append((k * 10 + 2 + j, " ".join(x)))
         texts.append((k * 10 + 5, text + " " + " ".join(f"e{x}" for x in range(20))))
-    for block in (10, simhash.BAND_BLOCK):
-        got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts, True), block=block).collect()}
+    for rows in (2, simhash.TASK_ROWS):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts, True), task_rows=rows).collect()}
         for i, a in texts:
             for j, b in texts:
                 if i // 10 == j // 10 and jaccard(a, b) >= 0.85:
@@ -136,8 +149,34 @@ def test_similar_groups_are_those_of_the_definition(spark):
         if jaccard(a, b) >= 0.8:
             want[j] = i
     assert 150 < sum(i != j for i, j in want.items()) < 350
-    for block in (100, simhash.BAND_BLOCK):
-        assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts), block=block).collect()} == want
+    for rows in (2, simhash.TASK_ROWS):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts), task_rows=rows).collect()} == want
+
+
+def test_similar_groups_of_a_large_band(spark):
+    """One boilerplate that all texts share makes bands of unlike texts; in them small groups are alike, and chains link by their neighbours only."""
+    rng = np.random.default_rng(3)
+    new = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    shared, texts = new(150), []
+    for _ in range(40):
+        own = new(60)
+        for step in range(4):  # each differs a little from the one before, the last much from the first
+            texts.append((len(texts), " ".join(shared + own)))
+            own = own[:]
+            at = 13 * step
+            own[at : at + 13] = new(13)
+    for k in range(10):
+        texts.append((len(texts), " ".join(new(1400 if k % 2 else 1200))))
+        texts.append((len(texts), texts[-1][1].rsplit(" ", 150)[0]))
+    want = {i: i for i, _ in texts}
+    for _ in range(4):
+        for i, a in texts:
+            for j, b in texts[max(0, i - 4) : i]:
+                if jaccard(a, b) >= 0.8 and want[i] != want[j]:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert all(jaccard(a, b) < 0.8 for i, a in texts[:160] for j, b in texts[i + 4 : 160] if i // 4 != j // 4)
+    for rows in (7, simhash.TASK_ROWS):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts), task_rows=rows).collect()} == want
 
 
 def test_keep_first(spark):
