@@ -27,7 +27,7 @@ def search(spark, vectors, k, **options):
     return {tuple(r) for r in vafile.top_k(scaled, scaled.where(F.col("vec_id") % 20 == 0), k, **options).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"data_block": 50, "query_block": 4}, {"shift": 4}])
+@pytest.mark.parametrize("options", [{}, {"data_block": 50, "query_block": 4}, {"bits": 4}, {"bits": 2, "data_block": 70}, {"bits": 0}])
 def test_top_k_is_exact(spark, options):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 6)).astype(np.float32)
@@ -41,28 +41,49 @@ def test_top_k_cases(spark):
     assert search(spark, vectors, 20) == plain_top(vectors, 20)
     huge = {(q, i): s for q, _, i, s in search(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], 20)}
     assert huge == {(0, 1): (1 << 63) - 1, (0, 2): -(1 << 63)}
+    ranks = {(q, r): i for q, r, i, _ in search(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [3e30, 0.0]), (3, [1e37, 0.0]), (4, [3e38, 0.0])], 20)}
+    assert [ranks[0, r] for r in (1, 2, 3, 4)] == [4, 3, 2, 1]  # beyond 64 bits, and still in order
     assert search(spark, [], 20) == set()
     assert search(spark, [(0, [1.0])], 20) == set()
     twice = [r for r in search(spark, [(0, [1.0]), (3, [2.0]), (3, [2.0])], 5)]
     assert sorted(r[1] for r in twice) == [1, 2]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 9), st.integers(0, 4))
-def test_block_search(seed, n, k, shift):
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 9), st.integers(0, 4), st.sampled_from([3, 40, 10**9, 10**18]))
+def test_scan_loses_nothing(seed, n, k, bits, size):
+    """What the scan rules out is not among a query's k best, whatever the cells; and bounds hold for vectors that the cells weren't fitted on."""
     rng = np.random.default_rng(seed)
-    v, q = rng.integers(-9, 10, (n, 3)), rng.integers(-9, 10, (4, 3))
-    ids = rng.permutation(n) + 5
-    a, b, c = vafile.search_block(np.arange(4), q, ids, v, k, shift)
+    v, q = (rng.integers(-size, size + 1, shape).astype(float) for shape in ((n, 3), (4, 3)))
+    v[rng.integers(0, n, n // 2)] = v[0]
+    ids = rng.permutation(n) + 2
+    same = np.array([hash(tuple(x)) for x in v.tolist()], np.int64)
+    file = vafile.fitted(list(v[: n // 3]), v.min(axis=0), v.max(axis=0), bits)
+    cells = file.encode(v.ravel(), np.tile(np.arange(3), n)).reshape(n, 3)
+    assert all((file.low[j, cells[:, j]] <= v[:, j]).all() and (v[:, j] <= file.high[j, cells[:, j]]).all() for j in range(3))
+    query, row, low, high = vafile.scan(np.arange(4), q, ids, same, cells, file, k)
     for i in range(4):
-        want = sorted((-int(q[i] @ v[j]), int(ids[j])) for j in range(n) if ids[j] != i)[:k]
-        assert [(-int(s), int(x)) for x, s in zip(b[a == i], c[a == i], strict=True)] == want
+        scores = [sum(int(a) * int(b) for a, b in zip(q[i], x, strict=True)) for x in v]
+        want = sorted((-scores[j], int(ids[j])) for j in range(n) if ids[j] != i)[:k]
+        assert {x for _, x in want} <= set(ids[row[query == i]].tolist())
+        assert all(a <= scores[j] <= b for j, a, b in zip(row[query == i], low[query == i], high[query == i], strict=True))
+        if bits == 4 and size == 3:
+            assert len(row[query == i]) <= 2 * k + 1
+
+
+def test_coarse_cells_still_rule_most_out(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2000, 16)))], "vec_id long, embedding array<double>")
+    scaled = vafile.scaled(df, 64)
+    asked = scaled.where(F.col("vec_id") % 20 == 0)
+    share = {bits: vafile.candidates(scaled, asked, 20, bits=bits).count() / (100 * 2000) for bits in (3, 8)}
+    print(share)
+    assert share[8] < 0.02 and share[3] < 0.3
 
 
 def test_large_components_stay_exact():
-    v = np.array([[1 << 40, 1], [1 << 40, 2]], dtype=np.int64)
-    _, ids, score = vafile.search_block(np.array([9]), v[:1], np.array([1, 2]), v, 1, 1)
-    assert ids[0] == 2 and int(score[0]) == (1 << 80) + 2
+    q, v = np.array([[2.0**40, 1]]), np.array([[2.0**40, 2]])
+    assert vafile.exact_scores(q, v).tolist() == [(1 << 80) + 2]
 
 
 def grams(text, n=5):
