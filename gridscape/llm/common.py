@@ -89,6 +89,10 @@ def bounded(batch: pa.RecordBatch, *texts: int, rows: int = BATCH_ROWS, most: in
         i = j
 
 
+def bounded_batches(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    return (part for batch in batches for part in bounded(batch, *texts))
+
+
 def one_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
