@@ -2,14 +2,18 @@
 
 Edges are `anchor` words long. A window of `window` words belongs to the edge in it of least hash, the leftmost of equals, so equal windows belong to equal
 edges at the same place in them, and consecutive windows of one edge form a piece of text. An edge that occurs once belongs to no repeated window.
-Of those that occur again, an edge all of whose pieces are the same text is a nonbranching path: one join with (edge, first document)
-settles all windows of its pieces together. A window reaches at least half of what it has besides its edge to one side, so a piece of a branching
-edge can repeat only where the edge with so many words on its left, or on its right, occurs again. Only such pieces, where repeats begin
-and end, are opened to single windows, which are compared by 128 bits of hash. Coordinates (document, first window, number of windows) lead back to the text, where repeats inside
-one document are found and the covered words are cut out.
-
-All joins are on hashes of edges or windows or on documents, with a table of one row per key on one side. That table is written first, so that both sides of
-the join are plain exchanges and adaptive execution can split the rows of a hot key over tasks.
+The edges that occur again, each followed by the next one in its text, are the graph. An edge all of whose pieces are the same text, and that always
+follows the same edge and is always followed by the same one, branches nowhere; runs of such edges are compacted to paths by pointer jumping,
+each round one join. An occurrence of a path is then one span of text, known by where its first edge stands and by its number of windows.
+
+A window reaches at least half of what it has besides its edge to one side, so a piece of an edge whose pieces differ can repeat only where the edge
+with so many words on its left, or on its right, occurs again. Only such pieces, where repeats begin and end, are opened to single windows.
+
+Coordinates (document, first window, number of windows) lead back to the text, and only what stands there decides: a span is a repeat if the digest of its
+words, as read from the text, is that of an earlier span, an opened window if 128 bits of hash of its words are. Then the covered words are cut out.
+
+All joins are on hashes of edges, spans or windows or on documents, with a table of one row per key on one side. That table is written first, so that both
+sides of the join are plain exchanges and adaptive execution can split the rows of a hot key over tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import cut, gram_hashes, mix, one_array, slices, small_batches, utf8, word_hashes, words
+from gridscape.llm.common import bounded_batches, cut, gram_hashes, mix, one_array, slices, utf8, word_hashes, words
 
 WINDOW = 20
 ANCHOR = 5
 SEEDS = (5, 6)
-FIRST, BRANCHING, EARLIER = 0, 1, 2
+SPAN, OPENED = 0, 1
 #: The order of a null doc_id: last.
 NO_ID = (1 << 63) - 1
 
@@ -62,41 +66,49 @@ def flank(g: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray, shift
     return out
 
 
-def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first window within it, windows, edge hash, content hash, left flank, right flank) of each piece."""
+def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
+    """Of each piece: text, first window within it, windows, hashes of the edge, of the edges before and after it in the text (0: none), of the content and of both flanks."""
     starts, ends, first = words(raw, at)
     total = len(starts) - window + 1
-    if total <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int32),) * 2
-    g = gram_hashes(word_hashes(raw, starts, ends, SEEDS[0]), anchor)
-    edge = least_edges(g, window - anchor + 1)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = np.flatnonzero(text[:total] == text[window - 1 :])
+    whole = np.empty(0, np.int64)
+    if total > 0:
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        whole = np.flatnonzero(text[:total] == text[window - 1 :])
     if not len(whole):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int32),) * 2
-    own = edge[whole]
+        return {k: np.empty(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("edge", np.uint64), ("before", np.uint64), ("after", np.uint64), ("content", np.uint64), ("left", np.int32), ("right", np.int32))}
+    g = gram_hashes(word_hashes(raw, starts, ends, SEEDS[0]), anchor)
+    own = least_edges(g, window - anchor + 1)[whole]
     begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1] + 1)]))
     stops = np.append(begins[1:], len(whole)) - 1
     a, b, m = whole[begins], whole[stops], own[begins]
-    n = b - a + 1
+    n, of, edge = b - a + 1, text[a], g[m]
     shape = (n * 64 + (m - a)).astype(np.uint64)
     content = mix(mix(window_hashes(g, a, window, anchor) ^ shape) ^ window_hashes(g, b, window, anchor))
-    of, reach = text[a], -(-(window - anchor) // 2)
-    sides = [flank(g, m, first[of], first[of + 1], shift, reach, anchor) for shift in (-reach, 0)]
-    return of, a - first[of], n, g[m], content, *sides
+    before, after = np.zeros(len(edge), np.uint64), np.zeros(len(edge), np.uint64)
+    inside = of[1:] == of[:-1]
+    before[1:][inside], after[:-1][inside] = edge[:-1][inside], edge[1:][inside]
+    reach = -(-(window - anchor) // 2)
+    left, right = (flank(g, m, first[of], first[of + 1], shift, reach, anchor) for shift in (-reach, 0))
+    return {"text": of, "start": a - first[of], "n": n, "edge": edge, "before": before, "after": after, "content": content, "left": left, "right": right}
+
+
+PIECE = "edge long, before long, after long, content long, left int, right int, doc long, version long, start int, n int"
 
 
 def _pieces(window: int, anchor: int, coordinates: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
             for i, j in slices(at):
-                text, start, n, edge, content, left, right = pieces(raw[at[i] : at[j]], at[i : j + 1] - at[i], window, anchor)
-                columns = {"edge": pa.array(edge.view(np.int64))}
-                if coordinates:
-                    which = pa.array(text + i)
-                    columns |= {"content": pa.array(content.view(np.int64)), "left": pa.array(left), "right": pa.array(right), "doc": batch.column(0).take(which), "version": batch.column(1).take(which), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}
-                yield pa.RecordBatch.from_pydict(columns)
+                found = pieces(raw[at[i] : at[j]], at[i : j + 1] - at[i], window, anchor)
+                hashes = {k: pa.array(found[k].view(np.int64)) for k in ("edge", "before", "after", "content")}
+                if not coordinates:
+                    yield pa.RecordBatch.from_pydict({"edge": hashes["edge"]})
+                    continue
+                which = pa.array(found["text"] + i)
+                short = {k: pa.array(found[k].astype(np.int32)) for k in ("left", "right", "start", "n")}
+                columns = hashes | short | {"doc": batch.column(0).take(which), "version": batch.column(1).take(which)}
+                yield pa.RecordBatch.from_pydict({k: columns[k] for k in (c.split()[0] for c in PIECE.split(", "))})
 
     return run
 
@@ -120,20 +132,33 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False) if at[-1] else np.empty(0, np.int64), at
 
 
-def _opened(window: int, anchor: int):
+UNIT = "h1 long, h2 long, doc long, version long, start int, n int, here boolean"
+
+
+def _units(window: int, anchor: int):
+    """Spans and opened windows, by the words that stand at their coordinates; `here` if an equal one stands earlier in the same text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
             (start, where), (n, _), (kind, _) = (_lists(batch.column(k)) for k in (3, 4, 5))
             for k in range(batch.num_rows):
                 own = slice(where[k], where[k + 1])
-                chosen = kind[own] == BRANCHING
-                if not chosen.any():
-                    continue
-                starts = np.sort(_requested(start[own][chosen].astype(np.int64), n[own][chosen].astype(np.int64)))
-                h1, h2 = _text_windows(raw[at[k] : at[k + 1]], window, anchor, starts)
-                m = len(starts)
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "doc": pa.array([batch.column(0)[k].as_py()] * m, pa.int64()), "version": pa.array([batch.column(1)[k].as_py()] * m, pa.int64()), "start": pa.array(starts.astype(np.int32))})
+                s, m, c = start[own].astype(np.int64), n[own].astype(np.int64), kind[own]
+                text = raw[at[k] : at[k + 1]]
+                spans = np.flatnonzero(c == SPAN)
+                found = text.tobytes().split() if len(spans) else []
+                digest = b"".join(hashlib.blake2b(b" ".join(found[a : a + w + window - 1]), digest_size=16).digest() for a, w in zip(s[spans].tolist(), m[spans].tolist(), strict=True))
+                sums = np.frombuffer(digest, np.uint64).reshape(-1, 2)
+                opened = np.sort(_requested(s[c == OPENED], m[c == OPENED]))
+                h1, h2 = _text_windows(text, window, anchor, opened) if len(opened) else (np.empty(0, np.uint64),) * 2
+                h1, h2 = np.concatenate([sums[:, 0], h1]), np.concatenate([sums[:, 1], h2])
+                begin, size = np.concatenate([s[spans], opened]), np.concatenate([m[spans], np.ones(len(opened), np.int64)])
+                order = np.lexsort((begin, h2, h1))
+                here = np.zeros(len(order), bool)
+                here[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+                ids = [pa.array([batch.column(x)[k].as_py()] * len(order), pa.int64()) for x in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *ids, pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(here)], [c.split()[0] for c in UNIT.split(", ")])
 
     return run
 
@@ -148,7 +173,7 @@ def _digest(doc, version, n: list[int], removed: list[int], kept: list[str], tex
 
 def _untouched(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
             found = [raw[at[k] : at[k + 1]].tobytes().split() for k in range(batch.num_rows)]
             joined = [b" ".join(x) for x in found]
@@ -157,31 +182,21 @@ def _untouched(with_text: bool):
     return run
 
 
-def _cut_out(window: int, anchor: int, with_text: bool):
+def _cut_out(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
-            (start, where), (n, _), (kind, _), (again, at_again) = (_lists(batch.column(k)) for k in (3, 4, 5, 6))
+            (start, where), (n, _) = (_lists(batch.column(k)) for k in (3, 4))
             counts, removed, shas, texts = [], [], [], []
             for k in range(batch.num_rows):
                 own = slice(where[k], where[k + 1])
-                s, m, c = start[own].astype(np.int64), n[own].astype(np.int64), kind[own]
-                text = raw[at[k] : at[k + 1]]
-                found = text.tobytes().split()
-                flagged = np.zeros(max(0, len(found) - window + 1), bool)
-                flagged[_requested(s[c == EARLIER], m[c == EARLIER])] = True
-                flagged[again[at_again[k] : at_again[k + 1]]] = True
-                rest = np.sort(_requested(s[c != EARLIER], m[c != EARLIER]))
-                if len(rest):
-                    h1, h2 = _text_windows(text, window, anchor, rest)
-                    order = np.lexsort((rest, h2, h1))
-                    same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-                    flagged[rest[order[1:][same]]] = True
+                s, m = start[own].astype(np.int64), n[own].astype(np.int64)
+                found = raw[at[k] : at[k + 1]].tobytes().split()
                 edge = np.zeros(len(found) + 1, np.int64)
-                edge[np.flatnonzero(flagged)] += 1
-                edge[np.flatnonzero(flagged) + window] -= 1
+                np.add.at(edge, s, 1)
+                np.add.at(edge, s + m + window - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                kept = b" ".join(w for w, x in zip(found, gone.tolist(), strict=True) if not x)
+                kept = b" ".join(w for w, x in zip(found, gone.tolist(), strict=True) if not x) if len(s) else b" ".join(found)
                 counts.append(len(found))
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
@@ -191,6 +206,27 @@ def _cut_out(window: int, anchor: int, with_text: bool):
     return run
 
 
+def paths(degrees: DataFrame) -> DataFrame:
+    """edge, windows: each nonbranching path's first edge and its number of windows, of a table of edges.
+
+    `degrees`: edge; branches, whether its pieces differ; n, the windows of one; a, b and c, d, the least and largest of the edges before and after it. An
+    edge and the next belong to one path if the one is always followed by the other and the other always follows it.
+    """
+    simple = degrees.where("NOT branches")
+    ahead = simple.where((F.col("c") == F.col("d")) & (F.col("c") != 0)).select(F.col("edge").alias("up"), F.col("c").alias("edge"), F.col("n").alias("off"))
+    behind = simple.where((F.col("a") == F.col("b")) & (F.col("a") != 0)).select("edge", F.col("a").alias("only"), "n")
+    # of an edge on a path that isn't its first: one further up, and the windows between. No cycles: a text ends
+    state = cut(ahead.join(behind, "edge").where(F.col("up") == F.col("only")).select("edge", "up", "off", "n"))
+    while True:
+        far = state.select(F.col("edge").alias("via"), F.col("up").alias("top"), F.col("off").alias("more"))
+        state = cut(state.join(far, F.col("up") == F.col("via"), "left").select("edge", F.coalesce("top", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), "n", F.col("top").isNotNull().alias("open")))
+        if state.where("open").isEmpty():
+            break
+    sums = state.groupBy(F.col("up").alias("first")).agg(F.max(F.col("off") + F.col("n")).alias("total"))
+    heads = simple.join(state.select("edge"), "edge", "left_anti")
+    return heads.join(sums, F.col("edge") == F.col("first"), "left").select("edge", F.coalesce("total", "n").cast("int").alias("windows"))
+
+
 def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row: each word covered by a window that also starts earlier goes.
 
@@ -198,31 +234,29 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     remove from each other. Repeated rows come out repeated. Texts shorter than a window keep all words. Other columns aren't read; an empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 500)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").alias("text"))
     text = ", kept_text string" if with_text else ""
     edges = rows.mapInArrow(_pieces(window, anchor, False), "edge long")
-    again = cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"))
+    again = cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge"))
     # duplicates of a row are one occurrence each, which at worst keeps an edge that occurs in one text only
-    found = cut(rows.mapInArrow(_pieces(window, anchor, True), "edge long, content long, left int, right int, doc long, version long, start int, n int").join(again, "edge", "left_semi"))
-    paths = cut(found.groupBy("edge").agg(F.min("doc").alias("first"), (F.min("content") != F.max("content")).alias("branches")))
-    joined = found.join(paths, "edge")
-    kind = F.when(F.col("doc") > F.col("first"), EARLIER).otherwise(FIRST).cast("int")
-    plain = joined.where("NOT branches").select("doc", "version", F.struct("start", "n", kind.alias("kind")).alias("piece"))
-    open_ = cut(joined.where("branches").select("edge", "left", "right", "doc", "version", "start", "n"))
+    found = cut(rows.mapInArrow(_pieces(window, anchor, True), PIECE).join(again, "edge", "left_semi"))
+    ends = [f(c).alias(x) for c, f, x in (("before", F.min, "a"), ("before", F.max, "b"), ("after", F.min, "c"), ("after", F.max, "d"))]
+    degrees = cut(found.groupBy("edge").agg((F.min("content") != F.max("content")).alias("branches"), F.min("n").alias("n"), *ends))
+    spans = found.select("edge", "doc", "version", "start").join(cut(paths(degrees)), "edge").select("doc", "version", F.struct("start", F.col("windows").alias("n"), F.lit(SPAN).alias("kind")).alias("piece"))
+    open_ = cut(found.join(cut(degrees.where("branches").select("edge")), "edge", "left_semi").select("edge", "left", "right", "doc", "version", "start", "n"))
+    sides = open_
     for side in ("left", "right"):
-        met = cut(open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", side, F.lit(True).alias(f"{side}_met")))
-        joined = (joined if side == "right" else open_).join(met, ["edge", side], "left")
-    branching = joined.where("left_met OR right_met").select("doc", "version", F.struct("start", "n", F.lit(BRANCHING).alias("kind")).alias("piece"))
-    settled = plain.unionByName(branching)
-    by_text = settled.groupBy("doc", "version").agg(F.collect_set("piece").alias("p"))
-    by_text = by_text.select("doc", "version", F.col("p.start").alias("starts"), F.col("p.n").alias("ns"), F.col("p.kind").alias("kinds"))
-    touched = cut(rows.join(by_text, ["doc", "version"]).select("doc", "version", "text", "starts", "ns", "kinds"))
-    opened = touched.mapInArrow(_opened(window, anchor), "h1 long, h2 long, doc long, version long, start int")
-    firsts = cut(opened.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"))
-    later = opened.join(firsts, ["h1", "h2"]).where("doc > first").groupBy("doc", "version").agg(F.collect_set("start").alias("later"))
-    cleaned = touched.join(later, ["doc", "version"], "left").select(*touched.columns, "later").mapInArrow(_cut_out(window, anchor, with_text), KEPT + text)
+        met = cut(open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge", side, F.lit(True).alias(f"{side}_met")))
+        sides = sides.join(met, ["edge", side], "left")
+    opened = sides.where("left_met OR right_met").select("doc", "version", F.struct("start", "n", F.lit(OPENED).alias("kind")).alias("piece"))
+    by_text = cut(spans.unionByName(opened).groupBy("doc", "version").agg(F.collect_set("piece").alias("p")))
+    touched = cut(rows.join(by_text, ["doc", "version"]).select("doc", "version", "text", F.col("p.start").alias("starts"), F.col("p.n").alias("ns"), F.col("p.kind").alias("kinds")))
+    units = cut(touched.mapInArrow(_units(window, anchor), UNIT))
+    firsts = cut(units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"))
+    where = ["doc", "version", F.struct("start", "n").alias("unit")]
+    later = units.where("here").select(*where).unionByName(units.join(firsts, ["h1", "h2"]).where("doc > first").select(*where))
+    later = later.groupBy("doc", "version").agg(F.collect_set("unit").alias("u"))
+    cleaned = touched.join(later, ["doc", "version"], "left").select("doc", "version", "text", F.col("u.start").alias("starts"), F.col("u.n").alias("ns")).mapInArrow(_cut_out(window, with_text), KEPT + text)
     whole = rows.mapInArrow(_untouched(with_text), KEPT + text).join(by_text.select("doc", "version"), ["doc", "version"], "left_anti")
     out = cleaned.unionByName(whole)
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *[c for c in out.columns if c not in ("doc", "version")])

@@ -40,6 +40,17 @@ def test_repeat_cases(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in twice) == [("1", 0), ("1", 0), ("None", 30)]
 
 
+def test_long_repeats_are_few_paths(spark):
+    """A passage of 3000 words in many texts compacts to a path or two; where two long passages meet in another order, the graph branches."""
+    rng = np.random.default_rng(5)
+    new = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**9, k))
+    p, q = new(3000), new(1000)
+    texts = [(i, f"{new(30)} {p} {new(30)}") for i in range(4)] + [(10, f"{p} {q}"), (11, f"{q} {p}"), (12, f"{new(5)} {q} {q}")]
+    assert repeats(spark, texts) == debruijn.brute_force(texts)
+    rows = spark.createDataFrame([(1, False, 4, 0, 0, 2, 2), (2, False, 3, 1, 1, 3, 3), (3, False, 5, 2, 2, 0, 4), (4, True, 1, 3, 3, 5, 5), (5, False, 2, 4, 4, 6, 6), (6, False, 7, 5, 5, 0, 0)], "edge long, branches boolean, n int, a long, b long, c long, d long")
+    assert sorted(map(tuple, debruijn.paths(rows).collect())) == [(1, 12), (5, 9)]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 12))
 def test_least_edges(values, span):
