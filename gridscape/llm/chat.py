@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import small_batches
+from gridscape.llm.common import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ SEGMENTS = "conv_id long, turn_no long, part int, role string, segment string, l
 def _machine(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, no, valid = (None,), "START", 0, True
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             out: list[list] = [[] for _ in range(7)]
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (conv,) != now or no == 0:
@@ -112,7 +112,6 @@ def segments(df: DataFrame, template: Template | None = None) -> DataFrame:
     still emitted. Columns other than the four are not read. An empty table gives an empty result.
     """
     template = template or Template()
-    small_batches(df.sparkSession)
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_machine(template), SEGMENTS)
 
@@ -130,7 +129,7 @@ def _reader(template: Template):
         def row() -> list:
             return [now[0], n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid and role in template.ends]
 
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             out = []
             for conv, part, segment, learned, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or conv != now[0]:

@@ -57,7 +57,10 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     own = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
     rows = own.join(drops, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_version")), "left")
     found = line_array("_row.text")
-    kept = F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter(found, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n"))
+    # the outer function holds the lines, so that a text is split once; places to keep come by hash, not by a search for each line
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    join = lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n")
+    kept = F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(F.get(F.transform(F.array(found), join), F.lit(0)))
     removed = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long")
     rows = rows.select("_row", kept.alias("_kept"), F.size(found).cast("long").alias("_lines"), removed.alias("_removed"))
     added = {"kept_text": "_kept", "n_lines": "_lines", "n_removed": "_removed"}

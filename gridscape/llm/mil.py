@@ -7,6 +7,7 @@ their weighted mean is scored by a logistic unit. Only the label of a document i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import SLICE_BYTES, slices, small_batches, utf8, word_hashes, words
+from gridscape.llm.common import SLICE_BYTES, bounded_batches, slices, utf8, word_hashes, words
 
 PASSAGE_WORDS = 128
-HASHED = 64
+HASHED_BITS = 7
+HASHED = 1 << HASHED_BITS
 HIDDEN, GATE = 32, 16
-#: Bounds of the sample that the model is fitted on: documents, and passages of one of them.
-TRAIN_ROWS, TRAIN_PASSAGES = 6_000, 32
+#: The bound of the sample that the model is fitted on, in documents; all their passages count.
+TRAIN_ROWS = 6_000
+#: Bytes of one text whose passages are encoded at a time.
+PART_BYTES = 1 << 20
 
 KINDS = 12
 _KIND = np.full(256, 10, np.uint8)
@@ -57,7 +61,7 @@ def passages(raw: np.ndarray, at: np.ndarray, size: int = PASSAGE_WORDS) -> tupl
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
     last = _KIND[raw[ends - 1]]
-    buckets = np.bincount(of * HASHED + (h >> np.uint64(58)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
+    buckets = np.bincount(of * HASHED + (h >> np.uint64(64 - HASHED_BITS)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
     mean = np.bincount(of, length, n) / some
     shape = [mean / 10, np.sqrt(np.maximum(0, np.bincount(of, length**2, n) / some - mean**2)) / 10, np.bincount(of, again, n) / some]
     shape += [np.bincount(of, last == k, n) / some for k in (6, 8, 11)]
@@ -67,13 +71,35 @@ def passages(raw: np.ndarray, at: np.ndarray, size: int = PASSAGE_WORDS) -> tupl
     return out, bag
 
 
-def bagged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def long_passages(text: np.ndarray, size: int = PASSAGE_WORDS, most: int = PART_BYTES) -> np.ndarray:
+    """The features of one text's passages, part by part: a part ends where a passage does."""
+    out, low = [], 0
+    while True:
+        high = min(len(text), low + most)
+        if high < len(text):
+            starts, _, _ = words(text[low:high], np.array([0, high - low]))
+            whole = (len(starts) - 1) // size * size  # the last word may go on
+            if whole <= 0:
+                most *= 2
+                continue
+            high = low + int(starts[whole])
+        x, _ = passages(text[low:high], np.array([0, high - low]), size)
+        out.append(x)
+        if high == len(text):
+            # white space alone, after the last whole passage, is none
+            return np.concatenate(out[:-1] if len(out) > 1 and not x.any() else out)
+        low = high
+
+
+def bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features of all passages, first passage of each text and the number of all), slice of texts by slice."""
     raw, at = utf8(column)
-    found = [passages(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, SLICE_BYTES)]
-    if not found:
-        return np.zeros((0, FEATURES)), np.zeros(1, np.int64)
-    shift = np.cumsum([0, *(len(x) for x, _ in found[:-1])])
-    return np.concatenate([x for x, _ in found]), np.concatenate([[0], *(b[1:] + s for (_, b), s in zip(found, shift, strict=True))])
+    for i, j in slices(at, SLICE_BYTES):
+        if at[j] - at[i] > PART_BYTES:  # one long text
+            x = long_passages(raw[at[i] : at[j]])
+            yield x, np.array([0, len(x)])
+        else:
+            yield passages(raw[at[i] : at[j]], at[i : j + 1] - at[i])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,23 +164,20 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_passages: int = TRAIN_PASSAGES, target: str = "quality") -> Model:
-    """Fit on at most `rows` labelled documents outside the held-out fold, those of least hash of doc_id, and `most_passages` evenly spaced passages of each.
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, target: str = "quality") -> Model:
+    """Fit on at most `rows` labelled documents outside the held-out fold, those of least hash of doc_id, by all their passages.
 
     Rows of a null doc_id or label are not learned from; repeated labels of a document are averaged. No label at all: every score is 0.5.
     """
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(target).cast("double")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def featured(batches):
-        for b in batches:
-            x, bag = bagged(b.column(1))
-            keep = [np.unique(np.linspace(i, j - 1, min(j - i, most_passages)).astype(int)) for i, j in zip(bag[:-1], bag[1:], strict=True)]
-            lists = [x[k].ravel() for k in keep]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lists, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        for batch in bounded_batches(batches, 1):
+            lists = [x[a:b].ravel() for x, bag in bags(batch.column(1)) for a, b in zip(bag[:-1], bag[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    # bounded: `rows` ids and labels; what comes back is at most rows * most_passages passages
+    # bounded: `rows` ids and labels; what comes back is the passages of as many documents, less than their texts
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     found = joined.mapInArrow(featured, "doc_id long, y double, x array<double>").toArrow()
     if not found.num_rows:
@@ -162,10 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_pa
     column = found["x"].combine_chunks()
     sizes = np.diff(column.offsets.to_numpy()) // FEATURES
     x = column.flatten().to_numpy().reshape(-1, FEATURES)
-    bags = np.split(x, np.cumsum(sizes)[:-1])
-    order = sorted(range(len(bags)), key=lambda k: (found["doc_id"][k].as_py(), bags[k].sum()))
+    each = np.split(x, np.cumsum(sizes)[:-1])
+    order = sorted(range(len(each)), key=lambda k: (found["doc_id"][k].as_py(), each[k].sum()))
     y = found["y"].to_numpy()[order]
-    return fit(np.concatenate([bags[k] for k in order]), np.concatenate([[0], np.cumsum(sizes[order])]), y)
+    return fit(np.concatenate([each[k] for k in order]), np.concatenate([[0], np.cumsum(sizes[order])]), y)
 
 
 def scorer(model: Model):
@@ -173,7 +196,7 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(*bagged(text)), pa.float64())
+        return pa.array(np.concatenate([np.empty(0), *(model.score(*part) for part in bags(text))]), pa.float64())
 
     return score
 
@@ -184,12 +207,10 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Null and empty texts are one empty passage. Repeated rows come out repeated; a null doc_id stays (its fold is that of an empty text). Other
     columns aren't read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), scorer(model)(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, that score at least `threshold`."""
-    small_batches(docs.sparkSession)
     return docs.where(scorer(model)(F.col("text")) >= threshold)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 
 from gridscape.llm.common import ids as key_and_text
-from gridscape.llm.common import named, small_batches
+from gridscape.llm.common import bounded_batches, named
 
 CAPACITY = 1024
 SENTENCE_PENALTY = 2
@@ -186,12 +186,11 @@ def pack(df: DataFrame, vocabulary: Vocabulary, *, order: list[Column] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(vocabulary, capacity, with_ids, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in bounded_batches(batches, 1):
             for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, np.append(encode(vocabulary, one.as_py() or ""), np.uint32(end_id)))
                 if packer.size >= chunk:
                     yield packer.pack(False)
         yield packer.pack(True)
 
-    small_batches(df.sparkSession)
     return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

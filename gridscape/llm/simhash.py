@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import bounded, cut, gram_hashes, ids, mix, one_array, slices, small_batches, utf8, word_hashes, words
+from gridscape.llm.common import bounded, bounded_batches, cut, gram_hashes, ids, mix, one_array, slices, utf8, word_hashes, words
 
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
@@ -60,11 +60,11 @@ def text_fingerprints(raw: np.ndarray, at: np.ndarray, n: int = 3, seed: int = 4
             if a == b:
                 continue
             lo, hi = (starts[a : b - n + 1], ends[a + n - 1 : b]) if b - a >= n else (starts[a : a + 1], ends[b - 1 : b])
-            h = np.array([xxh64_intdigest(data[x:y], seed) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
             counts = np.zeros(64, np.int64)
-            for c in range(0, len(h), 4096):
-                counts += np.unpackbits(h[c : c + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i + k] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+            for c in range(0, len(lo), 4096):
+                h = np.array([xxh64_intdigest(data[x:y], seed) for x, y in zip(lo[c : c + 4096].tolist(), hi[c : c + 4096].tolist(), strict=True)], np.uint64)
+                counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i + k] = np.packbits(counts * 2 > len(lo), bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -72,11 +72,10 @@ def fingerprints(df: DataFrame, *, text: str = "text", key: str = "doc_id", shin
     """doc_id, fp long of every row; a null text is empty and has fingerprint 0. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 1):
             found = text_fingerprints(*utf8(batch.column(1)), shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    small_batches(df.sparkSession)
     return ids(df, text, key).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -1,22 +1,29 @@
 """Token counts: Arrow batches in, lengths out.
 
 A batch is dealt into slices of about equal bytes. Texts are split at ASCII white space, a safe boundary for vocabularies that drop
-white space and whose pieces never reach across it (a special token has none in it either), so a text of any length is encoded in
-short pieces and never as one call. Each distinct piece is encoded once a slice and its length kept in a bounded per-task memory.
+white space and whose pieces never reach across it (a special token has none in it either), and a long run without white space where an ASCII digit, or
+punctuation behind a letter, must begin another piece, so a text of any length is encoded in short pieces and never as one call: only a run of
+letters is one piece whatever its length, as its merges reach all over it. Each distinct piece is encoded once a slice and its length kept in a
+bounded per-task memory.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridscape.llm.common import ids, slices, small_batches, utf8
+from gridscape.llm.common import bounded_batches, ids, slices, utf8
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
+#: Bytes of a run without white space beyond which it is split further.
+LONG = 1 << 12
+#: Between ASCII characters of which one is a digit, and between an ASCII letter and punctuation, but for what special tokens have inside them.
+INSIDE = re.compile(rb"(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{}~])")
 
 
 class UnsafeVocabulary(ValueError):
@@ -38,6 +45,14 @@ def splits_at_space(path: str) -> bool:
     return drops and not any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in spec["added_tokens"])
 
 
+def pieces(text: bytes, long: int = LONG) -> list[bytes]:
+    """Parts of a text that can be encoded one by one, its white space left out."""
+    found = text.split()
+    if len(text) <= long or max(map(len, found), default=0) <= long:
+        return found
+    return [x for run in found for x in (INSIDE.split(run) if len(run) > long else [run])]
+
+
 def _lengths(path: str, pieces: list[str]) -> list[int]:
     t = _tokenizer(path)
     return [len(e) for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -51,12 +66,12 @@ def counter(path: str, limit: int, slice_bytes: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         kept: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in bounded_batches(batches, 1):
             raw, at = utf8(batch.column(1))
             whole = raw.tobytes()
             tokens: list[int] = []
             for i, j in slices(at, slice_bytes):
-                texts = [whole[at[k] : at[k + 1]].split() for k in range(i, j)]
+                texts = [pieces(whole[at[k] : at[k + 1]]) for k in range(i, j)]
                 new = list(set().union(*texts).difference(kept))
                 if len(kept) + len(new) > KEPT_PIECES:
                     kept.clear()
@@ -75,9 +90,8 @@ def token_counts(df: DataFrame, vocabulary: str, *, text: str = "text", key: str
     """doc_id, n_bytes, n_tokens, over_limit of every row: narrow, no shuffle, only the two columns are read.
 
     A null text counts as empty: 0 bytes, 0 tokens. A null key stays null; repeated rows give repeated rows; other columns of df,
-    whatever their names, are not read. An empty table gives an empty result. A word of any length is one piece.
+    whatever their names, are not read. An empty table gives an empty result. A run of letters of any length is one piece.
     """
     if not splits_at_space(vocabulary):
         raise UnsafeVocabulary(vocabulary)
-    small_batches(df.sparkSession)
     return ids(df, text, key).mapInArrow(counter(vocabulary, limit, slice_bytes), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -119,3 +119,34 @@ def test_white_space_is_a_safe_boundary(parts):
     whole = " ".join(parts)
     pieces = whole.encode().split()
     assert sum(tokencount._lengths(WORDS, [p.decode() for p in pieces])) == len(t.encode(whole, add_special_tokens=False).ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|", "|>", "'s", "'", "é", "e\u0301", "1", "a1", "A'LL", "!", "|", "x.", "\u0301"]), st.text(st.characters(codec="utf-8"), max_size=4)), max_size=12))
+def test_a_long_run_splits_where_pieces_must(parts):
+    t = Tokenizer.from_file(WORDS)
+    whole = "".join(parts)
+    found = tokencount.pieces(whole.encode(), 0)
+    assert sum(tokencount._lengths(WORDS, [p.decode() for p in found])) == len(t.encode(whole, add_special_tokens=False).ids)
+
+
+def test_long_texts_in_bounded_memory(spark):
+    """One text of 50 MB goes through each narrow operator without arrays of many times its size."""
+    import resource
+
+    from gridscape.llm import mil, simhash, sketch
+    from gridscape.llm.common import utf8
+    import pyarrow as pa
+
+    text = pa.array([" ".join(f"word{k % 9973}," for k in range(4_500_000))])
+    raw, at = utf8(text)
+    assert len(raw) > 44e6
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    x = mil.long_passages(raw)
+    (fingerprint,) = sketch.sketches(raw, at)
+    counted = next(tokencount.counter(WORDS, 2048, 1 << 20)(iter([pa.RecordBatch.from_arrays([pa.array([1]), text], ["doc_id", "text"])])))
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1e3
+    assert len(x) == -(-4_500_000 // 128) and len(fingerprint) > 100 and counted.column("over_limit")[0].as_py()
+    print("MB", grown)
+    assert grown < 900
+    assert simhash.text_fingerprints(raw[: 1 << 20], np.array([0, 1 << 20]))[0]

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -48,6 +50,50 @@ def test_quality_cases(spark):
     assert {r.score for r in mil.scored(docs, none).collect()} == {0.5}
 
 
+def plain_score(model, text):
+    """The score by its definition, one byte, word and passage after another."""
+    raw = (text or "").encode()
+    kind = lambda b: 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b >= 128 else 5 if b == 10 else 4 if b in (32, 9, 11, 12, 13) else {33: 6, 124: 7, 46: 8, 63: 8, 44: 9}.get(b, 11 if b in (35, 36, 37, 38, 42, 64, 94, 126) else 10)
+    spots = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    hashes = dict(zip(spots, mil.word_hashes(np.frombuffer(raw, np.uint8), *(np.array(x, np.int64) for x in zip(*spots, strict=True))).tolist(), strict=True)) if spots else {}
+    rows = []
+    for k in range(0, max(1, len(spots)), mil.PASSAGE_WORDS):
+        own = spots[k : k + mil.PASSAGE_WORDS]
+        after = spots[k + mil.PASSAGE_WORDS][0] if k + mil.PASSAGE_WORDS < len(spots) else len(raw)
+        kinds, cells = [0.0] * mil.KINDS, [0.0] * mil.HASHED
+        for b in raw[own[0][0] : after] if own else b"":
+            kinds[kind(b)] += 1
+        n, sizes = max(1, len(own)), [b - a for a, b in own]
+        for spot in own:
+            cells[hashes[spot] >> (64 - mil.HASHED_BITS)] += 1
+        mean = sum(sizes) / n
+        shape = [mean / 10, max(0.0, sum(x * x for x in sizes) / n - mean**2) ** 0.5 / 10, sum(hashes[a] == hashes[b] for a, b in zip(own, own[1:], strict=False)) / n]
+        shape += [sum(kind(raw[e - 1]) == x for _, e in own) / n for x in (6, 8, 11)]
+        shape += [sum(c > 0 for c in cells) / min(n, mil.HASHED), math.log1p(len(own)) / 5]
+        rows.append([x / max(1, sum(kinds)) for x in kinds] + shape + [(c / n) ** 0.5 for c in cells])
+    w, sig = model.weights, lambda x: 1 / (1 + math.exp(-x))
+    h = [[math.tanh(sum((x - m) / s * e for x, m, s, e in zip(row, model.mean, model.scale, column, strict=True)) + b) for column, b in zip(w["enc"].T, w["enc0"], strict=True)] for row in rows]
+    dot = lambda x, column: sum(a * b for a, b in zip(x, column, strict=True))
+    gate = [math.exp(sum(math.tanh(dot(x, t)) * sig(dot(x, s)) * a for t, s, a in zip(w["tan"].T, w["sig"].T, w["att"], strict=True))) for x in h]
+    return sig(sum(dot(x, w["out"]) * g for x, g in zip(h, gate, strict=True)) / sum(gate) + w["out0"][0])
+
+
+def test_scores_are_those_of_the_definition(spark):
+    docs, labels = labelled(spark, 60)
+    model = mil.train(docs, labels)
+    rows = [*EDGES, (20, "One, two; THREE!! 4 ## é "), (21, " \n".join(f"w{k % 50}" for k in range(700)) + " \n"), (22, "a a a b")]
+    got = {(r.doc_id, i): r.score for i, r in enumerate(mil.scored(documents(spark, rows).coalesce(1), model).collect())}
+    for i, (doc_id, text) in enumerate(rows):
+        assert got[doc_id, i] == pytest.approx(plain_score(model, text), abs=1e-9)
+
+
+def test_passages_of_a_long_text_are_the_same_part_by_part():
+    for tail in ("", " ", " end"):
+        raw = np.frombuffer((" \n x".join(f"w{k % 977}" for k in range(20_000)) + tail).encode(), np.uint8)
+        whole, _ = mil.passages(raw, np.array([0, len(raw)]))
+        assert np.array_equal(whole, mil.long_passages(raw, most=5_000))
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = labelled(spark, 80)
     turned = labels.withColumn("quality", F.when(mil.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
