@@ -45,3 +45,7 @@ class InsufficientData(GridscapeError, ValueError):
 
 class PersistenceError(GridscapeError, OSError):
     """A stored model can't be read."""
+
+
+class NoSharedFolder(GridscapeError):
+    """spark.checkpoint.dir is unset on a cluster, whose executors don't see the driver's folders."""

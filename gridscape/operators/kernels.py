@@ -48,8 +48,11 @@ def nearest(x: np.ndarray, c: np.ndarray, metric: str = "euclidean") -> tuple[np
     d2 = cross_l2sq(x, c)
     unit = first_min(d2)
     low = d2[np.arange(len(x)), unit]
-    for i in np.flatnonzero((d2 <= (low + CLOSE * (1 + low))[:, None]).sum(axis=1) > 1):
-        unit[i] = first_min(((c - x[i]) ** 2).sum(axis=1))
+    close = np.flatnonzero((d2 <= (low + CLOSE * (1 + low))[:, None]).sum(axis=1) > 1)
+    step = max(1, (1 << 20) // max(1, c.size))
+    for i in range(0, len(close), step):
+        rows = close[i : i + step]
+        unit[rows] = first_min(((x[rows][:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
     exact = ((x - c[unit]) ** 2).sum(axis=1)
     return unit, exact if metric == "sqeuclidean" else np.sqrt(exact)
 

@@ -20,7 +20,7 @@ from gridscape.operators import gridops, kernels, lloyd, metrics
 from gridscape.operators.assign import codebook_table, hit_map, nearest, nearest_column
 from gridscape.operators.seeding import init_codebook
 from gridscape.plans.planner import added_up, in_one_task, lists, plan, vectors
-from gridscape.schema import FeatureSpec, assemble, check_width, shape, with_pos
+from gridscape.schema import FeatureSpec, assemble, check_width, positions, shape
 
 MOST_RATE = 1.76
 RULES = {"euclidean": "euclidean", "cosine": "cosine", "manhattan": "manhattan"}
@@ -169,16 +169,16 @@ class SOM:
         done = 0
         for epoch in range(epochs):
             order = [F.xxhash64("row_id", F.lit(self.seed + epoch)), F.col("row_id")] if shuffle else [F.col("row_id")]
-            placed = with_pos(rows, *order)
+            placed = positions(rows, *order)
             try:
                 for i in range(0, count, size):
                     end = min(i + size, count, i + total - done)
-                    w = fold_job(placed.where((F.col("pos") >= i) & (F.col("pos") < end)), w, schedule, done - i, self)
+                    w = fold_job(placed.df.where((F.col("pos") >= i) & (F.col("pos") < end)), w, schedule, done - i, self)
                     done += end - i
                     if done >= total:
                         return w
             finally:
-                placed.unpersist()
+                placed.remove()
         return w
 
     def _batch_map(self, rows: DataFrame, w: np.ndarray, epochs: int, schedule: kernels.Schedule, count: int) -> np.ndarray:
@@ -197,24 +197,56 @@ def _unit_sums(x: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+#: Pairs that the driver composes at most; more are composed by executors first.
+MOST_PAIRS = 64
+PAIR = "pos long, a array<double>, b array<double>"
+
+
+def _pair(pos: int, pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(pos)]), lists(pair[0][None, :]), lists(pair[1].reshape(1, -1))], ["pos", "a", "b"])
+
+
+def _composed(batches):
+    """The pairs of a partition, in order, as one."""
+    found = None
+    for b in batches:
+        for pos, a, c in zip(b.column(0).to_pylist(), vectors(b.column(1)), vectors(b.column(2)), strict=True):
+            pair = (a, c.reshape(len(a), -1))
+            found = (pos, pair) if found is None else (found[0], kernels.compose(found[1], pair))
+    if found is not None:
+        yield _pair(*found)
+
+
 def fold_job(batch: DataFrame, w: np.ndarray, schedule: kernels.Schedule, shift: int, som: SOM) -> np.ndarray:
-    """One batch: a pair (A, B) from each run of positions, composed in order."""
+    """One batch: a pair (A, B) from each run of consecutive positions that a partition has, composed in order.
+
+    A file of positions is one run or several whole ones, so there are no more pairs than files; above MOST_PAIRS, ranges of them are composed first.
+    """
 
     def run(batches):
+        begin = after = pair = None
         for b in batches:
             if not b.num_rows:
                 continue
             pos, x = b.column(0).to_numpy(), vectors(b.column(1))
             bmu, _ = kernels.nearest(x, w, som.distance)
-            pair = None
-            for i in range(0, len(x), 256):
-                s = slice(i, i + 256)
-                part = kernels.fold(kernels.influence(bmu[s], (pos[s] + shift).astype(float), schedule, som.n, len(w), som.exp_mode), x[s])
-                pair = part if pair is None else kernels.compose(pair, part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(pos[0])]), lists(pair[0][None, :]), lists(pair[1].reshape(1, -1))], ["pos", "a", "b"])
-
-    ordered = batch.sortWithinPartitions("pos").select("pos", "features")
-    for r in sorted(ordered.mapInArrow(run, "pos long, a array<double>, b array<double>").collect(), key=lambda r: r.pos):
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(pos) != 1) + 1, [len(pos)]])
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if pair is not None and pos[first] != after:
+                    yield _pair(begin, pair)
+                    pair = None
+                begin, after = pos[first] if pair is None else begin, pos[end - 1] + 1
+                for i in range(first, end, 256):
+                    s = slice(i, min(i + 256, end))
+                    part = kernels.fold(kernels.influence(bmu[s], (pos[s] + shift).astype(float), schedule, som.n, len(w), som.exp_mode), x[s])
+                    pair = part if pair is None else kernels.compose(pair, part)
+        if pair is not None:
+            yield _pair(begin, pair)
+
+    pairs = batch.sortWithinPartitions("pos").select("pos", "features").mapInArrow(run, PAIR)
+    if len(batch.inputFiles()) > MOST_PAIRS:
+        pairs = pairs.repartitionByRange(MOST_PAIRS, "pos").sortWithinPartitions("pos").mapInArrow(_composed, PAIR)
+    for r in sorted(pairs.collect(), key=lambda r: r.pos):
         w = np.array(r.a)[:, None] * w + np.array(r.b).reshape(w.shape)
     return w
 

@@ -14,7 +14,7 @@ from gridscape.operators.assign import distance_matrix, grid_place, hit_map, nea
 from gridscape.operators.density import DensityModel, grid_clusters
 from gridscape.operators.som import SOMModel
 from gridscape.plans.planner import added_up
-from gridscape.queries.base import COLUMNS, E_SQL, UNITS, near_sql, plane, plane_sql, points, registry, shards_sql, sq, weights
+from gridscape.queries.base import COLUMNS, E_SQL, UNITS, codebook, near_sql, points, registry, shards_sql, sq, weights
 
 QUERIES, query = registry()
 ROWS = UNITS // COLUMNS
@@ -138,16 +138,16 @@ def _state(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 LP = f"ln(1.0 / {K}) + list_sum(list_transform(list_zip(e.x, c.x), lambda p: -0.5 * ln(2 * pi()) - 0.5 * ln(0.05) - 0.5 * (p[1] - p[2]) * (p[1] - p[2]) / 0.05))"
-ESTEP = f"""WITH {plane_sql()}, l AS (SELECT e.row_id, c.row_id AS k, e.x, {LP} AS lp FROM e CROSS JOIN (SELECT row_id, x FROM e WHERE row_id < {K}) c),
+ESTEP = f"""WITH {E_SQL}, l AS (SELECT e.row_id, c.row_id AS k, e.x, {LP} AS lp FROM e CROSS JOIN (SELECT row_id, x FROM e WHERE row_id < {K}) c),
 z AS (SELECT *, max(lp) OVER (PARTITION BY row_id) + ln(sum(exp(lp - top)) OVER (PARTITION BY row_id)) AS s FROM (SELECT *, max(lp) OVER (PARTITION BY row_id) AS top FROM l))"""
 
 
 @query(f"{ESTEP} SELECT row_id, CAST(k AS INTEGER) AS k, round(exp(lp - s), 6) AS r FROM z")
 def gmm_estep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The E-step as Columns: the log joint of every component, and the log-sum-exp over them."""
-    rows = plane(spark, sf_dir)
+    rows = points(spark, sf_dir)
     _, means, var = _state(rows)
-    joint = [F.lit(math.log(1 / K)) + 4 * (-0.5 * math.log(2 * math.pi) - 0.5 * math.log(0.05)) - 0.5 * l2sq("features", F.array(*[F.lit(float(v)) for v in m])) / 0.05 for m in means]
+    joint = [F.lit(math.log(1 / K)) + means.shape[1] * (-0.5 * math.log(2 * math.pi) - 0.5 * math.log(0.05)) - 0.5 * l2sq("features", F.array(*[F.lit(float(v)) for v in m])) / 0.05 for m in means]
     lp = rows.select("row_id", F.array(*joint).alias("lp")).withColumn("top", F.array_max("lp"))
     s = F.col("top") + F.log(F.aggregate("lp", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     return lp.select("row_id", F.posexplode(F.transform("lp", lambda v: F.exp(v - s))).alias("k", "r")).select("row_id", "k", F.round("r", 6).alias("r"))
@@ -158,23 +158,22 @@ m AS (SELECT k, dim, sum(r) AS n, sum(r * v) / sum(r) AS mean FROM u GROUP BY k,
 SELECT CAST(m.k AS INTEGER) AS k, CAST(m.dim - 1 AS INTEGER) AS dim, round(any_value(n) / (SELECT count(*) FROM e), 5) AS weight, round(any_value(mean), 5) + 0.0 AS mean, round(greatest(1e-6, sum(r * (v - mean) * (v - mean)) / any_value(n)), 5) AS var
 FROM u JOIN m USING (k, dim) GROUP BY m.k, m.dim""")
 def gmm_mstep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plane(spark, sf_dir)
+    rows = points(spark, sf_dir)
     state = _state(rows)
     w, m, v = gmm.m_step(added_up(rows, lambda x: gmm.e_sums(x, state)), state[1])
     out = [(k, j, round(float(w[k]), 5), round(float(m[k, j]), 5) + 0.0, round(float(v[k, j]), 5)) for k in range(K) for j in range(m.shape[1])]
     return spark.createDataFrame(out, "k int, dim int, weight double, mean double, var double")
 
 
-@query(f"{ESTEP} SELECT round(-2 * sum(s) + ({K} * (2 * 4 + 1) - 1) * ln(count(*)), 4) AS bic FROM (SELECT DISTINCT row_id, s FROM z)")
+@query(f"{ESTEP} SELECT round(-2 * sum(s) + ({K} * (2 * 64 + 1) - 1) * ln(count(*)), 4) AS bic FROM (SELECT DISTINCT row_id, s FROM z)")
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plane(spark, sf_dir)
+    rows = points(spark, sf_dir)
     state = _state(rows)
     ll = added_up(rows, lambda x: gmm.e_sums(x, state))[0, -1]
-    return spark.createDataFrame([(round(gmm.bic(float(ll), rows.count(), K, 4), 4),)], "bic double")
+    return spark.createDataFrame([(round(gmm.bic(float(ll), rows.count(), K, state[1].shape[1]), 4),)], "bic double")
 
 
-@query(f"WITH {E_SQL}, p AS (SELECT a.row_id, b.row_id AS other, sqrt({sq('a.x', 'b.x')}) AS d FROM e a CROSS JOIN e b WHERE a.row_id < 20 AND b.row_id < 20) SELECT row_id, CAST(other AS INTEGER) AS unit, round(d, 6) AS d FROM p")
+@query(f"WITH {E_SQL}, {shards_sql()} SELECT row_id, CAST(unit AS INTEGER) AS unit, round(sqrt({sq('e.x', 'cb.w')}), 6) AS d FROM e CROSS JOIN cb")
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix of distances of rows to a codebook of rows."""
-    few = points(spark, sf_dir).where("row_id < 20")
-    return distance_matrix(few, few.select(F.col("row_id").cast("int").alias("unit"), F.col("features").alias("weights"))).withColumn("d", F.round("d", 6))
+    """The matrix of distances of all rows to a codebook."""
+    return distance_matrix(points(spark, sf_dir), codebook(spark, sf_dir)).withColumn("d", F.round("d", 6))

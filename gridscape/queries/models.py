@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +15,9 @@ from gridscape.operators.gmm import DiagGMM
 from gridscape.operators.picker import ModelPicker
 from gridscape.operators.som import SOM, SOMModel, fold_job, unit_cluster_means
 from gridscape.plans.planner import added_up
+from gridscape.plans.storage import shared_dir
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, long_form, near_sql, points, registry, shards_sql, sq, table, weights
-from gridscape.schema import with_pos
+from gridscape.schema import positions
 from gridscape.sources import datagen, persist
 from gridscape.streaming.score import score_stream
 
@@ -94,11 +93,11 @@ def kmeans_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.agg(F.count(F.lit(1)).alias("n"), F.lit(bool(moved < 1e-3)).alias("means_fixed"), F.bool_and(F.col("cluster") == F.col("unit")).alias("labels_fixed"))
 
 
-RATE, RADIUS, FEW = 0.5, 1.5, 64
-H = f"{RATE} * exp(-5 * (p / {FEW}.0)) * exp(-(pow(c.unit // {COLUMNS} - a.unit // {COLUMNS}, 2) + pow(c.unit % {COLUMNS} - a.unit % {COLUMNS}, 2)) / (2 * pow({RADIUS} * exp(-3 * (p / {FEW}.0)), 2)))"
-STEP_SQL = f"""{NEAR}, f AS (SELECT *, row_id AS p FROM a WHERE row_id < {FEW}),
-h0 AS (SELECT c.unit, a.p, a.x, {H} AS h, abs(c.unit // {COLUMNS} - a.unit // {COLUMNS}) AS dr, abs(c.unit % {COLUMNS} - a.unit % {COLUMNS}) AS dc FROM f a CROSS JOIN cb c),
-h1 AS (SELECT unit, p, x, CASE WHEN dr > ceil(3 * {RADIUS} * exp(-3 * (p / {FEW}.0))) OR dc > ceil(3 * {RADIUS} * exp(-3 * (p / {FEW}.0))) OR h < 1e-8 THEN 0 ELSE h END AS h FROM h0),
+RATE, RADIUS = 0.5, 1.5
+H = f"{RATE} * exp(-5 * (p / n)) * exp(-(pow(c.unit // {COLUMNS} - a.unit // {COLUMNS}, 2) + pow(c.unit % {COLUMNS} - a.unit % {COLUMNS}, 2)) / (2 * pow({RADIUS} * exp(-3 * (p / n)), 2)))"
+STEP_SQL = f"""{NEAR}, f AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM a),
+h0 AS (SELECT c.unit, a.p, a.n, a.x, {H} AS h, abs(c.unit // {COLUMNS} - a.unit // {COLUMNS}) AS dr, abs(c.unit % {COLUMNS} - a.unit % {COLUMNS}) AS dc FROM f a CROSS JOIN cb c),
+h1 AS (SELECT unit, p, x, CASE WHEN dr > ceil(3 * {RADIUS} * exp(-3 * (p / n))) OR dc > ceil(3 * {RADIUS} * exp(-3 * (p / n))) OR h < 1e-8 THEN 0 ELSE h END AS h FROM h0),
 h2 AS (SELECT *, coalesce(product(1 - h) OVER (PARTITION BY unit ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS later FROM h1),
 b AS (SELECT unit, unnest(x) AS v, generate_subscripts(x, 1) AS dim, h * later AS k FROM h2), bs AS (SELECT unit, dim, sum(k * v) AS b FROM b GROUP BY unit, dim),
 k AS (SELECT unit, product(1 - h) AS a FROM h1 GROUP BY unit), w AS (SELECT unit, unnest(w) AS w, generate_subscripts(w, 1) AS dim FROM cb)
@@ -107,10 +106,10 @@ SELECT CAST(w.unit AS INTEGER) AS unit, CAST(w.dim - 1 AS INTEGER) AS dim, round
 
 @query(STEP_SQL)
 def som_batch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One batch of the distributed ordered fold over the first rows."""
-    placed = with_pos(points(spark, sf_dir).where(F.col("row_id") < FEW).select("row_id", "features"))
-    w = fold_job(placed, weights(spark, sf_dir), kernels.Schedule(RATE, RADIUS, FEW), 0, SOM(ROWS, COLUMNS))
-    placed.unpersist()
+    """One batch of the distributed ordered fold, over all rows."""
+    placed = positions(points(spark, sf_dir).select("row_id", "features"))
+    w = fold_job(placed.df, weights(spark, sf_dir), kernels.Schedule(RATE, RADIUS, placed.df.count()), 0, SOM(ROWS, COLUMNS))
+    placed.remove()
     return _book(spark, w)
 
 
@@ -187,14 +186,14 @@ def density_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir).drop("label").withColumn("features", F.slice("features", 1, 4))
+    rows = points(spark, sf_dir).drop("label")
     return DiagGMM(3).fit(rows).transform(rows).select("row_id", "label")
 
 
 @query()
 def gap_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = kselect.sample_array(points(spark, sf_dir).withColumn("features", F.slice("features", 1, 2)))
-    return spark.createDataFrame([(kselect.gap_statistic(spark, sample, [2, 3, 4], 3), kselect.bic_k(spark, sample, [2, 3, 4]))], "k_gap int, k_bic int")
+    sample = kselect.sample_array(kselect.stratified_sample(points(spark, sf_dir)))
+    return spark.createDataFrame([(kselect.gap_statistic(spark, sample, list(range(2, 13))), kselect.bic_k(spark, sample, list(range(2, 13))))], "k_gap int, k_bic int")
 
 
 @query("SELECT label, least(count(*), 200 // any_value(k)) AS count FROM embeddings CROSS JOIN (SELECT max(label) + 1 AS k FROM embeddings) GROUP BY label")
@@ -204,13 +203,13 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir).drop("label").withColumn("features", F.slice("features", 1, 2))
-    return AutoCluster(4, 4, init="som++", gap_n_refs=2).fit(rows, 2, False).transform(rows).select("row_id", "label")
+    rows = points(spark, sf_dir).drop("label")
+    return AutoCluster(4, 4, init="som++").fit(rows, 2, False).transform(rows).select("row_id", "label")
 
 
 @query()
 def model_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picker = ModelPicker(3, 3, epochs=1, methods=("random", "som++", "naive_sharding")).evaluate(points(spark, sf_dir).drop("label"))
+    picker = ModelPicker(3, 3, epochs=1).evaluate(points(spark, sf_dir).drop("label"))
     return spark.createDataFrame([(name, round(score, 4)) for name, score, _ in picker.results], "method string, silhouette double")
 
 
@@ -237,7 +236,7 @@ def classifier_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{NEAR} SELECT row_id, unit AS bmu FROM a")
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/gridscape-model"
+    path = f"{shared_dir(spark)}/gridscape-model"
     persist.save(SOMModel(weights(spark, sf_dir), ROWS, COLUMNS), spark, path)
     return persist.load(spark, path).transform(points(spark, sf_dir)).select("row_id", "bmu")
 

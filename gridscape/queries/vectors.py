@@ -70,11 +70,12 @@ def gaussian_nbh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(V.gaussian_nbh(F.col("p_size").cast("double"), 3.0, 0.5), 6).alias("h"))
 
 
-@query(f"""WITH {plane_sql()} SELECT e.row_id, round(pow(2 * pi(), -2) * pow(0.5, -4) * exp(-{sq('e.x', 'z.x')} / (2 * 0.25)), 6) AS d
+@query(f"""WITH {E_SQL} SELECT e.row_id, round(-32 * ln(2 * pi()) - 64 * ln(0.5) - {sq('e.x', 'z.x')} / (2 * 0.25), 6) AS d
 FROM e CROSS JOIN (SELECT x FROM e WHERE row_id = 0) z""")
 def gaussian_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plane(spark, sf_dir)
-    return rows.crossJoin(first_point(rows)).select("row_id", F.round(V.gaussian_kernel("features", "center", 0.5, 4), 6).alias("d"))
+    """Its logarithm, as the kernel itself is near 0 in 64 dimensions."""
+    rows = points(spark, sf_dir)
+    return rows.crossJoin(first_point(rows)).select("row_id", F.round(F.ln(V.gaussian_kernel("features", "center", 0.5, 64)), 6).alias("d"))
 
 
 @query("""WITH t AS (SELECT p_partkey, (p_size - 25) / 10.0 AS x FROM part)
@@ -88,12 +89,14 @@ def fast_inv_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(V.fast_inv_sqrt(F.col("c_acctbal")), 6).alias("y"))
 
 
-@query(f"""WITH {E_SQL} SELECT e.row_id, abs(sqrt(list_sum(list_transform(e.x, lambda c: c * c))) - sqrt(list_sum(list_transform(z.x[1:8], lambda c: c * c)))) > 0.5 AS skip
+@query(f"""WITH {E_SQL} SELECT e.row_id, abs((e.row_id % 10 + 1) / 4.0 * sqrt(list_sum(list_transform(e.x, lambda c: c * c))) - sqrt(list_sum(list_transform(z.x, lambda c: c * c)))) > 0.6 AS skip
 FROM e CROSS JOIN (SELECT x FROM e WHERE row_id = 0) z""")
 def triangle_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of several lengths against the first one."""
     rows = points(spark, sf_dir)
     norm = lambda c: F.sqrt(V.sum_squares(c))
-    return rows.crossJoin(first_point(rows)).select("row_id", V.triangle_skip(norm("features"), norm(F.slice("center", 1, 8)), F.lit(0.5)).alias("skip"))
+    longer = F.transform("features", lambda x: x * ((F.col("row_id") % 10 + 1) / 4.0))
+    return rows.crossJoin(first_point(rows)).select("row_id", V.triangle_skip(norm(longer), norm("center"), F.lit(0.6)).alias("skip"))
 
 
 @query(f"WITH {E_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL OR len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) > 0) AS bad, count(*) FILTER (WHERE len(x) <> 64) AS wrong FROM e")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscape.errors import DimensionMismatch, InsufficientData, InvalidInputData
+from gridscape.plans.storage import Stored, stored
 
 
 @dataclass(frozen=True)
@@ -60,19 +61,23 @@ def check_width(rows: DataFrame, d: int) -> None:
         raise DimensionMismatch(f"the model has {d} features")
 
 
-def with_pos(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Add pos, the dense 0-based rank by `order`, without a window over all rows: a range sort, the partitions' counts, and an offset for each.
+def positions(rows: DataFrame, *order: Column | str) -> Stored:
+    """rows with pos, the dense 0-based rank by `order`, without a window over all rows: a range sort, the partitions' counts, and an offset for each.
 
-    The result is persisted, so that both passes see the same partitions; unpersist it when done.
+    The sorted rows are a table in the shared folder, so that a lost executor can't number them anew; remove it when done.
     """
     sort = [F.col(c) if isinstance(c, str) else c for c in order or ("row_id",)]
-    ranged = rows.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = stored(rows.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    counts = ranged.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row a partition
+    counts = ranged.df.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row a partition
     offset, total = [], 0
     for r in counts:
         offset += [F.lit(r.part), F.lit(total - (r.part << 33)).cast("long")]
         total += r["count"]
-    if not offset:
-        return ranged.withColumn("pos", F.lit(0).cast("long")).drop("_at")
-    return ranged.withColumn("pos", F.col("_at") + F.create_map(*offset)[part]).drop("_at")
+    pos = F.col("_at") + F.create_map(*offset)[part] if offset else F.lit(0).cast("long")
+    return Stored(ranged.df.withColumn("pos", pos).drop("_at"), ranged.path)
+
+
+def with_pos(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """The same for a lazy result, whose table stays until the shared folder's owner clears it."""
+    return positions(rows, *order).df

@@ -137,6 +137,38 @@ def test_training_does_not_depend_on_partitions(spark, parts):
     assert np.abs(a.weights - b.weights).max() < 1e-10
 
 
+def test_distributed_training_leaves_nothing_behind(spark):
+    """No table stays in memory or in the shared folder, and the driver gets one pair a file of positions, however many Arrow batches that is."""
+    import glob
+
+    from gridscape.operators import som as module
+    from gridscape.plans.storage import shared_dir
+    from gridscape.schema import positions
+
+    rows = frame(spark, sine(400, 3)).repartition(4)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    files = set(glob.glob(f"{shared_dir(spark)}/gridscape/*"))
+    SOM(3, 3, init="zero", plan="distributed").fit(rows, 2, batch_size=200)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert set(glob.glob(f"{shared_dir(spark)}/gridscape/*")) == files
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        placed = positions(rows)
+        schedule, som, w = kernels.Schedule(0.5, 1.5, 400), SOM(3, 3), np.zeros((9, 3)) + np.arange(9)[:, None]
+        whole = module.fold_job(placed.df, w, schedule, 0, som)
+        module.MOST_PAIRS, most = 1, module.MOST_PAIRS
+        try:
+            assert np.allclose(module.fold_job(placed.df, w, schedule, 0, som), whole)  # composed by executors first
+        finally:
+            module.MOST_PAIRS = most
+        placed.remove()
+    finally:
+        spark.conf.set(key, before)
+    assert np.allclose(whole, kernels.train_batch(w, sine(400, 3), np.arange(400.0), schedule, 3, "euclidean", "exact"))
+
+
 def test_schedule_and_limits(spark):
     s = kernels.Schedule(0.5, 3.0, 100)
     rate, radius = s.at(np.array([0.0, 100.0]))
