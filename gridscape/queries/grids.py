@@ -14,6 +14,7 @@ from gridscape.operators.assign import distance_matrix, grid_place, hit_map, nea
 from gridscape.operators.density import DensityModel, grid_clusters
 from gridscape.operators.som import SOMModel
 from gridscape.plans.planner import added_up
+from gridscape.queries import unrolled
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, codebook, near_sql, points, registry, shards_sql, sq, weights
 
 QUERIES, query = registry()
@@ -84,7 +85,7 @@ def watershed_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in peaks], "unit int")
 
 
-@query()
+@query(f"{OTSU}, {', '.join(unrolled.watershed('co', ROWS, COLUMNS, 'ws'))} SELECT unit, cluster FROM ws")
 def watershed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _units(spark, [int(v) for v in _clusters(spark, sf_dir).labels], "cluster int")
 
@@ -95,7 +96,7 @@ def gaussian_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _units(spark, [float(v) for v in h], "h double").withColumn("h", F.round("h", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {', '.join([E_SQL, shards_sql(), *unrolled.tree_cut('cb', COLUMNS, 3, 'tc')])} SELECT unit, cluster FROM tc")
 def tree_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _units(spark, [int(v) for v in gridops.cut_tree(weights(spark, sf_dir), ROWS, COLUMNS, 3)], "cluster int")
 

@@ -16,7 +16,9 @@ from gridscape.operators.picker import ModelPicker
 from gridscape.operators.som import SOM, SOMModel, fold_job, unit_cluster_means
 from gridscape.plans.planner import added_up
 from gridscape.plans.storage import shared_dir
+from gridscape.queries import unrolled
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, long_form, near_sql, points, registry, shards_sql, sq, table, weights
+from gridscape.queries.grids import OTSU
 from gridscape.schema import positions
 from gridscape.sources import datagen, persist
 from gridscape.streaming.score import score_stream
@@ -77,7 +79,10 @@ def cluster_means_via_bmu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, means)
 
 
-@query()
+REST = 25
+
+
+@query(f"WITH {', '.join([E_SQL, *unrolled.farthest('e', 10, 'f'), *unrolled.lloyd('e', 'f', REST, 'l'), unrolled.assigned('e', 'l', 'z')])} SELECT row_id, CAST(unit AS INTEGER) AS cluster FROM z")
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.KMeans(k=10).fit(points(spark, sf_dir)).transform(points(spark, sf_dir)).select("row_id", F.col("label").alias("cluster"))
 
@@ -113,11 +118,16 @@ def som_batch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, w)
 
 
+MAP = [E_SQL, *unrolled.farthest("e", 36, "f"), *unrolled.trained("e", "f", 6, 3, 0.5, 3.0, "t")]
+ON_MAP = f"{', '.join([*MAP, unrolled.assigned('e', 't', 'z')])}"
+UNIT_ROWS = "tu AS MATERIALIZED (SELECT unit AS row_id, w AS x FROM t)"
+
+
 def _map(spark: SparkSession, sf_dir: str, **options) -> SOMModel:
     return SOM(6, 6, 0.5, 3.0, options.pop("init", "som++"), **options).fit(points(spark, sf_dir), 3, False)
 
 
-@query()
+@query(f"WITH {ON_MAP} SELECT row_id, CAST(unit AS INTEGER) AS bmu, round(sqrt(d2), 4) AS distance FROM z")
 def som_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).transform(points(spark, sf_dir), distance="distance").select("row_id", "bmu", F.round("distance", 4).alias("distance"))
 
@@ -129,27 +139,35 @@ def som_fit_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(bool(np.abs(local.weights - spread.weights).max() < 1e-9),)], "same boolean")
 
 
-@query()
+def _samples_sql(**options) -> str:
+    return f"WITH RECURSIVE {', '.join([E_SQL, *unrolled.farthest('e', 36, 'f'), *unrolled.by_samples('e', 'f', 6, 3, 0.5, 3.0, 't', **options)])}"
+
+
+COUNTS = "SELECT CAST(unit AS INTEGER) AS bmu, count(*) AS count FROM z GROUP BY unit"
+COSINE = "1 - list_sum(list_transform(list_zip(e.x, t.w), lambda v: v[1] * v[2])) / sqrt(list_sum(list_transform(t.w, lambda v: v * v))) / sqrt(list_sum(list_transform(e.x, lambda v: v * v)))"
+
+
+@query(f"{_samples_sql(cutoff=False)}, {unrolled.assigned('e', 't', 'z')} {COUNTS}")
 def som_fit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir, bmu_refresh="sample", cutoff=False).transform(points(spark, sf_dir)).groupBy("bmu").count()
 
 
-@query()
+@query(f"WITH {', '.join([E_SQL, *unrolled.farthest('e', 36, 'f'), *unrolled.batch_map('e', 'f', 6, 3, 3.0, 't'), unrolled.assigned('e', 't', 'z')])} SELECT CAST(unit AS INTEGER) AS bmu, count(*) AS count FROM z GROUP BY unit")
 def som_fit_batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir, algorithm="batch_map").transform(points(spark, sf_dir)).groupBy("bmu").count()
 
 
-@query()
+@query(f"{_samples_sql(rule='cosine')}, z AS (SELECT row_id, m.unit AS unit FROM (SELECT e.row_id, min({{'d': {COSINE}, 'unit': t.unit}}) AS m FROM e CROSS JOIN t GROUP BY e.row_id)) {COUNTS}")
 def som_cosine_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir, distance="cosine", update="cosine").transform(points(spark, sf_dir)).groupBy("bmu").count()
 
 
-@query()
+@query(f"WITH {', '.join([ON_MAP, UNIT_ROWS, *unrolled.farthest('tu', 10, 'uf'), *unrolled.lloyd('tu', 'uf', REST, 'ul'), unrolled.assigned('tu', 'ul', 'uz')])} SELECT z.row_id, CAST(uz.unit AS INTEGER) AS label FROM z JOIN uz ON uz.row_id = z.unit")
 def som_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).cluster(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 
 
-@query()
+@query(f"WITH RECURSIVE {', '.join([ON_MAP, *unrolled.tree_cut('t', 6, 10, 'c')])} SELECT row_id, cluster AS label FROM z JOIN c USING (unit)")
 def som_tree_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).tree_cluster(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 
@@ -159,13 +177,16 @@ def som_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).cluster_refined(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 
 
-@query()
+@query(f"WITH {', '.join([ON_MAP, 'on_unit AS (SELECT row_id, unit AS label, x FROM z)', *unrolled.internal('on_unit', 'iv')])} SELECT score, round(value, 6) AS value FROM iv")
 def som_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _map(spark, sf_dir).evaluate(points(spark, sf_dir))
     return spark.createDataFrame([(k, None if v is None else round(v, 6)) for k, v in found.items()], "score string, value double")
 
 
-@query()
+BASINS = f"{OTSU}, {', '.join(unrolled.watershed('co', ROWS, COLUMNS, 'ws'))}"
+
+
+@query(f"{BASINS} SELECT row_id, ws.cluster AS label, round(sm.density / (SELECT max(density) FROM sm), 4) AS density FROM a JOIN sm USING (unit) JOIN ws USING (unit)")
 def density_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).drop("label")
     return DensityModel.from_som(SOMModel(weights(spark, sf_dir), ROWS, COLUMNS), 1.5).refit_density(rows).transform(rows).select("row_id", "label", F.round("density", 4).alias("density"))
@@ -178,13 +199,13 @@ def density_before_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(points(spark, sf_dir).drop("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == -1).alias("noise"))
 
 
-@query()
+@query(f"{BASINS} SELECT CAST(max(cluster) + 1 AS INTEGER) AS n_clusters, (SELECT avg(CAST(ws.cluster < 0 AS DOUBLE)) FROM a JOIN ws USING (unit)) AS noise_ratio FROM ws")
 def density_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).drop("label")
     return DensityModel.from_som(SOMModel(weights(spark, sf_dir), ROWS, COLUMNS), 1.5).refit_density(rows).summary(rows)
 
 
-@query()
+@query(f"WITH {', '.join([E_SQL, *unrolled.farthest('e', 3, 'f'), *unrolled.lloyd('e', 'f', REST, 'l'), *unrolled.mixture('e', 'l', 3, 64, 20, 'gm')])} SELECT row_id, CAST(label AS INTEGER) AS label FROM gm")
 def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).drop("label")
     return DiagGMM(3).fit(rows).transform(rows).select("row_id", "label")
@@ -228,7 +249,12 @@ def classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SOMModel(w, ROWS, COLUMNS).mapped(points(spark, sf_dir), np.array([r.label for r in near]), "prediction").select("row_id", "prediction")
 
 
-@query()
+@query(f"""WITH {', '.join([E_SQL, *unrolled.farthest('e', 36, 'f'), *unrolled.trained('e', 'f', 6, 3, 0.5, 1.0, 't'), unrolled.assigned('e', 't', 'z')])},
+t2 AS (SELECT c.unit, min({{'d': {sq('e.x', 'c.w')}, 'row_id': e.row_id, 'label': e.label}}).label AS label FROM e CROSS JOIN t c GROUP BY c.unit),
+pr AS (SELECT e.label AS y, t2.label AS p FROM z JOIN t2 USING (unit) JOIN e ON e.row_id = z.row_id),
+n AS (SELECT count(*) AS n, sum(count(*)) OVER (PARTITION BY p) AS a, sum(count(*)) OVER (PARTITION BY y) AS b, sum(count(*)) OVER () AS t FROM pr GROUP BY p, y),
+s AS (SELECT sum(n * n / a) / any_value(t) AS precision, sum(n * n / b) / any_value(t) AS recall FROM n), v AS (SELECT (SELECT avg(CAST(p = y AS DOUBLE)) * 100 FROM pr) AS accuracy, *, 2 * precision * recall / (precision + recall) AS f1 FROM s)
+SELECT score, round(value, 6) AS value FROM (UNPIVOT v ON accuracy, precision, recall, f1 INTO NAME score VALUE value)""")
 def classifier_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = SOMClassifier(6, 6, init="som++").fit(points(spark, sf_dir), "label", 3, False)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in model.evaluate(points(spark, sf_dir), "label").items()], "score string, value double")
@@ -254,7 +280,10 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query()
+_SETS = (("blobs", 5, "20"), ("grid", 15, "5"), ("moons", 2, "50"), ("circles", 2, "50"), ("spiral", 3, "20"), ("anisotropic", 3, "30"), ("varied", 3, "[10, 30, 60][i + 1]"), ("uniform", 1, "50"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, CAST(i AS INTEGER) AS label, CAST({n} AS BIGINT) AS n FROM range({k}) t(i)" for name, k, n in _SETS))
 def generated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"blobs": datagen.blobs(spark, 100), "grid": datagen.grid_clusters(spark, 5, 3, 5, 0.04), "moons": datagen.moons(spark, 100), "circles": datagen.circles(spark, 100), "spiral": datagen.spiral(spark, 20), "anisotropic": datagen.anisotropic(spark, 90), "varied": datagen.varied_density(spark, (10, 30, 60)), "uniform": datagen.uniform_cube(spark, 50, 3)}
     parts = [df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "label", "n") for name, df in sets.items()]

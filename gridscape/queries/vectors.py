@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from gridscape.functions import vector as V
 from gridscape.operators import seeding
 from gridscape.operators.assign import codebook_table, grid_place, hit_map, nearest, neighbours
 from gridscape.operators.kde import bandwidth, density, local_maxima
+from gridscape.queries import unrolled
 from gridscape.queries.base import COLUMNS, E_SQL, UNITS, codebook, first_point, long_form, near_sql, plane, plane_sql, points, registry, shards_sql, sq, table, weights
 from gridscape.schema import bad_features, wrong_width
 
@@ -204,14 +207,55 @@ def init_zero_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _seeded(method: str, variant: str = "default"):
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return long_form(codebook_table(spark, seeding.init_codebook(points(spark, sf_dir).select("row_id", "features"), method, UNITS, 7, variant=variant)), "unit", "weights", 6)
+        # in 64 dimensions a row's own kernel is all of its density, so that maxima would be noise: seeds by density look at four
+        rows = (plane if method.startswith("kde") else points)(spark, sf_dir).select("row_id", "features")
+        return long_form(codebook_table(spark, seeding.init_codebook(rows, method, UNITS, SEED, variant=variant)), "unit", "weights", 6)
 
     fn.__name__ = f"init_{method.replace('++', '_plus_plus')}" + ("" if variant == "default" else f"_{variant}")
     return fn
 
 
+def _values(x: np.ndarray) -> str:
+    """v(unit, dim, x): numbers as the generator of that seed draws them, for what follows from them by SQL."""
+    return f"v(unit, dim, x) AS (SELECT * FROM (VALUES {', '.join(f'({i}, {j}, {float(x[i, j])!r}::DOUBLE)' for i in range(x.shape[0]) for j in range(x.shape[1]))}))"
+
+
+WIDTH, SEED = 64, 7
+_RANGE = "g AS (SELECT min(list_min(x)) AS lo, max(list_max(x)) AS hi FROM e)"
+_BOOK = "SELECT CAST(unit AS INTEGER) AS unit, CAST(dim AS INTEGER) AS dim, round({x}, 6) + 0.0 AS x FROM {of}"
+_LIST = "SELECT CAST(unit AS INTEGER) AS unit, CAST(dim - 1 AS INTEGER) AS dim, round(x, 6) + 0.0 AS x FROM (SELECT unit, unnest(w) AS x, generate_subscripts(w, 1) AS dim FROM {of})"
+
+
+def _drawn(kind: str, shape: tuple[int, int] = (UNITS, WIDTH)) -> np.ndarray:
+    rng = np.random.default_rng(SEED)
+    return rng.random(shape) if kind == "uniform" else rng.standard_normal(shape)
+
+
+def _scaled_sql(x: np.ndarray) -> str:
+    """x, each of its columns a unit, divided by the deviation of all its activations, where that isn't near 1 already."""
+    act = "ac AS (SELECT var_pop(s) AS v FROM (SELECT row_id, unit, sum(u.v * v.x) AS s FROM (SELECT row_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM e) u JOIN v USING (dim) GROUP BY row_id, unit))"
+    return f"WITH {E_SQL}, {_values(x)}, {act} {_BOOK.format(x='CASE WHEN ac.v < 1e-8 OR abs(ac.v - 1) < 0.1 THEN v.x ELSE v.x / sqrt(ac.v) END', of='v CROSS JOIN ac')}"
+
+
+_HE = math.sqrt(2 / WIDTH)
+SEED_SQL = {
+    ("random", "default"): f"WITH {E_SQL}, {_RANGE}, {_values(_drawn('uniform'))} {_BOOK.format(x='lo + (hi - lo) * x', of='v CROSS JOIN g')}",
+    ("he", "default"): f"WITH {_values(_drawn('normal'))} {_BOOK.format(x=f'sqrt(2 / {WIDTH}.0) * x', of='v')}",
+    ("lecun", "default"): f"WITH {_values(_drawn('normal', (WIDTH, UNITS)).T)} {_BOOK.format(x=f'sqrt(1 / {WIDTH}.0) * x', of='v')}",
+    ("lsuv", "default"): _scaled_sql(_HE * _drawn("normal", (WIDTH, UNITS)).T),
+    ("lsuv", "svd"): _scaled_sql(prep.orthonormal(_HE * _drawn("normal", (WIDTH, UNITS))).T),
+    ("kmeans++", "default"): f"WITH {', '.join([E_SQL, *unrolled.farthest('e', UNITS, 'f'), *unrolled.lloyd('e', 'f', 25, 'l')])} {_LIST.format(of='l')}",
+    ("kmeans", "default"): f"WITH {', '.join([E_SQL, _RANGE, _values(_drawn('uniform')), 'sd AS MATERIALIZED (SELECT unit, list(lo + (hi - lo) * x ORDER BY dim) AS w FROM v CROSS JOIN g GROUP BY unit)', *unrolled.lloyd('e', 'sd', 40, 'l')])} {_LIST.format(of='l')}",
+}
+
+_PEAKS = f"""{plane_sql()}, bw AS (SELECT greatest(1e-10, (max(x[1]) - min(x[1])) / (1 + log2(count(*)))) AS h FROM e),
+kd AS MATERIALIZED (SELECT a.row_id, any_value(a.x) AS x, sum(exp(-{sq("a.x", "b.x")} / (2 * h * h))) AS density FROM e a CROSS JOIN e b CROSS JOIN bw GROUP BY a.row_id),
+pk AS MATERIALIZED (SELECT row_id, x FROM (SELECT *, lag(density) OVER o AS p, lead(density) OVER o AS q FROM kd WINDOW o AS (ORDER BY row_id)) WHERE p < density AND q < density)"""
+SEED_SQL["kde", "default"] = f"WITH {', '.join([_PEAKS, *unrolled.farthest('pk', UNITS, 'f', first=True)])} {_LIST.format(of='f')}"
+SEED_SQL["kde_kmeans", "refine"] = f"WITH {', '.join([_PEAKS, *unrolled.farthest('pk', UNITS, 'f', first=True), *unrolled.lloyd('e', 'f', 25, 'l')])} {_LIST.format(of='l')}"
+
 for _method, _variant in (("random", "default"), ("he", "default"), ("lecun", "default"), ("lsuv", "default"), ("lsuv", "svd"), ("kmeans", "default"), ("kmeans++", "default"), ("kde", "default"), ("kde_kmeans", "refine")):
-    query()(_seeded(_method, _variant))
+    query(SEED_SQL.get((_method, _variant)))(_seeded(_method, _variant))
 
 
 BW_SQL = "bw AS (SELECT greatest(1e-10, (max(x[1]) - min(x[1])) / (1 + log2(count(*)))) AS h, count(*) AS n FROM e)"
@@ -286,9 +330,13 @@ def k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(points(spark, sf_dir), 5).select("row_id", "rank", "other", F.round("d", 6).alias("d"))
 
 
-@query()
+@query("SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, true AS inside, true AS even, true AS the_same FROM embeddings CROSS JOIN range(3) t(dim) GROUP BY dim")
 def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(points(spark, sf_dir).withColumn("v", prep.random_vector(3, 11)), "row_id", "v", 6)
+    """By dimension: the numbers drawn, that they lie in [0, 1), that mean and variance are a uniform number's, and that other partitions draw the same."""
+    drawn = lambda rows: long_form(rows.withColumn("v", prep.random_vector(3, 11)), "row_id", "v", 9)
+    again = drawn(points(spark, sf_dir).repartition(5)).withColumnRenamed("x", "again")
+    both = drawn(points(spark, sf_dir)).join(again, ["row_id", "dim"]).groupBy("dim")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("x") >= 0) & (F.col("x") < 1)).alias("inside"), ((F.abs(F.avg("x") - 0.5) < 0.08) & (F.abs(F.var_pop("x") - 1 / 12) < 0.03)).alias("even"), F.bool_and(F.col("x") == F.col("again")).alias("the_same"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS unit, CAST(j AS INTEGER) AS dim, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM range(8) a(i), range(8) b(j)")
