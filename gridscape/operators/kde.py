@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gridscape.errors import InsufficientData
 from gridscape.operators import kernels
-from gridscape.plans.planner import pairwise, vectors
+from gridscape.plans.planner import in_one_task, pairwise, plan, vectors
+from gridscape.plans.storage import stored
 from gridscape.schema import with_pos
 
 
@@ -57,17 +58,18 @@ def local_maxima(values: DataFrame, v: str = "density", order: str = "row_id", b
     return near.where(top).select(*values.columns)
 
 
-def density_peaks(rows: DataFrame, k: int) -> np.ndarray:
+def density_peaks(rows: DataFrame, k: int, wanted: str = "auto") -> np.ndarray:
     """k of the local maxima: the first, then each time the one farthest from all chosen, ties to the last."""
-    peaks = local_maxima(density(rows)).join(rows.select("row_id", "features"), "row_id").orderBy("row_id").select("features").toArrow()
-    if peaks.num_rows < k:
-        raise InsufficientData(f"{peaks.num_rows} maxima for {k} seeds")
-    x = vectors(peaks["features"])
-    chosen = [0]
-    near = ((x - x[0]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        open_ = near.copy()
-        open_[chosen] = -np.inf
-        chosen.append(kernels.last_max(open_))
-        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
+    from gridscape.operators.seeding import farthest_rows
+
+    maxima = local_maxima(density(rows)).join(rows.select("row_id", "features"), "row_id").select("row_id", "features")
+    peaks = stored(maxima)
+    try:
+        n = peaks.df.count()
+        if n < k:
+            raise InsufficientData(f"{n} maxima for {k} seeds")
+        if plan(n, len(peaks.df.first().features), wanted) == "distributed":
+            return farthest_rows(peaks.df, k, True)
+        return in_one_task(peaks.df, lambda x: {"c": x[kernels.farthest_points(x, k, 0)]})["c"]
+    finally:
+        peaks.remove()

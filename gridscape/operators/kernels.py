@@ -57,9 +57,9 @@ def nearest(x: np.ndarray, c: np.ndarray, metric: str = "euclidean") -> tuple[np
     return unit, exact if metric == "sqeuclidean" else np.sqrt(exact)
 
 
-def farthest_points(x: np.ndarray, k: int) -> np.ndarray:
-    """Positions of k rows: the one farthest from the mean, then each time the one farthest from all chosen."""
-    start = last_max(((x - x.mean(axis=0)) ** 2).sum(axis=1))
+def farthest_points(x: np.ndarray, k: int, start: int | None = None) -> np.ndarray:
+    """Positions of k rows: the one farthest from the mean (or `start`), then each time the one farthest from all chosen."""
+    start = last_max(((x - x.mean(axis=0)) ** 2).sum(axis=1)) if start is None else start
     chosen = [start]
     near = ((x - x[start]) ** 2).sum(axis=1)
     while len(chosen) < k:

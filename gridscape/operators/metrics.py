@@ -16,6 +16,7 @@ from gridscape.functions.vector import l2, l2sq
 from gridscape.operators import kernels
 from gridscape.operators.assign import neighbours
 from gridscape.plans.planner import pairwise, vectors
+from gridscape.plans.storage import stored
 
 
 def value(df: DataFrame) -> float:
@@ -72,17 +73,27 @@ def _centres(rows: DataFrame) -> DataFrame:
 def davies_bouldin(rows: DataFrame) -> DataFrame:
     """Mean over clusters of the largest (s_i + s_j) / d_ij: 0 for one cluster; centres within 1e-12 are passed over."""
     centres = _centres(rows)
-    spread = rows.join(F.broadcast(centres), "label").groupBy("label").agg(F.avg(l2("features", "mean")).alias("s")).join(centres, "label")
-    a, b = spread.select("label", "s", "mean"), spread.select(F.col("label").alias("l2"), F.col("s").alias("s2"), F.col("mean").alias("m2"))
-    pairs = a.join(F.broadcast(b), F.col("label") != F.col("l2")).withColumn("d", l2("mean", "m2"))
-    worst = pairs.groupBy("label").agg(F.coalesce(F.max(F.when(F.col("d") > 1e-12, (F.col("s") + F.col("s2")) / F.col("d"))), F.lit(0.0)).alias("r"))
-    return worst.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
+    spread = rows.join(centres, "label").groupBy("label").agg(F.avg(l2("features", "mean")).alias("s")).join(centres, "label").select(F.col("label").alias("row_id"), F.col("mean").alias("features"), "s")
+
+    def worst(left: pa.Table, right: pa.Table) -> pa.Table:
+        label, most = np.empty(0, np.int64), np.empty(0)
+        if left.num_rows and right.num_rows:
+            label = left["row_id"].to_numpy().astype(np.int64)
+            y = vectors(right["features"])
+            d = np.array([np.sqrt(((y - x) ** 2).sum(axis=1)) for x in vectors(left["features"])])
+            apart = (d > 1e-12) & (label[:, None] != right["row_id"].to_numpy()[None, :])
+            both = left["s"].to_numpy()[:, None] + right["s"].to_numpy()[None, :]
+            most = np.divide(both, d, out=np.zeros(d.shape), where=apart).max(axis=1)
+        return pa.table({"label": pa.array(label, pa.int64()), "r": pa.array(most, pa.float64())})
+
+    return pairwise(spread, spread, worst, "label long, r double").groupBy("label").agg(F.max("r").alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
 def calinski_harabasz(rows: DataFrame) -> DataFrame:
     """Between over within dispersion, by degrees of freedom: 0 for one cluster; null where the dispersion within is below 1e-12."""
     centres, middle = _centres(rows), mean_vector(rows).withColumnRenamed("mean", "whole")
-    sums = rows.join(F.broadcast(centres), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(l2sq("features", "mean")).alias("w")).join(centres, "label").crossJoin(F.broadcast(middle))
+    # the middle is one row
+    sums = rows.join(centres, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(l2sq("features", "mean")).alias("w")).join(centres, "label").crossJoin(F.broadcast(middle))
     parts = sums.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("w"), F.sum(F.col("n") * l2sq("mean", "whole")).alias("b"))
     score = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
     return parts.select(F.when(F.col("k") <= 1, 0.0).when(F.col("w") >= 1e-12, score).alias("calinski_harabasz"))
@@ -93,6 +104,10 @@ def core_distances(rows: DataFrame, core_k: int = 5) -> DataFrame:
     return neighbours(rows, core_k).groupBy("row_id").agg(F.max("d").alias("core"))
 
 
+#: Rows of a cluster whose spanning tree is grown in one task; a larger one's by rounds over all tasks, with the same result.
+TREE_ROWS = 20_000
+
+
 def _largest_tree_edge(pdf):
     """Prim's algorithm within one cluster, over mutual reachability; memory grows with the rows, not their pairs."""
     import pandas as pd
@@ -109,10 +124,70 @@ def _largest_tree_edge(pdf):
     return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n": [n], "dsc": [worst]})
 
 
-def dbcv(rows: DataFrame, core_k: int = 5) -> DataFrame:
+def _nearest_outside(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each left row's part, its least edge, by mutual reachability, to another part of the same cluster."""
+    part, to, r = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if left.num_rows and right.num_rows:
+        d = kernels.distances(vectors(left["features"]), vectors(right["features"]))
+        d = np.maximum(d, np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()[None, :]))
+        own, other = left["part"].to_numpy(), right["part"].to_numpy()
+        d[(left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]) | (own[:, None] == other[None, :])] = np.inf
+        at = d.argmin(axis=1)
+        low = d[np.arange(len(d)), at]
+        fine = np.isfinite(low)
+        part, to, r = own[fine], other[at][fine], low[fine]
+        order = np.lexsort((to, r, part))
+        first = order[np.unique(part[order], return_index=True)[1]]
+        part, to, r = part[first], to[first], r[first]
+    return pa.table({"part": pa.array(part, pa.int64()), "to": pa.array(to, pa.int64()), "r": pa.array(r, pa.float64())})
+
+
+def largest_tree_edges(base: DataFrame) -> DataFrame:
+    """label, n, dsc: the largest edge of each cluster's least spanning tree, for clusters of any size, by rounds that at least halve the parts.
+
+    In a round every part takes its least edge to another part of its cluster (ties to the smaller part), which belongs to a least spanning tree; parts joined
+    by such edges become one. Pairs are met block by block, and only a part's least edge leaves a task.
+    """
+    state = stored(base.withColumn("part", F.col("row_id")).withColumn("worst", F.lit(0.0)))
+    while True:
+        rows = state.df.select("row_id", "features", "core", "label", "part")
+        best = pairwise(rows, rows, _nearest_outside, "part long, to long, r double").groupBy("part").agg(F.min(F.struct("r", "to")).alias("e")).select("part", F.col("e.to").alias("to"), F.col("e.r").alias("r"))
+        edges = stored(best)
+        if edges.df.isEmpty():
+            break
+        root = part_roots(edges.df)
+        worst = edges.df.join(root, "part").groupBy("root").agg(F.max("r").alias("r"))
+        moved = root.join(worst, "root").select(F.col("part").alias("old"), F.col("root").alias("new"), "r")
+        joined = state.df.join(moved, F.col("part") == F.col("old"), "left")
+        after = stored(joined.select("row_id", "features", "core", "label", F.coalesce("new", "part").alias("part"), F.greatest("worst", F.coalesce("r", F.lit(0.0))).alias("worst")))
+        for old in (state, edges):
+            old.remove()
+        state = after
+    return state.df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("worst").alias("dsc"))
+
+
+def part_roots(edges: DataFrame) -> DataFrame:
+    """part, root: the least part reachable over (part, to), in which every part has one edge out, by labels that take turns with jumps."""
+    both = stored(edges.select("part", "to").unionByName(edges.select(F.col("to").alias("part"), F.col("part").alias("to"))).distinct()).df
+    state = stored(both.groupBy("part").agg(F.least(F.col("part"), F.min("to")).alias("root"))).df
+    while True:
+        told = both.join(state.select(F.col("part").alias("to"), "root"), "to").groupBy("part").agg(F.min("root").alias("heard"))
+        least = state.join(told, "part").select("part", F.least("root", "heard").alias("low"), F.col("root").alias("before"))
+        jump = state.select(F.col("part").alias("low"), F.col("root").alias("further"))
+        new = stored(least.join(jump, "low", "left").select("part", F.least("low", F.coalesce("further", "low")).alias("root"), "before")).df
+        state = new.select("part", "root")
+        if new.where(F.col("root") != F.col("before")).isEmpty():
+            return state
+
+
+def dbcv(rows: DataFrame, core_k: int = 5, task_rows: int = TREE_ROWS) -> DataFrame:
     """Density-based validation, simplified: by cluster (separation - sparseness) / the larger, weighted by size; 0 for one cluster."""
     base = rows.select("row_id", "features", F.col("label").cast("long").alias("label")).join(core_distances(rows, core_k), "row_id")
-    inside = base.groupBy("label").applyInPandas(_largest_tree_edge, "label long, n long, dsc double")
+    large = [r.label for r in base.groupBy("label").count().where(F.col("count") > task_rows).select("label").collect()]  # at most rows / task_rows
+    small = ~F.col("label").isin(large) if large else F.lit(True)
+    inside = base.where(small).groupBy("label").applyInPandas(_largest_tree_edge, "label long, n long, dsc double")
+    if large:
+        inside = inside.unionByName(largest_tree_edges(base.where(F.col("label").isin(large))))
 
     def apart(left: pa.Table, right: pa.Table) -> pa.Table:
         low = np.empty(0)

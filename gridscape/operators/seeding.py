@@ -60,14 +60,18 @@ def naive_sharding(rows: DataFrame, k: int) -> DataFrame:
     return rows.sparkSession.range(k).select(F.col("id").cast("int").alias("unit")).join(means, "unit", "left").select("unit", F.coalesce("mean", zeros).alias("weights"))
 
 
-def farthest_rows(rows: DataFrame, k: int) -> np.ndarray:
-    """Distributed farthest-point traversal: k narrow passes, each batch answering with its one farthest row."""
+def farthest_rows(rows: DataFrame, k: int, first: bool = False) -> np.ndarray:
+    """Distributed farthest-point traversal: k narrow passes, each batch answering with its one farthest row. `first`: from the first row, not the outermost."""
     n, _ = shape(rows)
     if k > n:
         raise InvalidClusterCount(f"{k} seeds of {n} rows")
-    mean = np.array(mean_vector(rows).first()["mean"])
     chosen: list[np.ndarray] = []
     taken: list[int] = []
+    if first:
+        r = rows.select("row_id", "features").orderBy("row_id").first()
+        chosen, taken = [np.array(r.features)], [r.row_id]
+    else:
+        mean = np.array(mean_vector(rows).first()["mean"])
     while len(chosen) < k:
         book = np.array(chosen) if chosen else mean[None, :]
         skip = np.array(taken, np.int64)

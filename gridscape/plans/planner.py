@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOCAL_BYTES = 256 << 20
-PAIR_BLOCK = 2_048
+PAIR_BLOCK, PAIR_TILE, FEW_BLOCKS = 16_384, 2_048, 4
 
 
 def plan(n: int, d: int, wanted: str = "auto") -> str:
@@ -74,16 +74,23 @@ def added_up(rows: DataFrame, partial: Callable[[np.ndarray], np.ndarray]) -> np
     return out
 
 
-def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = PAIR_BLOCK, n: int | None = None) -> DataFrame:
-    """fn over every pair of a block of left and a block of right rows, dealt by a hash of row_id: what fn returns should be aggregates.
+def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int | None = None, n: int | None = None) -> DataFrame:
+    """fn over every pair of a tile of left and a tile of right rows: what fn returns should be aggregates, which the caller adds up.
 
-    A task holds two blocks of bounded size at a time, and never the matrix of all pairs.
+    Rows are dealt by a hash of row_id into blocks of at most PAIR_BLOCK expected rows (smaller ones where there are few rows, so that many tasks share
+    the work), and each row is copied once a block of the other side. A task holds two blocks, and works on tiles of PAIR_TILE rows, so it never
+    holds the matrix of all its pairs.
     """
     n = left.count() if n is None else n
-    count = max(1, -(-n // block))
+    count = max(1, -(-n // block)) if block else max(1, min(-(-n // PAIR_TILE), max(FEW_BLOCKS, -(-n // PAIR_BLOCK))))
     deal = F.pmod(F.xxhash64("row_id"), F.lit(count)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     # new names for what may be the same columns on both sides
     a = left.select(*[F.col(c).alias(c) for c in left.columns]).withColumn("_i", deal).withColumn("_j", every)
     b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_j", deal).withColumn("_i", every)
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(fn, schema)
+
+    def tiled(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [fn(x.slice(i, PAIR_TILE), y.slice(j, PAIR_TILE)) for i in range(0, x.num_rows, PAIR_TILE) for j in range(0, y.num_rows, PAIR_TILE)]
+        return pa.concat_tables(found) if found else fn(x.slice(0, 0), y.slice(0, 0))
+
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(tiled, schema)

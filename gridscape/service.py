@@ -1,4 +1,4 @@
-"""What a service needs, without one: train, predict and benchmark requests as dictionaries, models kept by id."""
+"""Train, predict and benchmark requests as dictionaries, models kept by id, and a small HTTP server over them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import json
 import math
 import time
 import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import SparkSession
 
-from gridscape.errors import DimensionMismatch, InvalidInputData, NotFitted
+from gridscape.errors import DimensionMismatch, GridscapeError, InvalidInputData, NotFitted
 from gridscape.functions.vector import DISTANCES
 from gridscape.operators.seeding import METHODS
 from gridscape.operators.som import MOST_RATE, SOM, SOMModel
@@ -70,3 +71,39 @@ class ModelRegistry:
         began = time.monotonic()
         SOM(size, size, max_iter=MOST_ITERATIONS).fit(rows, int(request.get("epochs", 10)))
         return {"samples": n, "dimensions": d, "grid_size": size, "seconds": time.monotonic() - began}
+
+
+def server(registry: ModelRegistry, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
+    """GET /health, POST /train, /predict and /benchmark with JSON bodies; what a request did wrong is 400, an unknown model or path 404.
+
+    Call serve_forever() on it. Jobs of requests that come together share the session.
+    """
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, status: int, body: dict[str, Any]) -> None:
+            data = json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self) -> None:
+            self.answer(200, registry.health()) if self.path == "/health" else self.answer(404, {"error": self.path})
+
+        def do_POST(self) -> None:
+            routes = {"/train": registry.train, "/predict": registry.predict, "/benchmark": registry.benchmark}
+            if self.path not in routes:
+                return self.answer(404, {"error": self.path})
+            try:
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                self.answer(200, routes[self.path](body))
+            except NotFitted as e:
+                self.answer(404, {"error": str(e)})
+            except (GridscapeError, KeyError, ValueError, TypeError) as e:
+                self.answer(400, {"error": f"{type(e).__name__}: {e}"})
+
+        def log_message(self, *_: object) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscape.errors import DimensionMismatch
+from gridscape.schema import with_pos
 
 CONFIG = "name string, n_true_clusters int, som_m int, som_n int, epochs int"
 
@@ -14,11 +15,14 @@ CONFIG = "name string, n_true_clusters int, som_m int, som_n int, epochs int"
 def read_points(spark: SparkSession, path: str, width: int, labelled: bool = True, delimiter: str = ",") -> DataFrame:
     """row_id, features (and label) of CSV files with a header, whose last column is the label and is dropped if not wanted.
 
-    The schema is given, never inferred. Row order is file order: the offset of each partition of the scan.
+    The schema is given, never inferred. Rows are numbered from 0 in the order of the files' names and of the lines in them, however Spark deals the files.
     """
     schema = T.StructType([T.StructField(f"f{i}", T.DoubleType()) for i in range(width)] + [T.StructField("label", T.DoubleType())])
     raw = spark.read.csv(path, header=True, schema=schema, sep=delimiter, enforceSchema=True)
-    rows = raw.select(F.monotonically_increasing_id().alias("row_id"), F.array(*[F.col(f"f{i}") for i in range(width)]).alias("features"), F.col("label").cast("int").alias("label"))
+    # within one split of a file, this id rises with the lines
+    places = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line")]
+    rows = raw.select(*places, F.array(*[F.col(f"f{i}") for i in range(width)]).alias("features"), F.col("label").cast("int").alias("label"))
+    rows = with_pos(rows, "_file", "_split", "_line").select(F.col("pos").alias("row_id"), "features", "label")
     return rows if labelled else rows.drop("label")
 
 

@@ -1,16 +1,24 @@
 import json
 import math
+import threading
+import urllib.error
+import urllib.request
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridscape.errors import DimensionMismatch, InvalidMetric, NotFitted
+from gridscape.errors import DimensionMismatch, InvalidMetric, NotFitted, PersistenceError
 from gridscape.operators import metrics as M
+from gridscape.operators.classify import SOMClassifier
+from gridscape.operators.density import DensityModel
+from gridscape.operators.gmm import DiagGMM
+from gridscape.operators.lloyd import KMeans
 from gridscape.operators.som import SOM
-from gridscape.service import ModelRegistry
-from gridscape.sources import datagen, io
+from gridscape.plans import planner
+from gridscape.service import ModelRegistry, server
+from gridscape.sources import datagen, io, persist
 from gridscape.streaming.score import OnlineSOM, score_stream, windowed_hits
 from tests.helpers import frame, sine, two_groups
 
@@ -118,6 +126,85 @@ def test_streams(spark, tmp_path):
     assert not np.array_equal(first, sink.model.weights)
 
 
+def test_spanning_trees_by_rounds_are_those_of_one_task(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(70, 2)), 5 + rng.normal(size=(50, 2)), np.zeros((5, 2)) + 9])
+    rows = frame(spark, x, [0] * 70 + [1] * 50 + [2] * 5)
+    base = rows.join(M.core_distances(rows, 3), "row_id").withColumn("label", F.col("label").cast("long"))
+    prim = {r.label: (r.n, r.dsc) for r in base.groupBy("label").applyInPandas(M._largest_tree_edge, "label long, n long, dsc double").collect()}
+    found = {r.label: (r.n, r.dsc) for r in M.largest_tree_edges(base).collect()}
+    assert found.keys() == prim.keys() and all(found[k][0] == prim[k][0] and found[k][1] == pytest.approx(prim[k][1]) for k in prim)
+    assert M.value(M.dbcv(rows, 3, 20)) == pytest.approx(M.value(M.dbcv(rows, 3)))
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    rows = frame(spark, sine(90, 3), np.arange(90) % 4)
+    want = [M.value(f(rows)) for f in (M.silhouette, M.dunn, M.davies_bouldin, M.dbcv)]
+    monkeypatch.setattr(planner, "PAIR_TILE", 13)
+    assert [M.value(f(rows)) for f in (M.silhouette, M.dunn, M.davies_bouldin, M.dbcv)] == pytest.approx(want)
+
+
+def test_csv_rows_are_numbered_by_file_and_line(spark, tmp_path):
+    want = []
+    for k, n in enumerate((3, 400, 1, 50)):
+        lines = [f"{k}.0,{i}.0,{i % 3}" for i in range(n)]
+        (tmp_path / f"part-{k}.csv").write_text("a,b,label\n" + "\n".join(lines) + "\n")
+        want += [[float(k), float(i)] for i in range(n)]
+    got = io.read_points(spark, str(tmp_path), 2).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(454)) and [r.features for r in got] == want
+
+
+def test_any_model_as_json(spark, tmp_path):
+    rows = frame(spark, sine(60, 3), np.arange(60) % 3)
+    som = SOM(3, 3, init="som++").fit(rows, 1)
+    models = [som, KMeans(k=3).fit(rows), DiagGMM(2).fit(rows), DensityModel.from_som(som).refit_density(rows), SOMClassifier(3, 3, init="som++").fit(rows, "label", 1)]
+    for i, model in enumerate(models):
+        persist.save_json(model, spark, str(tmp_path / str(i)))
+        back = persist.load_json(spark, str(tmp_path / str(i)))
+        assert type(back) is type(model) and model.transform(rows).exceptAll(back.transform(rows)).isEmpty()
+    with pytest.raises(PersistenceError):
+        persist.load_json(spark, str(tmp_path / "none"))
+
+
+def test_online_training_goes_on_after_a_restart(spark, tmp_path):
+    som, parts = SOM(3, 3, init="som++"), [frame(spark, sine(40, 2)[i : i + 20]) for i in (0, 20)]
+    whole = OnlineSOM(som)
+    for i, part in enumerate(parts):
+        whole(part, i)
+    first = OnlineSOM(som, path=str(tmp_path / "state"))
+    first(parts[0], 0)
+    second = OnlineSOM(som, path=str(tmp_path / "state"))
+    second(parts[0], 0)  # comes again after a restart of the driver
+    second(parts[1], 1)
+    assert np.allclose(second.model.weights, whole.model.weights)
+
+
+def test_http(spark):
+    http = server(ModelRegistry(spark), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_address[1]}"
+
+    def ask(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, None if body is None else json.dumps(body).encode()), timeout=120) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert ask("/health") == (200, {"status": "ok", "models": 0})
+        data = sine(30, 2).tolist()
+        status, made = ask("/train", {"data": data, "grid_size": 3, "epochs": 1})
+        assert status == 200 and made["samples"] == 30
+        status, found = ask("/predict", {"model_id": made["model_id"], "data": data[:4]})
+        assert status == 200 and len(found["predictions"]) == 4
+        assert ask("/predict", {"model_id": "none", "data": data})[0] == 404 and ask("/nowhere", {})[0] == 404
+        assert ask("/train", {})[0] == 400 and ask("/train", {"data": [[1.0], [1.0, 2.0]]})[0] == 400
+    finally:
+        http.shutdown()
+        http.server_close()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 16
     names = set(entry.queries())
