@@ -145,12 +145,31 @@ def kde_seeds(rows: DataFrame, k: int) -> np.ndarray:
     return density_peaks(rows, k)
 
 
+#: The ways that need no more than the feature matrix at hand.
+AT_HAND = ("random", "he", "lecun", "zero", "som++", "kmeans", "kmeans++")
+ALIASES = {"kmeans_plus_plus": "kmeans++", "farthest": "som++", "kdekmeans": "kde_kmeans"}
+
+
+def codebook_at_hand(x: np.ndarray, method: str, k: int, seed: int = 0) -> np.ndarray:
+    """What `init_codebook` gives for the rows of x, without a job."""
+    from gridscape.operators.lloyd import fit_array
+
+    d = x.shape[1]
+    if method == "random":
+        return random_uniform(x.min(), x.max(), k, d, seed)
+    if method in ("he", "lecun", "zero"):
+        return {"he": he, "lecun": lecun}[method](k, d, seed) if method != "zero" else zero(k, d)
+    if method == "som++":
+        return x[kernels.farthest_points(x, k)]
+    return fit_array(x, k, "random" if method == "kmeans" else "farthest", seed=seed)[0]
+
+
 def init_codebook(rows: DataFrame, method: str, k: int, seed: int = 0, wanted: str = "auto", variant: str = "default") -> np.ndarray:
     """The k x d seeds by any of METHODS. variant: 'hadamard' for zero, 'svd' for lsuv, 'refine' for kde_kmeans (then Lloyd follows)."""
     from gridscape.operators.lloyd import fit_rows
 
     n, d = shape(rows)
-    method = {"kmeans_plus_plus": "kmeans++", "farthest": "som++", "kdekmeans": "kde_kmeans"}.get(method, method)
+    method = ALIASES.get(method, method)
     if method not in METHODS:
         raise InvalidInitMethod(method)
     if method == "random":

@@ -18,11 +18,14 @@ from gridscape.errors import DimensionMismatch, InsufficientData, InvalidCluster
 from gridscape.functions.vector import DISTANCES
 from gridscape.operators import gridops, kernels, lloyd, metrics
 from gridscape.operators.assign import codebook_table, hit_map, nearest, nearest_column
-from gridscape.operators.seeding import init_codebook
+from gridscape.operators.seeding import ALIASES, AT_HAND, codebook_at_hand, init_codebook
 from gridscape.plans.planner import added_up, in_one_task, lists, plan, vectors
+from gridscape.plans.storage import Stored
 from gridscape.schema import FeatureSpec, assemble, check_width, positions, shape
 
 MOST_RATE = 1.76
+#: Features that one task trains on, sample by sample, at a time.
+SLICE_BYTES = 128 << 20
 RULES = {"euclidean": "euclidean", "cosine": "cosine", "manhattan": "manhattan"}
 
 
@@ -99,7 +102,7 @@ class SOMModel:
 
 @dataclass
 class SOM:
-    """bmu_refresh: 'batch' finds units at each batch's start, 'sample' at each sample's turn (sequential, one task). exp_mode: 'exact' or 'taylor'.
+    """bmu_refresh: 'batch' finds units at each batch's start, 'sample' at each sample's turn (sequential, one task at a time). exp_mode: 'exact' or 'taylor'.
 
     algorithm 'batch_map' is Kohonen's batch map, one aggregate an epoch: a faster way of training, not the same result.
     update: None follows the affine rule for any distance; 'cosine' or 'manhattan' use that distance's own rule, sample by sample.
@@ -135,15 +138,27 @@ class SOM:
             raise InsufficientData("a batch has at least one row")
         if warm is not None and warm.weights.shape != (self.m * self.n, d):
             raise DimensionMismatch(f"a map of {warm.weights.shape} and {d} features")
-        w = warm.weights if warm is not None else init_codebook(rows, self.init, self.m * self.n, self.seed, self.plan)
+        one_by_one = self.bmu_refresh == "sample" or self.update in ("cosine", "manhattan")
+        local = self.algorithm != "batch_map" and plan(count, d, self.plan) == "local"
+        method, units = ALIASES.get(self.init, self.init), self.m * self.n
+        inside = local and warm is None and method in AT_HAND  # seeds and training are one job then
+        if inside and units > count and method in ("som++", "kmeans", "kmeans++"):
+            raise InvalidClusterCount(f"{units} seeds of {count} rows")
+        w = warm.weights if warm is not None else None if inside else init_codebook(rows, self.init, units, self.seed, self.plan)
         size = batch_size or min(max(count // 10, 64), count)
         total = min(epochs * count, self.max_iter) if self.max_iter is not None else epochs * count
         schedule = kernels.Schedule(self.learning_rate, self.neighbor_radius, total, warm.last if warm is not None else None)
-        one_by_one = self.bmu_refresh == "sample" or self.update in ("cosine", "manhattan")
         if self.algorithm == "batch_map":
             w = self._batch_map(rows, w, epochs, schedule, count)
-        elif one_by_one or plan(count, d, self.plan) == "local":
-            w = in_one_task(rows, lambda x, ids: {"w": self._train(x, ids, w, epochs, shuffle, size, total, schedule, one_by_one)}, with_ids=True)["w"]
+        elif local:
+
+            def solve(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+                start = codebook_at_hand(x, method, units, self.seed) if inside else w
+                return {"w": self._train(x, ids, start, epochs, shuffle, size, total, schedule, one_by_one)}
+
+            w = in_one_task(rows, solve, with_ids=True)["w"]
+        elif one_by_one:
+            w = self._sequential(rows, w, epochs, shuffle, total, schedule, count, d)
         else:
             w = self._distributed(rows, w, epochs, shuffle, size, total, schedule, count)
         return SOMModel(w, self.m, self.n, self.distance, self.learning_rate, self.neighbor_radius, schedule.end(), features)
@@ -165,11 +180,32 @@ class SOM:
                     return w
         return w
 
+    def _placed(self, rows: DataFrame, epoch: int, shuffle: bool) -> Stored:
+        order = [F.xxhash64("row_id", F.lit(self.seed + epoch)), F.col("row_id")] if shuffle else [F.col("row_id")]
+        return positions(rows, *order)
+
+    def _sequential(self, rows: DataFrame, w: np.ndarray, epochs: int, shuffle: bool, total: int, schedule: kernels.Schedule, count: int, d: int) -> np.ndarray:
+        """Sample by sample beyond what a task holds: one task after another takes the next slice of positions, of at most SLICE_BYTES."""
+        done, size = 0, max(1, SLICE_BYTES // (8 * d))
+        for epoch in range(epochs):
+            placed = self._placed(rows, epoch, shuffle)
+            try:
+                for i in range(0, count, size):
+                    end = min(i + size, count, i + total - done)
+                    part = placed.df.where((F.col("pos") >= i) & (F.col("pos") < end))
+                    start, before = w, done
+                    w = in_one_task(part, lambda x: {"w": kernels.train_single(start, x, np.arange(before, before + len(x), dtype=float), schedule, self.n, self.distance, self.exp_mode, self.cutoff, self.update or "euclidean")}, "pos")["w"]
+                    done += end - i
+                    if done >= total:
+                        return w
+            finally:
+                placed.remove()
+        return w
+
     def _distributed(self, rows: DataFrame, w: np.ndarray, epochs: int, shuffle: bool, size: int, total: int, schedule: kernels.Schedule, count: int) -> np.ndarray:
         done = 0
         for epoch in range(epochs):
-            order = [F.xxhash64("row_id", F.lit(self.seed + epoch)), F.col("row_id")] if shuffle else [F.col("row_id")]
-            placed = positions(rows, *order)
+            placed = self._placed(rows, epoch, shuffle)
             try:
                 for i in range(0, count, size):
                     end = min(i + size, count, i + total - done)

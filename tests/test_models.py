@@ -169,6 +169,22 @@ def test_distributed_training_leaves_nothing_behind(spark):
     assert np.allclose(whole, kernels.train_batch(w, sine(400, 3), np.arange(400.0), schedule, 3, "euclidean", "exact"))
 
 
+@pytest.mark.parametrize("options", [{"bmu_refresh": "sample"}, {"distance": "cosine", "update": "cosine"}, {"update": "manhattan", "max_iter": 170}])
+def test_sequential_training_in_slices(spark, monkeypatch, options):
+    from gridscape.operators import som as module
+
+    rows = frame(spark, sine(90, 3)).repartition(3)
+    whole = SOM(3, 3, init="zero", plan="local", **options).fit(rows, 2)
+    monkeypatch.setattr(module, "SLICE_BYTES", 8 * 3 * 25)
+    assert np.allclose(SOM(3, 3, init="zero", plan="distributed", **options).fit(rows, 2).weights, whole.weights)
+
+
+def test_seeds_inside_the_training_job_are_the_same(spark):
+    x = sine(40, 3)
+    for method in seeding.AT_HAND:
+        assert np.allclose(seeding.codebook_at_hand(x, method, 4, 3), seeding.init_codebook(frame(spark, x), method, 4, 3))
+
+
 def test_schedule_and_limits(spark):
     s = kernels.Schedule(0.5, 3.0, 100)
     rate, radius = s.at(np.array([0.0, 100.0]))
