@@ -32,6 +32,7 @@ WINDOW = 20
 ANCHOR = 5
 SEEDS = (5, 6)
 SPAN, OPENED = 0, 1
+FILTER_BITS = 26
 #: The order of a null doc_id: last.
 NO_ID = (1 << 63) - 1
 
@@ -95,12 +96,37 @@ def pieces(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int =
 PIECE = "edge long, before long, after long, content long, left int, right int, doc long, version long, start int, n int"
 
 
-def _pieces(window: int, anchor: int, coordinates: bool):
+def filter_bits(edges: DataFrame) -> np.ndarray | None:
+    """A table of 2^FILTER_BITS bits, set where an edge of `edges` ends in that number: what most other edges fail. None where it would pass most.
+
+    Of fixed size, whatever the corpus; it only saves the exchange of rows that the join with `edges` drops anyway.
+    """
+    if edges.count() > 1 << (FILTER_BITS - 1):
+        return None
+
+    def packed(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[rows["bit"].to_numpy() & 0xFFFF] = 1
+        return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bit = edges.select(F.col("edge").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("bit")).distinct()
+    parts = bit.withColumn("part", F.shiftright("bit", 16)).groupBy("part").applyInArrow(packed, "part int, bits binary").collect()
+    out = np.zeros((1 << (FILTER_BITS - 16), 1 << 13), np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _pieces(window: int, anchor: int, coordinates: bool, passing: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
             for i, j in slices(at):
                 found = pieces(raw[at[i] : at[j]], at[i : j + 1] - at[i], window, anchor)
+                if passing is not None:
+                    bit = (found["edge"] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    chosen = (passing[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                    found = {k: v[chosen] for k, v in found.items()}
                 hashes = {k: pa.array(found[k].view(np.int64)) for k in ("edge", "before", "after", "content")}
                 if not coordinates:
                     yield pa.RecordBatch.from_pydict({"edge": hashes["edge"]})
@@ -239,7 +265,7 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     edges = rows.mapInArrow(_pieces(window, anchor, False), "edge long")
     again = cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge"))
     # duplicates of a row are one occurrence each, which at worst keeps an edge that occurs in one text only
-    found = cut(rows.mapInArrow(_pieces(window, anchor, True), PIECE).join(again, "edge", "left_semi"))
+    found = cut(rows.mapInArrow(_pieces(window, anchor, True, filter_bits(again)), PIECE).join(again, "edge", "left_semi"))
     ends = [f(c).alias(x) for c, f, x in (("before", F.min, "a"), ("before", F.max, "b"), ("after", F.min, "c"), ("after", F.max, "d"))]
     degrees = cut(found.groupBy("edge").agg((F.min("content") != F.max("content")).alias("branches"), F.min("n").alias("n"), *ends))
     spans = found.select("edge", "doc", "version", "start").join(cut(paths(degrees)), "edge").select("doc", "version", F.struct("start", F.col("windows").alias("n"), F.lit(SPAN).alias("kind")).alias("piece"))

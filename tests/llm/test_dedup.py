@@ -241,3 +241,10 @@ def test_words_never_cross_texts():
     assert first.tolist() == [0, 1, 1, 3, 3, 4]
 
 
+
+
+def test_edge_filter_passes_all_edges(spark):
+    edges = np.random.default_rng(0).integers(-(2**63), 2**63, 3000)
+    bits = debruijn.filter_bits(spark.createDataFrame([(int(e),) for e in edges], "edge long"))
+    at = edges & ((1 << debruijn.FILTER_BITS) - 1)
+    assert ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all() and np.unpackbits(bits).sum() == len(set(at.tolist()))
