@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -98,32 +97,41 @@ def cut_places(tokens: np.ndarray, document_ends: np.ndarray, ends_sentence: np.
 
 def best_cuts(places: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY) -> tuple[list[int], int]:
     """(the cuts, first and last place included; their cost): exact over the given places, each of which is within `capacity` of the one before."""
-    at, pen = places.tolist(), penalties.tolist()
-    shorter: dict[int, list[int]] = {}
+    n, at, pen = len(places), places.tolist(), (penalties + WINDOW_PENALTY).tolist()
+    ends, starts = [], []  # of windows that need no padding, the larger first
     size = capacity // 2
     while size >= max(1, capacity // SHORTEST):
-        i = np.minimum(np.searchsorted(places, places - size), len(places) - 1)
-        for j in np.flatnonzero(places[i] == places - size).tolist():
-            shorter.setdefault(j, []).append(int(i[j]))
+        i = np.minimum(np.searchsorted(places, places - size), n - 1)
+        j = np.flatnonzero(places[i] == places - size)
+        ends.append(j)
+        starts.append(i[j])
         size //= 2
-    f, back = [0] * len(at), [0] * len(at)
-    queue = deque([(at[0], 0)])  # (f(i) + place of i, i), rising
-    for j in range(1, len(at)):
+    of = np.concatenate(ends) if ends else np.empty(0, np.int64)
+    order = np.argsort(of, kind="stable")
+    shorter = np.concatenate(starts)[order].tolist() if ends else []
+    first = np.searchsorted(of[order], np.arange(n + 1)).tolist()
+    f, back = [0] * n, [0] * n
+    # the queue: f(i) + place of i, rising, of the places in reach; its head moves on
+    value, place, index, head = [at[0]], [at[0]], [0], 0
+    for j in range(1, n):
         here = at[j]
         low = here - capacity
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        best, i = queue[0]
-        best += capacity - here
-        for k in shorter.get(j, ()):
+        while place[head] < low:
+            head += 1
+        best, i = value[head] + capacity - here, index[head]
+        for k in shorter[first[j] : first[j + 1]]:
             if f[k] < best:
                 best, i = f[k], k
-        f[j] = best = best + pen[j] + WINDOW_PENALTY
+        f[j] = best = best + pen[j]
         back[j] = i
         best += here
-        while queue and queue[-1][0] > best:
-            queue.pop()
-        queue.append((best, j))
+        while len(value) > head and value[-1] > best:
+            value.pop()
+            place.pop()
+            index.pop()
+        value.append(best)
+        place.append(here)
+        index.append(j)
     cuts, j = [at[-1]], len(at) - 1
     while j:
         j = back[j]
