@@ -6,11 +6,10 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridscape.operators import kernels, kselect, lloyd, metrics
 from gridscape.operators.density import DensityModel
-from gridscape.operators.gmm import DiagGMM
+from gridscape.operators.gmm import DiagGMM, likeliest
 from gridscape.operators.som import SOM, SOMModel
 from gridscape.schema import assemble, shape
 
@@ -63,21 +62,20 @@ class AutoCluster:
             units, _, _ = lloyd.fit_array(som.weights, min(k_elbow, self.m * self.n), max_iter=100)
             sample_rows = kselect.stratified_sample(som.mapped(rows, kernels.nearest(som.weights, units)[0]))
             sample = kselect.sample_array(sample_rows)
-            sampled = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(sample)], "row_id long, features array<double>")
             sweep = range(2, k_max + 1) if d <= 10 else range(max(2, k_elbow - 5), min(k_max, k_elbow + 5) + 1)
-            k = max(kselect.gap_statistic(spark, sample, list(range(2, k_max + 1)), self.gap_n_refs, k_elbow), kselect.bic_k(spark, sample, list(sweep), k_elbow))
-            k = min(k, n)
-            km = lloyd.fit_rows(rows, k, wanted=self.plan)
-            mixture = DiagGMM(k, plan=self.plan).fit(rows)
-            sigma = kselect.smoothing_bandwidth(rows, self.m, self.n, self.sigma_method).first()[0]
+            k = min(n, max(kselect.select_k(spark, sample, list(range(2, k_max + 1)), list(sweep), self.gap_n_refs, k_elbow)))
+            km = lloyd.fit_rows(rows, k, wanted=self.plan, known=(n, d))
+            mixture = DiagGMM(k, plan=self.plan).fit_rows(rows, n, d)
+            sigma = kselect.smoothing_sigma(rows, self.m, self.n, self.sigma_method, (n, d), self.plan)
             density = DensityModel.from_som(som, sigma).refit_density(rows)
             whole = density.summary(rows).first()
-            quiet = density.transform(sampled).where(F.col("label") >= 0)
-            enough = quiet.limit(4).count() == 4
+            # of the sample, which is of bounded size and at hand
+            unit = density.grid.labels[kernels.nearest(sample, som.weights, som.distance)[0]]
+            quiet = unit >= 0
             scores = {
-                "KMeans": metrics.value(metrics.silhouette(km.transform(sampled))),
-                "GMM": metrics.value(metrics.silhouette(mixture.transform(sampled))),
-                "DenSOM": metrics.value(metrics.silhouette(quiet)) if enough else math.nan,
+                "KMeans": metrics.silhouette_array(sample, kernels.nearest(sample, km.centers)[0]),
+                "GMM": metrics.silhouette_array(sample, likeliest(sample, mixture.weights, mixture.means, mixture.variances)),
+                "DenSOM": metrics.silhouette_array(sample[quiet], unit[quiet]) if quiet.sum() >= 4 else math.nan,
             }
         finally:
             rows.unpersist()

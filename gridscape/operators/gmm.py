@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridscape.errors import InvalidClusterCount
 from gridscape.operators import kernels, lloyd
 from gridscape.plans.planner import added_up, in_one_task, plan, vectors
+from gridscape.plans.storage import stored
 from gridscape.schema import FeatureSpec, assemble, shape
 
 FLOOR = 1e-6
@@ -31,6 +32,12 @@ def responsibilities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, vari
     return np.exp(lp - total), float(total.sum())
 
 
+def likeliest(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Each row's likeliest component, ties to the last."""
+    lp = log_joint(x, weights, means, variances)
+    return (lp.shape[1] - 1 - np.argmax(lp[:, ::-1], axis=1)).astype(np.int32)
+
+
 def e_sums(x: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """By component: N, sum r (x - mean), sum r (x - mean)^2 about the current means; the log-likelihood stands in a column of its own."""
     r, ll = responsibilities(x, *state)
@@ -99,14 +106,11 @@ class GMMModel:
         state = (self.weights, self.means, self.variances)
 
         @F.arrow_udf("int")
-        def likeliest(x: pa.Array) -> pa.Array:
-            if not len(x):
-                return pa.array([], pa.int32())
-            lp = log_joint(vectors(x), *state)
-            return pa.array((lp.shape[1] - 1 - np.argmax(lp[:, ::-1], axis=1)).astype(np.int32))
+        def component(x: pa.Array) -> pa.Array:
+            return pa.array(likeliest(vectors(x), *state) if len(x) else [], pa.int32())
 
         names = (self.features,) if isinstance(self.features, str) else tuple(self.features)
-        return df.withColumn(out, likeliest(FeatureSpec(names).column(df)))
+        return df.withColumn(out, component(FeatureSpec(names).column(df)))
 
     def components(self, spark) -> DataFrame:
         rows = [(i, float(w), m.tolist(), v.tolist()) for i, (w, m, v) in enumerate(zip(self.weights, self.means, self.variances, strict=True))]
@@ -122,7 +126,12 @@ class DiagGMM:
 
     def fit(self, df: DataFrame, features: str | list[str] = "features", order_by: str = "row_id") -> GMMModel:
         rows = assemble(df, features, order_by)
-        n, d = shape(rows)
+        model = self.fit_rows(rows, *shape(rows))
+        model.features = features
+        return model
+
+    def fit_rows(self, rows: DataFrame, n: int, d: int) -> GMMModel:
+        """Over (row_id, features) of that many rows and features."""
         if not 1 <= self.k <= n:
             raise InvalidClusterCount(f"{self.k} components of {n} rows")
         if plan(n, d, self.plan) == "local":
@@ -134,11 +143,11 @@ class DiagGMM:
             found = in_one_task(rows, solve)
             state, ll = (found["w"], found["m"], found["v"]), float(found["ll"][0])
         else:
-            rows = rows.persist()
-            centers = lloyd.fit_rows(rows, self.k, max_iter=50, wanted="distributed").centers
-            state, ll = em(lambda s: added_up(rows, lambda x: e_sums(x, s)), start(centers, added_up(rows, lambda x: square_sums(x, centers))), self.max_iter, self.tol)
-            rows.unpersist()
-        return GMMModel(*state, ll, bic(ll, n, self.k, d), features)
+            rows = stored(rows)
+            centers = lloyd.fit_rows(rows.df, self.k, max_iter=50, wanted="distributed").centers
+            state, ll = em(lambda s: added_up(rows.df, lambda x: e_sums(x, s)), start(centers, added_up(rows.df, lambda x: square_sums(x, centers))), self.max_iter, self.tol)
+            rows.remove()
+        return GMMModel(*state, ll, bic(ll, n, self.k, d))
 
 
 def bic_select_k(sample: np.ndarray, ks: range, max_iter: int = 100, tol: float = 1e-4, fallback: int = 2) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridscape.functions.prep import order_statistics
 from gridscape.operators import gmm, kernels, lloyd
-from gridscape.plans.planner import vectors
+from gridscape.plans.planner import in_one_task, plan, vectors
 
 SAMPLE = 2_000
 FLAT = 1e-9
@@ -71,13 +71,7 @@ def _log_inertia(sample: np.ndarray, k: int, ref: int, seed: int) -> float:
     return math.log(w) if w > 0 else math.nan
 
 
-def gap_statistic(spark, sample: np.ndarray, ks: list[int], n_refs: int = 10, fallback: int = 2) -> int:
-    """The k of the largest mean log W of references less log W of the sample, the last of equals; ks with under two rows each are passed over."""
-    ks = [k for k in ks if len(sample) >= 2 * k]
-    if not ks:
-        return fallback
-    seed = len(sample)
-    found = over_tasks(spark, sample, [(k, r) for k in ks for r in range(-1, n_refs)], lambda x, k, r: _log_inertia(x, k, r, seed))
+def _best_gap(found: dict[tuple[int, int], float], ks: list[int], n_refs: int, fallback: int) -> int:
     best, at = -math.inf, fallback
     for k in ks:
         refs = [found[k, r] for r in range(n_refs) if not math.isnan(found[k, r])]
@@ -86,13 +80,27 @@ def gap_statistic(spark, sample: np.ndarray, ks: list[int], n_refs: int = 10, fa
     return at
 
 
+BIC = -2
+
+
+def select_k(spark, sample: np.ndarray, gap_ks: list[int], bic_ks: list[int], n_refs: int = 10, fallback: int = 2) -> tuple[int, int]:
+    """(k by the gap statistic, k by BIC), all fits in one job; ks with under two rows each are passed over."""
+    gap_ks, bic_ks = ([k for k in ks if len(sample) >= 2 * k] for ks in (gap_ks, bic_ks))
+    seed = len(sample)
+    solve = lambda x, k, r: gmm.bic(gmm.fit_array(x, k)[1], len(x), k, x.shape[1]) if r == BIC else _log_inertia(x, k, r, seed)
+    tasks = [(k, BIC) for k in bic_ks] + [(k, r) for k in gap_ks for r in range(-1, n_refs)]
+    found = over_tasks(spark, sample, tasks, solve) if tasks else {}
+    return _best_gap(found, gap_ks, n_refs, fallback), min(bic_ks, key=lambda k: (found[k, BIC], k)) if bic_ks else fallback
+
+
+def gap_statistic(spark, sample: np.ndarray, ks: list[int], n_refs: int = 10, fallback: int = 2) -> int:
+    """The k of the largest mean log W of references less log W of the sample, the last of equals; ks with under two rows each are passed over."""
+    return select_k(spark, sample, ks, [], n_refs, fallback)[0]
+
+
 def bic_k(spark, sample: np.ndarray, ks: list[int], fallback: int = 2) -> int:
     """The k of least BIC, the first of equals, each k in a task of its own."""
-    ks = [k for k in ks if len(sample) >= 2 * k]
-    if not ks:
-        return fallback
-    found = over_tasks(spark, sample, [(k, 0) for k in ks], lambda x, k, _: gmm.bic(gmm.fit_array(x, k)[1], len(x), k, x.shape[1]))
-    return min(ks, key=lambda k: (found[k, 0], k))
+    return select_k(spark, sample, [], ks, 0, fallback)[1]
 
 
 def stratified_sample(rows: DataFrame, label: str = "label", most: int = SAMPLE, seed: int | None = None) -> DataFrame:
@@ -125,6 +133,20 @@ def smoothing_bandwidth(rows: DataFrame, m: int, n: int, method: str = "silverma
     return joined.select(F.greatest(F.lit(0.5), F.least(F.lit(max(m, n) / 2), silverman if method == "silverman" else scott)).alias("sigma"))
 
 
+def smoothing_sigma(rows: DataFrame, m: int, n: int, method: str, shape: tuple[int, int], wanted: str = "auto") -> float:
+    """As `smoothing_bandwidth`, in one task where the rows fit one."""
+    if plan(*shape, wanted) != "local":
+        return float(smoothing_bandwidth(rows, m, n, method).first()[0])
+
+    def solve(x: np.ndarray) -> dict[str, np.ndarray]:
+        ranked = np.sort(x, axis=0)
+        s, iqr = max(x.std(axis=0).mean(), 1e-12), max((ranked[math.floor(len(x) * 0.75)] - ranked[math.floor(len(x) * 0.25)]).mean(), 1e-12)
+        raw = 0.9 * min(s, iqr / 1.34) * len(x) ** -0.2 if method == "silverman" else len(x) ** (-1 / (x.shape[1] + 4)) * s
+        return {"sigma": np.array([max(0.5, min(max(m, n) / 2, raw))])}
+
+    return float(in_one_task(rows, solve)["sigma"][0])
+
+
 def sample_array(rows: DataFrame) -> np.ndarray:
     """A bounded sample's features, by row_id."""
     return vectors(rows.orderBy("row_id").select("features").toArrow()["features"])

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.errors import AlreadyFitted, InvalidClusterCount, InvalidInitMethod
+from gridscape.errors import AlreadyFitted, DimensionMismatch, InvalidClusterCount, InvalidInitMethod
 from gridscape.operators import kernels
 from gridscape.operators.assign import codebook_table, nearest, nearest_column
 from gridscape.operators.seeding import d2_rows, farthest_rows, global_range
 from gridscape.plans.planner import added_up, in_one_task, plan
-from gridscape.schema import FeatureSpec, assemble, check_width, shape
+from gridscape.schema import FeatureSpec, assemble, shape
 
 
 INITS = ("farthest", "d2", "random")
@@ -73,16 +73,16 @@ def fit_array(x: np.ndarray, k: int, init: str = "farthest", max_iter: int = 300
     return kernels.lloyd(lambda c: kernels.lloyd_sums(x, c), start, max_iter, tol)
 
 
-def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 300, tol: float = 1e-6, seed: int = 0, initial: np.ndarray | None = None, wanted: str = "auto") -> KMeansModel:
-    """Over (row_id, features). Distributed: one narrow pass and one sum of k x (d + 2) cells an iteration."""
-    n, d = shape(rows)
+def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 300, tol: float = 1e-6, seed: int = 0, initial: np.ndarray | None = None, wanted: str = "auto", known: tuple[int, int] | None = None) -> KMeansModel:
+    """Over (row_id, features). Distributed: one narrow pass and one sum of k x (d + 2) cells an iteration. known: (rows, features), if checked already."""
+    n, d = known or shape(rows)
     k = k if initial is None else len(initial)
     if not 1 <= k <= n:
         raise InvalidClusterCount(f"{k} clusters of {n} rows")
     if init not in INITS:
         raise InvalidInitMethod(init)
-    if initial is not None:
-        check_width(rows, np.shape(initial)[1])
+    if initial is not None and np.shape(initial)[1] != d:
+        raise DimensionMismatch(f"centres of {np.shape(initial)[1]} and rows of {d} features")
     if plan(n, d, wanted) == "local":
 
         def solve(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
@@ -107,6 +107,23 @@ def fit_rows(rows: DataFrame, k: int, init: str = "farthest", max_iter: int = 30
         rows.unpersist()
 
 
+def fit_several(rows: DataFrame, k: int, initial: list[np.ndarray | None], wanted: str = "auto") -> list[KMeansModel]:
+    """`fit_rows` from each of the starts (None: farthest points), in one task where the rows fit one."""
+    n, d = shape(rows)
+    if plan(n, d, wanted) != "local" or not 1 <= k <= n:
+        return [fit_rows(rows, k, initial=s, wanted=wanted, known=(n, d)) for s in initial]
+
+    def solve(x: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for i, s in enumerate(initial):
+            c, inertia, passes = fit_array(x, k, initial=s)
+            out |= {f"c{i}": c, f"told{i}": np.array([inertia, passes])}
+        return out
+
+    found = in_one_task(rows, solve)
+    return [KMeansModel(found[f"c{i}"], float(found[f"told{i}"][0]), int(found[f"told{i}"][1])) for i in range(len(initial))]
+
+
 def _padded(sums: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.zeros((len(c), c.shape[1] + 2))
     out[: sums.shape[0], : sums.shape[1]] = sums

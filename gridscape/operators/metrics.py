@@ -58,6 +58,25 @@ def silhouette(rows: DataFrame) -> DataFrame:
     return each.agg(F.coalesce(F.avg(F.when(F.greatest("a", "b") > 0, s).otherwise(F.when(F.col("b").isNull(), F.lit(0.0)))), F.lit(0.0)).alias("silhouette"))
 
 
+def silhouette_array(x: np.ndarray, label: np.ndarray) -> float:
+    """As `silhouette`, of a sample at hand."""
+    order = np.argsort(label, kind="stable")
+    x, label = x[order], label[order]
+    _, first, size = np.unique(label, return_index=True, return_counts=True)
+    if len(first) < 2:
+        return 0.0
+    d = np.sqrt(kernels.cross_l2sq(x, x))
+    np.fill_diagonal(d, 0.0)
+    sums, own = np.add.reduceat(d, first, axis=1), np.repeat(np.arange(len(first)), size)
+    rows = np.arange(len(x))
+    a = np.where(size[own] > 1, sums[rows, own] / np.maximum(size[own] - 1, 1), 0.0)
+    means = sums / size
+    means[rows, own] = np.inf
+    b = means.min(axis=1)
+    top = np.maximum(a, b)
+    return float(((b - a)[top > 0] / top[top > 0]).mean()) if (top > 0).any() else 0.0
+
+
 def dunn(rows: DataFrame) -> DataFrame:
     """Least distance between clusters over largest within: 0 for one cluster, infinite if all are single rows."""
     own = F.col("label") == F.col("other")

@@ -345,7 +345,7 @@ def refined_centers(model: SOMModel, rows: DataFrame, k: int, wanted: str = "aut
         own, _, _ = lloyd.fit_array(model.weights, k)
         seeds = [unit_cluster_means(model, rows, kernels.nearest(model.weights, own)[0], hits, k), model.weights[kernels.farthest_points(model.weights, k)]]
         seeds += [model.weights[spread_units(model.weights, hits, int(s), k)] for s in np.argsort(-hits, kind="stable")[:3]]
-        pool = [lloyd.fit_rows(rows, k, initial=s, wanted=wanted) for s in seeds] + [lloyd.fit_rows(rows, k, wanted=wanted)]
+        pool = lloyd.fit_several(rows, k, [*seeds, None], wanted)
         least = min(p.inertia for p in pool)
         moments = added_up(rows, lambda x: np.concatenate([[len(x), (x * x).sum()], x.sum(axis=0)])[None, :])[0]
         whole = (moments[0], moments[1] - (moments[2:] ** 2).sum() / moments[0])

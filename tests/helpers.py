@@ -15,8 +15,9 @@ def two_groups(n: int = 20) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([0] * (n // 2) + [1] * (n - n // 2))
 
 
-def sine(n: int = 100, d: int = 4) -> np.ndarray:
-    return np.array([[0.5 * np.sin(i + j) + 0.5 for j in range(d)] for i in range(n)])
+def waves(n: int = 100, d: int = 4) -> np.ndarray:
+    i, j = np.arange(n)[:, None], np.arange(d)[None, :]
+    return (1 + j / d) * np.cos(0.7 * i) + 0.3 * np.sin(1.9 * i * (j + 1))
 
 
 def line_blobs() -> np.ndarray:

@@ -20,7 +20,7 @@ from gridscape.plans import planner
 from gridscape.service import ModelRegistry, server
 from gridscape.sources import datagen, io, persist
 from gridscape.streaming.score import OnlineSOM, score_stream, windowed_hits
-from tests.helpers import frame, sine, two_groups
+from tests.helpers import frame, waves, two_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,7 +46,7 @@ def test_edge_cases(spark):
 
 
 def test_silhouette_equals_definition(spark):
-    x, y = sine(30, 2), np.arange(30) % 3
+    x, y = waves(30, 2), np.arange(30) % 3
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     want = []
     for i in range(30):
@@ -97,7 +97,7 @@ def test_generators_do_not_depend_on_partitions(spark):
 
 def test_service(spark):
     reg = ModelRegistry(spark)
-    data = sine(20, 2).tolist()
+    data = waves(20, 2).tolist()
     out = reg.train({"data": data, "grid_size": 10, "learning_rate": 9, "epochs": 2, "init_method": "?", "distance": "?"})
     assert out["grid_size"] == 4 and out["samples"] == 20 and reg.models[out["model_id"]].learning_rate == 0.5
     assert len(reg.predict({"model_id": out["model_id"], "data": data[:3]})["predictions"]) == 3
@@ -109,7 +109,7 @@ def test_service(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = frame(spark, sine(40, 2)).withColumn("ts", F.timestamp_seconds(F.col("row_id") * 60))
+    rows = frame(spark, waves(40, 2)).withColumn("ts", F.timestamp_seconds(F.col("row_id") * 60))
     rows.write.parquet(str(tmp_path / "in"))
     model = SOM(3, 3, init="som++").fit(rows, 1)
     stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
@@ -138,12 +138,19 @@ def test_spanning_trees_by_rounds_are_those_of_one_task(spark):
 
 
 def test_pairs_in_tiles(spark, monkeypatch):
-    rows = frame(spark, sine(90, 3), np.arange(90) % 4)
+    rows = frame(spark, waves(90, 3), np.arange(90) % 4)
     want = [M.value(f(rows)) for f in (M.silhouette, M.dunn, M.davies_bouldin, M.dbcv)]
     monkeypatch.setattr(planner, "PAIR_TILE", 13)
     assert [M.value(f(rows)) for f in (M.silhouette, M.dunn, M.davies_bouldin, M.dbcv)] == pytest.approx(want)
 
 
+def test_silhouette_of_a_sample_at_hand(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(40, 3)), np.ones((3, 3))])
+    for label in (rng.integers(0, 4, 43), np.arange(43) // 42, np.zeros(43, int)):
+        assert M.silhouette_array(x, label) == pytest.approx(M.value(M.silhouette(frame(spark, x, label))))
+
+
 def test_csv_rows_are_numbered_by_file_and_line(spark, tmp_path):
     want = []
     for k, n in enumerate((3, 400, 1, 50)):
@@ -155,7 +162,7 @@ def test_csv_rows_are_numbered_by_file_and_line(spark, tmp_path):
 
 
 def test_any_model_as_json(spark, tmp_path):
-    rows = frame(spark, sine(60, 3), np.arange(60) % 3)
+    rows = frame(spark, waves(60, 3), np.arange(60) % 3)
     som = SOM(3, 3, init="som++").fit(rows, 1)
     models = [som, KMeans(k=3).fit(rows), DiagGMM(2).fit(rows), DensityModel.from_som(som).refit_density(rows), SOMClassifier(3, 3, init="som++").fit(rows, "label", 1)]
     for i, model in enumerate(models):
@@ -167,7 +174,7 @@ def test_any_model_as_json(spark, tmp_path):
 
 
 def test_online_training_goes_on_after_a_restart(spark, tmp_path):
-    som, parts = SOM(3, 3, init="som++"), [frame(spark, sine(40, 2)[i : i + 20]) for i in (0, 20)]
+    som, parts = SOM(3, 3, init="som++"), [frame(spark, waves(40, 2)[i : i + 20]) for i in (0, 20)]
     whole = OnlineSOM(som)
     for i, part in enumerate(parts):
         whole(part, i)
@@ -193,7 +200,7 @@ def test_http(spark):
 
     try:
         assert ask("/health") == (200, {"status": "ok", "models": 0})
-        data = sine(30, 2).tolist()
+        data = waves(30, 2).tolist()
         status, made = ask("/train", {"data": data, "grid_size": 3, "epochs": 1})
         assert status == 200 and made["samples"] == 30
         status, found = ask("/predict", {"model_id": made["model_id"], "data": data[:4]})

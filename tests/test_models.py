@@ -16,12 +16,12 @@ from gridscape.operators.kde import bandwidth, density, density_peaks, local_max
 from gridscape.operators.picker import ModelPicker
 from gridscape.operators.som import SOM, SOMModel
 from gridscape.sources import persist
-from tests.helpers import frame, line_blobs, plain_lloyd, sine, two_groups
+from tests.helpers import frame, line_blobs, plain_lloyd, waves, two_groups
 
 
 @pytest.mark.parametrize("plan", ["local", "distributed"])
 def test_lloyd_equals_definition(spark, plan):
-    x = sine(60, 3)
+    x = waves(60, 3)
     model = lloyd.fit_rows(frame(spark, x).repartition(3), 4, wanted=plan)
     c, label = plain_lloyd(x, x[kernels.farthest_points(x, 4)])
     assert np.allclose(model.centers, c, atol=1e-3)
@@ -71,7 +71,7 @@ def test_d2_seeds_from_all_rows_on_either_plan(spark):
 
 
 def test_shuffled_map_is_the_same_on_either_plan(spark):
-    rows = frame(spark, sine(150, 3)).repartition(3)
+    rows = frame(spark, waves(150, 3)).repartition(3)
     local, spread = (SOM(3, 3, init="zero", seed=2, plan=plan).fit(rows, 2) for plan in ("local", "distributed"))
     assert np.allclose(local.weights, spread.weights, atol=1e-9)
     assert not np.allclose(local.weights, SOM(3, 3, init="zero", seed=2).fit(rows, 2, False).weights, atol=1e-6)
@@ -94,7 +94,7 @@ def test_farthest_points_take_the_last_of_equals():
 
 
 def test_seeding(spark):
-    x = sine(50, 3)
+    x = waves(50, 3)
     rows = frame(spark, x)
     for method in seeding.METHODS:
         if "kde" not in method:
@@ -131,7 +131,7 @@ def test_ordered_fold_equals_sequence():
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_training_does_not_depend_on_partitions(spark, parts):
-    rows = frame(spark, sine(90, 3)).repartition(parts)
+    rows = frame(spark, waves(90, 3)).repartition(parts)
     a = SOM(3, 3, 0.5, 1.5, "naive_sharding", plan="local").fit(rows, 2, False, 30)
     b = SOM(3, 3, 0.5, 1.5, "naive_sharding", plan="distributed").fit(rows, 2, False, 30)
     assert np.abs(a.weights - b.weights).max() < 1e-10
@@ -145,7 +145,7 @@ def test_distributed_training_leaves_nothing_behind(spark):
     from gridscape.plans.storage import shared_dir
     from gridscape.schema import positions
 
-    rows = frame(spark, sine(400, 3)).repartition(4)
+    rows = frame(spark, waves(400, 3)).repartition(4)
     held = spark.sparkContext._jsc.getPersistentRDDs().size()
     files = set(glob.glob(f"{shared_dir(spark)}/gridscape/*"))
     SOM(3, 3, init="zero", plan="distributed").fit(rows, 2, batch_size=200)
@@ -166,21 +166,36 @@ def test_distributed_training_leaves_nothing_behind(spark):
         placed.remove()
     finally:
         spark.conf.set(key, before)
-    assert np.allclose(whole, kernels.train_batch(w, sine(400, 3), np.arange(400.0), schedule, 3, "euclidean", "exact"))
+    assert np.allclose(whole, kernels.train_batch(w, waves(400, 3), np.arange(400.0), schedule, 3, "euclidean", "exact"))
 
 
 @pytest.mark.parametrize("options", [{"bmu_refresh": "sample"}, {"distance": "cosine", "update": "cosine"}, {"update": "manhattan", "max_iter": 170}])
 def test_sequential_training_in_slices(spark, monkeypatch, options):
     from gridscape.operators import som as module
 
-    rows = frame(spark, sine(90, 3)).repartition(3)
+    rows = frame(spark, waves(90, 3)).repartition(3)
     whole = SOM(3, 3, init="zero", plan="local", **options).fit(rows, 2)
     monkeypatch.setattr(module, "SLICE_BYTES", 8 * 3 * 25)
     assert np.allclose(SOM(3, 3, init="zero", plan="distributed", **options).fit(rows, 2).weights, whole.weights)
 
 
+def test_bandwidth_in_one_task_is_the_same(spark):
+    rows = frame(spark, 9 * waves(60, 3))
+    for method in ("silverman", "scott"):
+        assert kselect.smoothing_sigma(rows, 20, 20, method, (60, 3)) == pytest.approx(kselect.smoothing_bandwidth(rows, 20, 20, method).first()[0])
+
+
+def test_several_starts_at_once(spark):
+    x = waves(60, 3)
+    starts = [x[:4], x[10:14], None]
+    one = lloyd.fit_several(frame(spark, x), 4, starts)
+    for a, s in zip(one, starts, strict=True):
+        b = lloyd.fit_rows(frame(spark, x), 4, initial=s)
+        assert np.allclose(a.centers, b.centers) and a.inertia == pytest.approx(b.inertia)
+
+
 def test_seeds_inside_the_training_job_are_the_same(spark):
-    x = sine(40, 3)
+    x = waves(40, 3)
     for method in seeding.AT_HAND:
         assert np.allclose(seeding.codebook_at_hand(x, method, 4, 3), seeding.init_codebook(frame(spark, x), method, 4, 3))
 
@@ -191,7 +206,7 @@ def test_schedule_and_limits(spark):
     assert rate[0] == 0.5 and radius[0] == 3.0 and rate[1] == pytest.approx(0.5 * math.exp(-5))
     warm = kernels.Schedule(0.5, 3.0, 100, (0.1, 0.2)).at(np.array([0.0, 1.0]))
     assert warm[0][0] == 0.1 and warm[1][0] == 0.2 and warm[0][1] == pytest.approx(0.5 * math.exp(-0.05))
-    rows = frame(spark, sine(30, 2))
+    rows = frame(spark, waves(30, 2))
     still = SOM(2, 2, init="naive_sharding", max_iter=0).fit(rows, 3, False)
     assert np.allclose(still.weights, seeding.init_codebook(rows, "naive_sharding", 4))
     with pytest.raises(InvalidLearningRate):
@@ -201,7 +216,7 @@ def test_schedule_and_limits(spark):
 
 
 def test_map_cycle(spark):
-    rows = frame(spark, sine(), np.arange(100) % 3)
+    rows = frame(spark, waves(), np.arange(100) % 3)
     model = SOM(4, 4, init="som++").fit(rows, 3)
     bmu = [r.bmu for r in model.transform(rows).collect()]
     assert 0 <= min(bmu) and max(bmu) < 16 and model.neurons(spark).count() == 16
@@ -222,12 +237,12 @@ def test_map_cycle(spark):
 
 @pytest.mark.parametrize("options", [{"bmu_refresh": "sample"}, {"distance": "cosine", "update": "cosine"}, {"update": "manhattan"}, {"algorithm": "batch_map"}, {"exp_mode": "taylor"}])
 def test_ways_of_training(spark, options):
-    rows = frame(spark, sine(40, 3))
+    rows = frame(spark, waves(40, 3))
     assert np.isfinite(SOM(3, 3, init="som++", **options).fit(rows, 2).weights).all()
 
 
 def test_refined_is_no_worse_than_plain(spark):
-    rows = frame(spark, sine(80, 2))
+    rows = frame(spark, waves(80, 2))
     model = SOM(4, 4, init="som++").fit(rows, 3, False)
     refined = model.cluster_refined(rows, 4)
     c = np.array([r.m for r in refined.groupBy("label").agg(F.array(*[F.avg(F.col("features")[j]) for j in range(2)]).alias("m")).collect()])

@@ -11,7 +11,7 @@ from gridscape.operators.assign import nearest
 from gridscape.operators.som import SOMModel
 from gridscape.plans.planner import LOCAL_BYTES, added_up, plan
 from gridscape.schema import assemble
-from tests.helpers import frame, sine
+from tests.helpers import frame, waves
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +36,7 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_a_codebook_join_is_broadcast(spark):
-    rows = frame(spark, sine(20, 2))
+    rows = frame(spark, waves(20, 2))
     p = physical(nearest(rows, np.eye(2), plan="array"))
     assert "BroadcastNestedLoopJoin" in p and "CartesianProduct" not in p
 
@@ -44,14 +44,14 @@ def test_a_codebook_join_is_broadcast(spark):
 def test_pair_scores_emit_aggregates(spark):
     """Rows by label and block, not by pair."""
     n, labels = 200, 4
-    rows = frame(spark, sine(n, 2), np.arange(n) % labels)
+    rows = frame(spark, waves(n, 2), np.arange(n) % labels)
     assert M._distances_by_label(rows).count() == n * labels
     p = physical(M.silhouette(rows))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_training_sums_are_state_sized(spark):
-    x = sine(100, 3)
+    x = waves(100, 3)
     total = added_up(frame(spark, x).repartition(7), lambda b: b.T @ b)
     assert total.shape == (3, 3) and np.allclose(total, x.T @ x)
 

@@ -12,7 +12,7 @@ from gridscape.functions import vector as V
 from gridscape.operators import kernels
 from gridscape.operators.assign import codebook_table, hit_map, nearest, nearest_row_per_unit, neighbours
 from gridscape.schema import FeatureSpec, assemble, shape, with_pos
-from tests.helpers import frame, sine
+from tests.helpers import frame, waves
 
 
 def one(spark, *columns):
@@ -54,7 +54,7 @@ def test_nearest_is_first_minimum(n, k, d, seed):
 
 
 def test_plans_agree_and_empty(spark):
-    x = sine(40, 3)
+    x = waves(40, 3)
     c = x[[1, 5, 9, 5]]  # a tie between units 1 and 3
     rows = frame(spark, x)
     found = {p: {r.row_id: r.unit for r in nearest(rows, c, plan=p).collect()} for p in ("arrow", "array", "join")}
