@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridscape.queries import grids, models, scores, vectors
+from gridscape.queries import files, grids, models, scores, vectors
 from gridscape.queries.vectors import codebook_summary
 
-REGISTRIES = (vectors.QUERIES, scores.QUERIES, grids.QUERIES, models.QUERIES)
+REGISTRIES = (vectors.QUERIES, scores.QUERIES, grids.QUERIES, models.QUERIES, files.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,16 +155,18 @@ def internal(rows: str, p: str) -> list[str]:
 
 
 def by_samples(rows: str, book: str, n: int, epochs: int, rate: float, radius: float, p: str, rule: str = "euclidean", cutoff: bool = True) -> list[str]:
-    """{p}(unit, w): a map of n columns trained sample by sample in row order, one row of a recursion a sample; needs WITH RECURSIVE. rule: euclidean or cosine."""
+    """{p}(unit, w): a map of n columns trained sample by sample in row order, one row of a recursion a sample; needs WITH RECURSIVE. rule: euclidean, cosine or manhattan."""
     dot = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))".format
     norm = lambda a: f"sqrt(list_sum(list_transform({a}, lambda z: z * z)))"
-    away = sq("u", "x") if rule == "euclidean" else f"1 - {dot(a='u', b='x')} / {norm('u')} / {norm('x')}"
+    away = sq("u", "x") if rule != "cosine" else f"1 - {dot(a='u', b='x')} / {norm('u')} / {norm('x')}"
     grid = GRID_DISTANCE.format(n=n).replace("c.unit", "(i - 1)").replace("a.unit", "bmu")
     h = f"rate * exp(-({grid}) / (2 * s * s))"
     reach = f"greatest(abs((i - 1) // {n} - bmu // {n}), abs((i - 1) % {n} - bmu % {n}))"
     h = f"CASE WHEN {reach} > ceil(3 * s) OR {h} < 1e-8 THEN 0 ELSE {h} END" if cutoff else h
     if rule == "euclidean":
         moved = "list_transform(list_zip(u, x), lambda z: z[1] + hs[i] * (z[2] - z[1]))"
+    elif rule == "manhattan":
+        moved = "list_transform(list_zip(u, x), lambda z: z[1] + hs[i] * sign(z[2] - z[1]))"
     else:  # toward x at the same length: w + h (|w| x / |x| - w (w x) / (|w| |x|))
         moved = f"list_transform(list_zip(u, x), lambda z: z[1] + hs[i] * ({norm('u')} * z[2] / {norm('x')} - z[1] * {dot(a='u', b='x')} / ({norm('u')} * {norm('x')})))"
     return [

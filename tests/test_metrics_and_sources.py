@@ -218,7 +218,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= names and len(names) > 80
 
 
-@pytest.mark.parametrize("name", ["codebook_summary", "bmu_assign_arrow", "dbcv", "som_batch_step", "classifier_predict", "grid_components", "stream_score"])
+@pytest.mark.parametrize("name", ["codebook_summary", "bmu_assign_arrow", "dbcv", "som_batch_step", "classifier_predict", "grid_components", "stream_score", "kmeans_fit", "som_fit", "som_fit_samples", "som_tree_cluster", "density_predict", "gmm_fit", "init_kmeans", "refused", "csv_points", "json_models"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
