@@ -6,9 +6,6 @@ All hash arithmetic is on whole numpy arrays; no Python code runs per word here.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscape.plans.storage import Stored, stored
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 18
 BATCH_ROWS = 1000
@@ -39,29 +38,12 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-class NoSharedFolder(RuntimeError):
-    """spark.checkpoint.dir is unset on a cluster, whose executors don't see the driver's folders."""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and Spark is one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
-            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="gridscape-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once into a table in the shared folder and read it from there: lineage ends, and lost executors cost no recomputation.
 
     The tables stay until the folder's owner clears it, as lazy results still read them.
     """
-    path = f"{shared_dir(df.sparkSession)}/gridscape/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df).df
 
 
 def in_written_order(df: DataFrame) -> list[Column] | None:
@@ -93,6 +75,24 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[
     return (part for batch in batches for part in bounded(batch, *texts))
 
 
+class Scratch:
+    """Tables as `cut` makes them that only other tables read: once those are written, `clear` removes them."""
+
+    def __init__(self) -> None:
+        self.tables: list[Stored] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.tables.append(stored(df))
+        return self.tables[-1].df
+
+    def clear(self, keep: int = 0) -> None:
+        """All but the last `keep` of them."""
+        gone = self.tables[: len(self.tables) - keep]
+        self.tables = self.tables[len(gone) :]
+        for t in gone:
+            t.remove()
+
+
 def one_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import bounded_batches, cut, gram_hashes, mix, one_array, slices, utf8, word_hashes, words
+from gridscape.llm.common import Scratch, bounded_batches, cut, gram_hashes, mix, one_array, slices, utf8, word_hashes, words
 
 WINDOW = 20
 ANCHOR = 5
@@ -232,7 +232,7 @@ def _cut_out(window: int, with_text: bool):
     return run
 
 
-def paths(degrees: DataFrame) -> DataFrame:
+def paths(degrees: DataFrame, scratch: Scratch) -> DataFrame:
     """edge, windows: each nonbranching path's first edge and its number of windows, of a table of edges.
 
     `degrees`: edge; branches, whether its pieces differ; n, the windows of one; a, b and c, d, the least and largest of the edges before and after it. An
@@ -242,12 +242,15 @@ def paths(degrees: DataFrame) -> DataFrame:
     ahead = simple.where((F.col("c") == F.col("d")) & (F.col("c") != 0)).select(F.col("edge").alias("up"), F.col("c").alias("edge"), F.col("n").alias("off"))
     behind = simple.where((F.col("a") == F.col("b")) & (F.col("a") != 0)).select("edge", F.col("a").alias("only"), "n")
     # of an edge on a path that isn't its first: one further up, and the windows between. No cycles: a text ends
-    state = cut(ahead.join(behind, "edge").where(F.col("up") == F.col("only")).select("edge", "up", "off", "n"))
+    own = Scratch()
+    state = own.cut(ahead.join(behind, "edge").where(F.col("up") == F.col("only")).select("edge", "up", "off", "n"))
     while True:
         far = state.select(F.col("edge").alias("via"), F.col("up").alias("top"), F.col("off").alias("more"))
-        state = cut(state.join(far, F.col("up") == F.col("via"), "left").select("edge", F.coalesce("top", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), "n", F.col("top").isNotNull().alias("open")))
+        state = own.cut(state.join(far, F.col("up") == F.col("via"), "left").select("edge", F.coalesce("top", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), "n", F.col("top").isNotNull().alias("open")))
+        own.clear(1)
         if state.where("open").isEmpty():
             break
+    scratch.tables += own.tables
     sums = state.groupBy(F.col("up").alias("first")).agg(F.max(F.col("off") + F.col("n")).alias("total"))
     heads = simple.join(state.select("edge"), "edge", "left_anti")
     return heads.join(sums, F.col("edge") == F.col("first"), "left").select("edge", F.coalesce("total", "n").cast("int").alias("windows"))
@@ -263,25 +266,28 @@ def repeats_removed(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCH
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").alias("text"))
     text = ", kept_text string" if with_text else ""
     edges = rows.mapInArrow(_pieces(window, anchor, False), "edge long")
-    again = cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge"))
+    scratch = Scratch()  # what is read no more when the touched texts are known
+    again = scratch.cut(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge"))
     # duplicates of a row are one occurrence each, which at worst keeps an edge that occurs in one text only
-    found = cut(rows.mapInArrow(_pieces(window, anchor, True, filter_bits(again)), PIECE).join(again, "edge", "left_semi"))
+    found = scratch.cut(rows.mapInArrow(_pieces(window, anchor, True, filter_bits(again)), PIECE).join(again, "edge", "left_semi"))
     ends = [f(c).alias(x) for c, f, x in (("before", F.min, "a"), ("before", F.max, "b"), ("after", F.min, "c"), ("after", F.max, "d"))]
-    degrees = cut(found.groupBy("edge").agg((F.min("content") != F.max("content")).alias("branches"), F.min("n").alias("n"), *ends))
-    spans = found.select("edge", "doc", "version", "start").join(cut(paths(degrees)), "edge").select("doc", "version", F.struct("start", F.col("windows").alias("n"), F.lit(SPAN).alias("kind")).alias("piece"))
-    open_ = cut(found.join(cut(degrees.where("branches").select("edge")), "edge", "left_semi").select("edge", "left", "right", "doc", "version", "start", "n"))
+    degrees = scratch.cut(found.groupBy("edge").agg((F.min("content") != F.max("content")).alias("branches"), F.min("n").alias("n"), *ends))
+    spans = found.select("edge", "doc", "version", "start").join(scratch.cut(paths(degrees, scratch)), "edge").select("doc", "version", F.struct("start", F.col("windows").alias("n"), F.lit(SPAN).alias("kind")).alias("piece"))
+    open_ = scratch.cut(found.join(scratch.cut(degrees.where("branches").select("edge")), "edge", "left_semi").select("edge", "left", "right", "doc", "version", "start", "n"))
     sides = open_
     for side in ("left", "right"):
-        met = cut(open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge", side, F.lit(True).alias(f"{side}_met")))
+        met = scratch.cut(open_.where(F.col(side) != 0).groupBy("edge", side).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("edge", side, F.lit(True).alias(f"{side}_met")))
         sides = sides.join(met, ["edge", side], "left")
     opened = sides.where("left_met OR right_met").select("doc", "version", F.struct("start", "n", F.lit(OPENED).alias("kind")).alias("piece"))
     by_text = cut(spans.unionByName(opened).groupBy("doc", "version").agg(F.collect_set("piece").alias("p")))
+    scratch.clear()
     touched = cut(rows.join(by_text, ["doc", "version"]).select("doc", "version", "text", F.col("p.start").alias("starts"), F.col("p.n").alias("ns"), F.col("p.kind").alias("kinds")))
-    units = cut(touched.mapInArrow(_units(window, anchor), UNIT))
-    firsts = cut(units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"))
+    units = scratch.cut(touched.mapInArrow(_units(window, anchor), UNIT))
+    firsts = scratch.cut(units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first"))
     where = ["doc", "version", F.struct("start", "n").alias("unit")]
     later = units.where("here").select(*where).unionByName(units.join(firsts, ["h1", "h2"]).where("doc > first").select(*where))
-    later = later.groupBy("doc", "version").agg(F.collect_set("unit").alias("u"))
+    later = cut(later.groupBy("doc", "version").agg(F.collect_set("unit").alias("u")))
+    scratch.clear()
     cleaned = touched.join(later, ["doc", "version"], "left").select("doc", "version", "text", F.col("u.start").alias("starts"), F.col("u.n").alias("ns")).mapInArrow(_cut_out(window, with_text), KEPT + text)
     whole = rows.mapInArrow(_untouched(with_text), KEPT + text).join(by_text.select("doc", "version"), ["doc", "version"], "left_anti")
     out = cleaned.unionByName(whole)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscape.llm.common import bounded, bounded_batches, cut, gram_hashes, ids, mix, one_array, slices, utf8, word_hashes, words
+from gridscape.llm.common import Scratch, bounded, bounded_batches, cut, gram_hashes, ids, mix, one_array, slices, utf8, word_hashes, words
 
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
@@ -248,12 +248,13 @@ def _stars(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS, first_shards: int = SHARDS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, scratch: Scratch | None = None, *, shard_rows: int = SHARD_ROWS, first_shards: int = SHARDS) -> DataFrame:
     """u, v: a spanning star of each shard's components, over a table (fp) of distinct fingerprints.
 
     The first tree has at most `first_shards` shards, from a sample that the driver holds; every shard that turns out to have over 2 * shard_rows
     fingerprints at home is split by a tree of its own, built and applied by the executors, until none is.
     """
+    scratch = scratch or Scratch()
     n = distinct.count()
     shards = min(first_shards, max(LEAST_SHARDS, -(-n // shard_rows)))
     # bounded: at most SHARDS * SAMPLE_PER_SHARD fingerprints of eight bytes, chosen by hash
@@ -261,15 +262,15 @@ def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS,
     tree = build(np.array([r.fp for r in sample], np.int64).view(np.uint64), max(1, len(sample) // shards))
     done, level, rows = None, 0, distinct.select("fp").mapInArrow(_routed(tree, radius), ROUTED)
     if n > min(first_shards, LEAST_SHARDS) * shard_rows:
-        rows = cut(rows)
+        rows = scratch.cut(rows)
         while True:
             home = F.count(F.when(F.col("home"), 1)).alias("homes")
             sizes = rows.groupBy("shard").agg(home, F.count(F.lit(1)).alias("rows")).where(F.col("homes") > 2 * shard_rows)
             sizes = sizes.withColumn("leaves", F.least(F.lit(SHARDS), F.ceil(F.col("homes") / shard_rows))).withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))
-            sizes = cut(sizes.withColumnRenamed("shard", "large"))
+            sizes = scratch.cut(sizes.withColumnRenamed("shard", "large"))
             chosen = F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1 << 32)).cast("double") * F.col("homes") < F.lit(float(SAMPLE_PER_SHARD << 32)) * F.col("leaves")
             sampled = rows.where("home").join(sizes, F.col("shard") == F.col("large")).where(chosen)
-            trees = cut(sampled.select("shard", "fp", "leaves").groupBy("shard").applyInArrow(_grown, SPLIT).where(F.size("point") > 0))
+            trees = scratch.cut(sampled.select("shard", "fp", "leaves").groupBy("shard").applyInArrow(_grown, SPLIT).where(F.size("point") > 0))
             if trees.isEmpty():  # no shard is large, or none can be told apart by distances
                 break
             parts = trees.select(F.col("shard").alias("split")).join(sizes, F.col("split") == F.col("large")).select("split", "parts")
@@ -279,7 +280,7 @@ def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS,
             right = trees.withColumnRenamed("shard", "own").join(every, F.col("own") == F.col("split")).drop("split")
             done = kept if done is None else done.unionByName(kept)
             level += 1
-            rows = cut(left.groupBy("shard", "part").cogroup(right.groupBy("own", "piece")).applyInArrow(_resplit(radius), ROUTED))
+            rows = scratch.cut(left.groupBy("shard", "part").cogroup(right.groupBy("own", "piece")).applyInArrow(_resplit(radius), ROUTED))
     every = rows.withColumn("level", F.lit(level))
     every = every if done is None else every.unionByName(done)
     return every.groupBy("level", "shard").applyInArrow(_stars(radius), "u long, v long")
@@ -287,16 +288,19 @@ def links(distinct: DataFrame, radius: int = 2, *, shard_rows: int = SHARD_ROWS,
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over edges (u, v), of every node that has one."""
-    both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    state = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    edge_table, own = Scratch(), Scratch()
+    both = edge_table.cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    state = own.cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         heard = both.join(state, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label")
         told = state.select("node", "label", F.col("label").alias("old")).unionByName(heard, allowMissingColumns=True)
         least = told.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = state.select(F.col("node").alias("j"), F.col("label").alias("further"))
-        new = cut(least.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        new = own.cut(least.join(jump, F.col("label") == F.col("j"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
         state = new.select("node", "label")
+        own.clear(1)
         if new.where(F.col("label") != F.col("old")).isEmpty():
+            edge_table.clear()
             return state
 
 
@@ -308,7 +312,9 @@ def groups(docs: DataFrame, *, radius: int = 2, shingle: int = 3, seed: int = 42
     """
     found = cut(fingerprints(docs, text=text, key=key, shingle=shingle, seed=seed))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    state = components(links(distinct, radius, shard_rows=shard_rows))
+    scratch = Scratch()
+    state = components(links(distinct, radius, scratch, shard_rows=shard_rows))
+    scratch.clear()
     named = distinct.join(state, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "label").select("fp", "component_id")
@@ -533,28 +539,30 @@ def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int =
     nodes = cut(nodes)
     banded = nodes.select("first", "n", F.explode("keys").alias("key"))
     # one row per key that several texts have; the table of keys is written, so that adaptive execution can split a key's texts
-    heads = cut(banded.groupBy("key").agg(F.min(F.struct("first", "n")).alias("head"), F.count(F.lit(1)).alias("texts")).where("texts > 1"))
-    shared = cut(banded.join(heads, "key").select("key", "first", "n", "head", "texts"))
+    scratch = Scratch()
+    heads = scratch.cut(banded.groupBy("key").agg(F.min(F.struct("first", "n")).alias("head"), F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    shared = scratch.cut(banded.join(heads, "key").select("key", "first", "n", "head", "texts"))
     fits = F.least("n", "head.n") >= least * F.greatest("n", "head.n")
-    stars = cut(shared.where((F.col("first") != F.col("head.first")) & fits).select(F.col("first").alias("u"), F.col("head.first").alias("v")).distinct())
+    stars = scratch.cut(shared.where((F.col("first") != F.col("head.first")) & fits).select(F.col("first").alias("u"), F.col("head.first").alias("v")).distinct())
     text_of = lambda name, as_: rows.select(F.col("doc_id").alias(name), F.col("text").alias(as_))
     pairs = stars.join(text_of("u", "text_u"), "u").join(text_of("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
-    links = cut(pairs.mapInArrow(_verified(least, like_shingle), "u long, v long").distinct())
+    links = scratch.cut(pairs.mapInArrow(_verified(least, like_shingle), "u long, v long").distinct())
     state = components(links)
     labelled = shared.where("texts > 2").join(state, F.col("first") == F.col("node"), "left").select("key", "first", "n", "head", F.coalesce("label", "first").alias("label"))
-    labelled = cut(labelled)
+    labelled = scratch.cut(labelled)
     # the first text of a band has met all others; bands of the same texts are one
     others = F.col("first") != F.col("head.first")
     split = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.when(others, F.col("label"))).alias("a"), F.max(F.when(others, F.col("label"))).alias("b"), F.sum(F.xxhash64("first").cast("decimal(38,0)")).alias("who"))
-    split = cut(split.where("a <> b").groupBy("texts", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("texts") / task_rows).cast("int").alias("parts")))
+    split = scratch.cut(split.where("a <> b").groupBy("texts", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("texts") / task_rows).cast("int").alias("parts")))
     open_ = labelled.join(split, "key").join(nodes.select("first", "n", "marks"), ["first", "n"])
     part = F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("l"), F.greatest(k, part).alias("r"), F.when(k == part, 2).when(k < part, 0).otherwise(1).alias("side")))
     task = ["key", "l", "r"]
     dealt = open_.withColumn("task", F.explode(meet)).select("key", F.col("task.l").alias("l"), F.col("task.r").alias("r"), F.col("task.side").alias("side"), "first", "n", "label", "marks")
-    suspects = cut(dealt.groupBy(*task).applyInArrow(_suspects(least), dealt.schema))
+    suspects = scratch.cut(dealt.groupBy(*task).applyInArrow(_suspects(least), dealt.schema))
     settled = suspects.join(text_of("first", "text"), "first").groupBy(*task).applyInArrow(_settled(least, like_shingle), "u long, v long")
     state = components(links.unionByName(settled))
+    scratch.clear()
     named = nodes.join(state, F.col("first") == F.col("node"), "left").select(*sets, F.coalesce("label", "first").alias("component_id"))
     return found.select("doc_id", *sets).join(named, sets, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

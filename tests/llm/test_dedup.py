@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 
 from gridscape.llm import debruijn, linededup, simhash
-from gridscape.llm.common import utf8
+from gridscape.llm.common import Scratch, utf8
 from tests.llm.helpers import CLASHES, EDGES, corpus, documents
 
 
@@ -48,7 +48,7 @@ def test_long_repeats_are_few_paths(spark):
     texts = [(i, f"{new(30)} {p} {new(30)}") for i in range(4)] + [(10, f"{p} {q}"), (11, f"{q} {p}"), (12, f"{new(5)} {q} {q}")]
     assert repeats(spark, texts) == debruijn.brute_force(texts)
     rows = spark.createDataFrame([(1, False, 4, 0, 0, 2, 2), (2, False, 3, 1, 1, 3, 3), (3, False, 5, 2, 2, 0, 4), (4, True, 1, 3, 3, 5, 5), (5, False, 2, 4, 4, 6, 6), (6, False, 7, 5, 5, 0, 0)], "edge long, branches boolean, n int, a long, b long, c long, d long")
-    assert sorted(map(tuple, debruijn.paths(rows).collect())) == [(1, 12), (5, 9)]
+    assert sorted(map(tuple, debruijn.paths(rows, Scratch()).collect())) == [(1, 12), (5, 9)]
 
 
 @settings(max_examples=50, deadline=None)
