@@ -172,7 +172,7 @@ def som_tree_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).tree_cluster(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 
 
-@query()
+@query(f"WITH {', '.join([ON_MAP, *unrolled.refined('e', 't', 'z', 10, 8, 'rf')])} SELECT row_id, CAST(label AS INTEGER) AS label FROM rf")
 def som_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).cluster_refined(points(spark, sf_dir).drop("label"), 10).select("row_id", "label")
 

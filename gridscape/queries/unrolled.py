@@ -177,3 +177,45 @@ def by_samples(rows: str, book: str, n: int, epochs: int, rate: float, radius: f
         f"SELECT o.step, o.n, o.w, r.x, {rate} * exp(-5 * o.step / ({epochs}.0 * o.n)) AS rate, {radius} * exp(-3 * o.step / ({epochs}.0 * o.n)) AS s FROM {p}w o JOIN {p}r r ON r.p = o.step % o.n WHERE o.step < {epochs} * o.n)))))",
         f"{p} AS MATERIALIZED (SELECT generate_subscripts(w, 1) - 1 AS unit, unnest(w) AS w FROM (SELECT w FROM {p}w ORDER BY step DESC LIMIT 1))",
     ]
+
+
+def spread_units(book: str, hits: str, start: int, k: int, p: str) -> list[str]:
+    """{p}(unit, w): of the units of `book`, the one of the `start`-th most hits and then each time the first of the largest (hits + 0.5) * squared distance to those chosen."""
+    parts = [
+        f"{p}c0 AS MATERIALIZED (SELECT b.unit, b.w FROM {book} b JOIN {hits} h USING (unit) ORDER BY h.hits DESC, b.unit LIMIT 1 OFFSET {start})",
+        f"{p}m0 AS MATERIALIZED (SELECT b.unit, b.w, h.hits + 0.5 AS weight, {sq('b.w', f'{p}c0.w')} AS d FROM {book} b JOIN {hits} h USING (unit) CROSS JOIN {p}c0)",
+    ]
+    for i in range(1, k):
+        taken = " UNION ALL ".join(f"SELECT unit FROM {p}c{j}" for j in range(i))
+        parts.append(f"{p}c{i} AS MATERIALIZED (SELECT unit, w FROM {p}m{i - 1} WHERE unit NOT IN ({taken}) ORDER BY weight * d DESC, unit LIMIT 1)")
+        parts.append(f"{p}m{i} AS MATERIALIZED (SELECT m.unit, m.w, m.weight, least(m.d, {sq('m.w', f'{p}c{i}.w')}) AS d FROM {p}m{i - 1} m CROSS JOIN {p}c{i})")
+    return [*parts, f"{p} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {i} AS unit, w FROM {p}c{i}' for i in range(k))})"]
+
+
+def refined(rows: str, book: str, on_units: str, k: int, rest: int, p: str) -> list[str]:
+    """{p}(row_id, label): the best of Lloyd's results from six sets of seeds that a map suggests. `on_units`: rows with their units."""
+    hits = f"{p}h AS MATERIALIZED (SELECT b.unit, count(z.row_id) AS hits FROM {book} b LEFT JOIN {on_units} z USING (unit) GROUP BY b.unit)"
+    units = f"{p}r AS MATERIALIZED (SELECT unit AS row_id, w AS x FROM {book})"
+    seeds = [f"{p}m", f"{p}f", f"{p}x0", f"{p}x1", f"{p}x2", f"{p}e"]
+    through = [
+        assigned(f"{p}r", f"{p}l", f"{p}z"),
+        f"{p}y AS (SELECT c, dim, avg(v) AS v FROM (SELECT y.unit AS c, unnest(z.x) AS v, generate_subscripts(z.x, 1) AS dim FROM {on_units} z JOIN {p}z y ON y.row_id = z.unit) GROUP BY c, dim)",
+        f"{p}o AS (SELECT c, dim, sum(g * v) / sum(g) AS v FROM (SELECT y.unit AS c, greatest(h.hits, 0.5) AS g, unnest(y.x) AS v, generate_subscripts(y.x, 1) AS dim FROM {p}z y JOIN {p}h h ON h.unit = y.row_id) GROUP BY c, dim)",
+        f"{p}m AS MATERIALIZED (SELECT o.c AS unit, list(coalesce(y.v, o.v) ORDER BY dim) AS w FROM {p}o o LEFT JOIN {p}y y USING (c, dim) GROUP BY o.c)",
+    ]
+    parts = [hits, units, *farthest(f"{p}r", k, f"{p}f"), *lloyd(f"{p}r", f"{p}f", rest, f"{p}l"), *through, *farthest(rows, k, f"{p}e")]
+    for i in range(3):
+        parts += spread_units(book, f"{p}h", i, k, f"{p}x{i}")
+    for i, seed in enumerate(seeds):
+        parts += [*lloyd(rows, seed, rest, f"{p}q{i}"), assigned(rows, f"{p}q{i}", f"{p}a{i}")]
+    every = " UNION ALL ".join(f"SELECT {i} AS i, row_id, x, unit, d2 FROM {p}a{i}" for i in range(len(seeds)))
+    return [
+        *parts,
+        f"{p}all AS MATERIALIZED ({every})",
+        f"{p}s AS (SELECT i, unit, dim, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM (SELECT i, unit, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM {p}all) GROUP BY i, unit, dim)",
+        f"{p}w AS (SELECT i, count(DISTINCT unit) AS k, sum(q) - sum(s * s / n) AS within FROM {p}s GROUP BY i)",
+        f"{p}t AS (SELECT i, sum(q) - sum(s * s / n) AS spread, any_value(n) AS n FROM (SELECT i, dim, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM {p}s GROUP BY i, dim) GROUP BY i)",
+        f"{p}i AS (SELECT i, sum(d2) AS inertia FROM {p}all GROUP BY i)",
+        f"{p}best AS (SELECT i FROM {p}i JOIN {p}w USING (i) JOIN {p}t USING (i) WHERE inertia <= 1.05 * (SELECT min(inertia) FROM {p}i) ORDER BY round(((spread - within) / (k - 1)) / (within / (n - k)), 6) DESC, i LIMIT 1)",
+        f"{p} AS (SELECT row_id, unit AS label FROM {p}all WHERE i = (SELECT i FROM {p}best))",
+    ]
