@@ -122,7 +122,14 @@ def neighbours(rows: DataFrame, k: int, *, include_self: bool = False, n: int |
         cols = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"row_id": pa.array(cols[0].astype(np.int64)), "other": pa.array(cols[1].astype(np.int64)), "d": pa.array(cols[2].astype(float))})
 
+    def best(found: pa.Table) -> pa.Table:
+        row, other, d = (found[c].to_numpy() for c in ("row_id", "other", "d"))
+        order = np.lexsort((other, d, row))
+        first = np.flatnonzero(np.diff(row[order], prepend=row[order][:1] - 1))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        return found.take(pa.array(order[rank < k]))
+
     base = rows.select("row_id", "features")
-    found = pairwise(base, base, run, "row_id long, other long, d double", n=n)
+    found = pairwise(base, base, run, "row_id long, other long, d double", n=n, merge=best)
     w = Window.partitionBy("row_id").orderBy("d", "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("row_id", "rank", "other", "d")

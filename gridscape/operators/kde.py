@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridscape.errors import InsufficientData
 from gridscape.operators import kernels
-from gridscape.plans.planner import in_one_task, pairwise, plan, vectors
+from gridscape.plans.planner import in_one_task, merged, pairwise, plan, vectors
 from gridscape.plans.storage import stored
 from gridscape.schema import with_pos
 
@@ -40,7 +40,7 @@ def density(rows: DataFrame, width: float | None = None) -> DataFrame:
         return pa.table({"row_id": pa.array(ids, pa.int64()), "part": pa.array(total, pa.float64())})
 
     base = rows.select("row_id", "features")
-    return pairwise(base, base, part, "row_id long, part double", n=n).groupBy("row_id").agg((F.sum("part") / n).alias("density"))
+    return pairwise(base, base, part, "row_id long, part double", n=n, merge=merged(["row_id"], {"part": "sum"})).groupBy("row_id").agg((F.sum("part") / n).alias("density"))
 
 
 def local_maxima(values: DataFrame, v: str = "density", order: str = "row_id", block: int = 100_000) -> DataFrame:

@@ -15,7 +15,7 @@ from gridscape.functions.prep import mean_vector
 from gridscape.functions.vector import l2, l2sq
 from gridscape.operators import kernels
 from gridscape.operators.assign import neighbours
-from gridscape.plans.planner import pairwise, vectors
+from gridscape.plans.planner import merged, pairwise, vectors
 from gridscape.plans.storage import stored
 
 
@@ -42,7 +42,7 @@ def _pair_sums(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _distances_by_label(rows: DataFrame) -> DataFrame:
     base = rows.select("row_id", "features", F.col("label").cast("long").alias("label"))
-    parts = pairwise(base, base, _pair_sums, "row_id long, label long, other long, total double, n long, low double, high double")
+    parts = pairwise(base, base, _pair_sums, "row_id long, label long, other long, total double, n long, low double, high double", merge=merged(["row_id", "label", "other"], {"total": "sum", "n": "sum", "low": "min", "high": "max"}))
     return parts.groupBy("row_id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -105,7 +105,7 @@ def davies_bouldin(rows: DataFrame) -> DataFrame:
             most = np.divide(both, d, out=np.zeros(d.shape), where=apart).max(axis=1)
         return pa.table({"label": pa.array(label, pa.int64()), "r": pa.array(most, pa.float64())})
 
-    return pairwise(spread, spread, worst, "label long, r double").groupBy("label").agg(F.max("r").alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
+    return pairwise(spread, spread, worst, "label long, r double", merge=merged(["label"], {"r": "max"})).groupBy("label").agg(F.max("r").alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
 def calinski_harabasz(rows: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def dbcv(rows: DataFrame, core_k: int = 5, task_rows: int = TREE_ROWS) -> DataFr
             labels, low = labels[np.isfinite(low)], low[np.isfinite(low)]
         return pa.table({"label": pa.array(labels, pa.int64()), "low": pa.array(low, pa.float64())})
 
-    sep = pairwise(base, base, apart, "label long, low double").groupBy("label").agg(F.min("low").alias("sep"))
+    sep = pairwise(base, base, apart, "label long, low double", merge=merged(["label"], {"low": "min"})).groupBy("label").agg(F.min("low").alias("sep"))
     each = inside.join(sep, "label")
     top = F.greatest("sep", "dsc")
     v = F.when(top >= 1e-12, (F.col("sep") - F.col("dsc")) / top).otherwise(0.0)

@@ -74,12 +74,22 @@ def added_up(rows: DataFrame, partial: Callable[[np.ndarray], np.ndarray]) -> np
     return out
 
 
-def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int | None = None, n: int | None = None) -> DataFrame:
+def merged(keys: list[str], how: dict[str, str]) -> Callable[[pa.Table], pa.Table]:
+    """The `merge` that groups by keys and takes sum, min or max of the other columns."""
+
+    def run(found: pa.Table) -> pa.Table:
+        out = found.group_by(keys).aggregate(list(how.items()))
+        return pa.table({c: out[c if c in keys else f"{c}_{how[c]}"] for c in found.column_names})
+
+    return run
+
+
+def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int | None = None, n: int | None = None, merge: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """fn over every pair of a tile of left and a tile of right rows: what fn returns should be aggregates, which the caller adds up.
 
     Rows are dealt by a hash of row_id into blocks of at most PAIR_BLOCK expected rows (smaller ones where there are few rows, so that many tasks share
     the work), and each row is copied once a block of the other side. A task holds two blocks, and works on tiles of PAIR_TILE rows, so it never
-    holds the matrix of all its pairs.
+    holds the matrix of all its pairs. `merge` adds up what the tiles of a left tile gave, before anything leaves the task.
     """
     n = left.count() if n is None else n
     count = max(1, -(-n // block)) if block else max(1, min(-(-n // PAIR_TILE), max(FEW_BLOCKS, -(-n // PAIR_BLOCK))))
@@ -90,7 +100,11 @@ def pairwise(left: DataFrame, right: DataFrame, fn: Callable[[pa.Table, pa.Table
     b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_j", deal).withColumn("_i", every)
 
     def tiled(x: pa.Table, y: pa.Table) -> pa.Table:
-        found = [fn(x.slice(i, PAIR_TILE), y.slice(j, PAIR_TILE)) for i in range(0, x.num_rows, PAIR_TILE) for j in range(0, y.num_rows, PAIR_TILE)]
+        found = []
+        for i in range(0, x.num_rows, PAIR_TILE):
+            parts = [fn(x.slice(i, PAIR_TILE), y.slice(j, PAIR_TILE)) for j in range(0, y.num_rows, PAIR_TILE)]
+            if parts:
+                found.append(merge(pa.concat_tables(parts)) if merge and len(parts) > 1 else pa.concat_tables(parts))
         return pa.concat_tables(found) if found else fn(x.slice(0, 0), y.slice(0, 0))
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(tiled, schema)
