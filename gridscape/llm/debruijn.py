@@ -139,12 +139,6 @@ def _pieces(window: int, anchor: int, coordinates: bool, passing: np.ndarray | N
     return run
 
 
-def _text_windows(raw: np.ndarray, window: int, anchor: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of the windows of one text that start at those words."""
-    s, e, _ = words(raw, np.array([0, len(raw)]))
-    return tuple(window_hashes(gram_hashes(word_hashes(raw, s, e, seed), anchor), starts, window, anchor) for seed in SEEDS)
-
-
 def _requested(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The windows of some pieces."""
     return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
@@ -168,22 +162,31 @@ def _units(window: int, anchor: int):
         for batch in bounded_batches(batches, 2):
             raw, at = utf8(batch.column(2))
             (start, where), (n, _), (kind, _) = (_lists(batch.column(k)) for k in (3, 4, 5))
-            for k in range(batch.num_rows):
-                own = slice(where[k], where[k + 1])
+            for i, j in slices(at):
+                part, offsets = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                own = slice(where[i], where[j])
                 s, m, c = start[own].astype(np.int64), n[own].astype(np.int64), kind[own]
-                text = raw[at[k] : at[k + 1]]
-                spans = np.flatnonzero(c == SPAN)
-                found = text.tobytes().split() if len(spans) else []
-                digest = b"".join(hashlib.blake2b(b" ".join(found[a : a + w + window - 1]), digest_size=16).digest() for a, w in zip(s[spans].tolist(), m[spans].tolist(), strict=True))
-                sums = np.frombuffer(digest, np.uint64).reshape(-1, 2)
-                opened = np.sort(_requested(s[c == OPENED], m[c == OPENED]))
-                h1, h2 = _text_windows(text, window, anchor, opened) if len(opened) else (np.empty(0, np.uint64),) * 2
+                text = np.repeat(np.arange(j - i), np.diff(where[i : j + 1]))
+                spans, opened = np.flatnonzero(c == SPAN), np.flatnonzero(c == OPENED)
+                digest, held, found = [], -1, []
+                for k in spans.tolist():
+                    if text[k] != held:
+                        held = text[k]
+                        found = part[offsets[held] : offsets[held + 1]].tobytes().split()
+                    digest.append(hashlib.blake2b(b" ".join(found[s[k] : s[k] + m[k] + window - 1]), digest_size=16).digest())
+                sums = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2)
+                begin, of, size = _requested(s[opened], m[opened]), np.repeat(text[opened], m[opened]), np.ones(int(m[opened].sum()), np.int64)
+                h1 = h2 = np.empty(0, np.uint64)
+                if len(begin):
+                    starts, ends, first = words(part, offsets)
+                    h1, h2 = (window_hashes(gram_hashes(word_hashes(part, starts, ends, seed), anchor), first[of] + begin, window, anchor) for seed in SEEDS)
                 h1, h2 = np.concatenate([sums[:, 0], h1]), np.concatenate([sums[:, 1], h2])
-                begin, size = np.concatenate([s[spans], opened]), np.concatenate([m[spans], np.ones(len(opened), np.int64)])
-                order = np.lexsort((begin, h2, h1))
+                begin, of, size = np.concatenate([s[spans], begin]), np.concatenate([text[spans], of]), np.concatenate([m[spans], size])
+                order = np.lexsort((begin, h2, h1, of))
                 here = np.zeros(len(order), bool)
-                here[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-                ids = [pa.array([batch.column(x)[k].as_py()] * len(order), pa.int64()) for x in (0, 1)]
+                x, y = order[:-1], order[1:]
+                here[y] = (h1[x] == h1[y]) & (h2[x] == h2[y]) & (of[x] == of[y])
+                ids = [batch.column(k).take(pa.array(of + i)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *ids, pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(here)], [c.split()[0] for c in UNIT.split(", ")])
 
     return run
