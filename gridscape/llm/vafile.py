@@ -260,11 +260,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, bits: int = BI
     """
     asking = queries.groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     found = cut(candidates(vectors, asking, k, bits=bits, data_block=data_block, query_block=query_block))
-    exact = vectors.select("vec_id", F.xxhash64("v").alias("same"), "v").dropDuplicates(["vec_id", "same"])
+    exact = vectors.select("vec_id", F.xxhash64("v").alias("same"), "v")
     asked = asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def read(chosen: DataFrame) -> DataFrame:
-        rows = chosen.join(exact, ["vec_id", "same"]).join(asked, "query_id").select("query_id", "vec_id", "copies", "q", "v")
+        ids = chosen.select("vec_id", "same").distinct()
+        wanted = exact.join(ids, ["vec_id", "same"], "left_semi").dropDuplicates(["vec_id", "same"])  # no other vector moves
+        rows = chosen.join(wanted, ["vec_id", "same"]).join(asked, "query_id").select("query_id", "vec_id", "copies", "q", "v")
         return rows.mapInArrow(_read, "query_id long, vec_id long, copies long, score long, far double")
 
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("high"), F.asc("vec_id"))
