@@ -460,19 +460,21 @@ def apart(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray
     marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
     left, right = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
     low = (least - ERRORS * float(np.sqrt(least * (1 - least) / BINS))) * BINS
+    columns = np.ascontiguousarray(marks.T)
     small = n < SMALL  # of such a text the signature is by functions, of the others by bins, which tells nothing of the two together
     for x in range(0, len(right), TILE):
         own = right[x : x + TILE]
         for y in range(0, len(left), TILE):
             block = left[y : y + TILE]
             near = (label[block][:, None] != label[own][None, :]) & (np.minimum(n[block][:, None], n[own][None, :]) >= least * np.maximum(n[block][:, None], n[own][None, :]))
-            i, j = np.nonzero(near)
-            i, j = block[i], own[j]
-            for k in range(0, len(i), 1 << 16):
-                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                fine = (small[a] != small[b]) | ((marks[a] == marks[b]).sum(axis=1) >= low)
-                if fine.any():
-                    yield a[fine], b[fine]
+            if not near.any():
+                continue
+            same = np.zeros(near.shape, np.uint8)  # at most BINS, byte by byte, so that no array is larger than the tile
+            for byte in columns:
+                same += byte[block][:, None] == byte[own][None, :]
+            i, j = np.nonzero(near & ((small[block][:, None] != small[own][None, :]) | (same >= low)))
+            if len(i):
+                yield block[i], own[j]
 
 
 def _suspects(least: float):
