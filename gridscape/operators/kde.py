@@ -36,7 +36,11 @@ def density(rows: DataFrame, width: float | None = None) -> DataFrame:
         if left.num_rows and right.num_rows:
             x, y = vectors(left["features"]), vectors(right["features"])
             ids = left["row_id"].to_numpy()
-            total = np.exp(-kernels.cross_l2sq(x, y) / (2 * h * h)).sum(axis=1) * ((2 * math.pi) ** (-x.shape[1] / 2) * h ** -x.shape[1])
+            total = np.empty(len(x))
+            for s, d2 in kernels.l2sq_strips(x, y):
+                d2 /= -2 * h * h
+                total[s] = np.exp(d2, out=d2).sum(axis=1)
+            total *= (2 * math.pi) ** (-x.shape[1] / 2) * h ** -x.shape[1]
         return pa.table({"row_id": pa.array(ids, pa.int64()), "part": pa.array(total, pa.float64())})
 
     base = rows.select("row_id", "features")

@@ -6,6 +6,7 @@ Ties: a nearest unit is the first of equals; a farthest point, a most likely com
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -45,6 +46,12 @@ def nearest(x: np.ndarray, c: np.ndarray, metric: str = "euclidean") -> tuple[np
         d = distances(x, c, metric)
         unit = first_min(d)
         return unit, d[np.arange(len(x)), unit]
+    unit = nearest_l2(x, c)
+    exact = ((x - c[unit]) ** 2).sum(axis=1)
+    return unit, exact if metric == "sqeuclidean" else np.sqrt(exact)
+
+
+def nearest_l2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     d2 = cross_l2sq(x, c)
     unit = first_min(d2)
     low = d2[np.arange(len(x)), unit]
@@ -53,8 +60,24 @@ def nearest(x: np.ndarray, c: np.ndarray, metric: str = "euclidean") -> tuple[np
     for i in range(0, len(close), step):
         rows = close[i : i + step]
         unit[rows] = first_min(((x[rows][:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-    exact = ((x - c[unit]) ** 2).sum(axis=1)
-    return unit, exact if metric == "sqeuclidean" else np.sqrt(exact)
+    return unit
+
+
+#: Numbers of a strip of rows, or of a strip's matrix, that are worked on at a time, so that they stay in a core's cache.
+STRIP = 1 << 17
+
+
+def l2sq_strips(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows of x, their squared distances to all of y), strip by strip; the matrix may be changed in place."""
+    xx, yy, turned = (x * x).sum(axis=1), (y * y).sum(axis=1), np.ascontiguousarray(y.T)
+    step = max(1, STRIP // max(1, len(y)))
+    for i in range(0, len(x), step):
+        s = slice(i, i + step)
+        both = x[s] @ turned
+        both *= -2
+        d2 = xx[s, None] + yy
+        d2 += both
+        yield s, np.maximum(d2, 0.0, out=d2)
 
 
 def farthest_points(x: np.ndarray, k: int, start: int | None = None) -> np.ndarray:
@@ -72,10 +95,13 @@ def farthest_points(x: np.ndarray, k: int, start: int | None = None) -> np.ndarr
 
 def lloyd_sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """By cluster: rows, sum of squares and sums about the old centre; what a Lloyd step needs, and what adds up over batches."""
-    label, _ = nearest(x, c)
-    away = x - c[label]
     out = np.zeros((len(c), 2 + x.shape[1]))
-    np.add.at(out, label, np.column_stack([np.ones(len(x)), (away**2).sum(axis=1), away]))
+    step = max(1, STRIP // max(1, *c.shape))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        label = nearest_l2(part, c)
+        away = part - c[label]
+        out += (label == np.arange(len(c))[:, None]).astype(float) @ np.column_stack([np.ones(len(part)), (away**2).sum(axis=1), away])
     return out
 
 

@@ -15,7 +15,7 @@ from gridscape.functions.prep import mean_vector
 from gridscape.functions.vector import l2, l2sq
 from gridscape.operators import kernels
 from gridscape.operators.assign import neighbours
-from gridscape.plans.planner import merged, pairwise, vectors
+from gridscape.plans.planner import PAIR_TILE, lists, merged, pairwise, vectors
 from gridscape.plans.storage import stored
 
 
@@ -58,6 +58,72 @@ def silhouette(rows: DataFrame) -> DataFrame:
     return each.agg(F.coalesce(F.avg(F.when(F.greatest("a", "b") > 0, s).otherwise(F.when(F.col("b").isNull(), F.lit(0.0)))), F.lit(0.0)).alias("silhouette"))
 
 
+def _sums_by_label(left: pa.Table, right: pa.Table, at: np.ndarray, known: np.ndarray) -> pa.Table:
+    """Of each left row, the sums of its distances to the right rows of each cluster: clusters of all labelings side by side, labeling by labeling."""
+    if not (left.num_rows and right.num_rows):
+        return pa.table({"row_id": pa.array([], pa.int64()), "labels": pa.array([], pa.list_(pa.int64())), "sums": pa.array([], pa.list_(pa.float64()))})
+    x, y = vectors(left["features"]), vectors(right["features"])
+    own = _cluster_columns(right["labels"], at, known)
+    member = np.zeros((len(y), len(known)))
+    member[np.arange(len(y))[:, None], own] = 1.0
+    _, here, there = np.intersect1d(left["row_id"].to_numpy(), right["row_id"].to_numpy(), return_indices=True)
+    sums = np.empty((len(x), len(known)))
+    for s, d in kernels.l2sq_strips(x, y):
+        inside = (here >= s.start) & (here < s.stop)
+        d[here[inside] - s.start, there[inside]] = 0.0
+        sums[s] = np.sqrt(d, out=d) @ member
+    return pa.table({"row_id": left["row_id"], "labels": left["labels"], "sums": lists(sums)})
+
+
+def _cluster_columns(labels: pa.ChunkedArray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each row's clusters stand in `known`, the sorted labels of one labeling after the other, which begin at `at`."""
+    found = labels.combine_chunks().flatten().to_numpy().reshape(len(labels), -1)
+    return np.stack([a + np.searchsorted(known[a:b], found[:, k]) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))], axis=1)
+
+
+def _added_rows(found: pa.Table) -> pa.Table:
+    """One row of each row_id, its sums added up."""
+    ids = found["row_id"].to_numpy()
+    own, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    sums = vectors(found["sums"])
+    total = np.zeros((len(own), sums.shape[1]))
+    order = np.argsort(at, kind="stable")
+    np.add.reduceat(sums[order], np.searchsorted(at[order], np.arange(len(own))), axis=0, out=total)
+    return pa.table({"row_id": pa.array(own), "labels": found["labels"].take(pa.array(first)), "sums": lists(total)})
+
+
+def silhouettes(rows: DataFrame) -> list[float]:
+    """`silhouette` of each labeling in the array `labels` of (row_id, features, labels), all from one pass over the pairs."""
+    base = rows.select("row_id", "features", F.col("labels").cast("array<long>").alias("labels"))
+    counts = base.select(F.posexplode("labels").alias("k", "label")).groupBy("k", "label").count().orderBy("k", "label").collect()  # a row a cluster
+    known, size = np.array([r.label for r in counts], np.int64), np.array([r["count"] for r in counts], float)
+    at = np.searchsorted([r.k for r in counts], np.arange(counts[-1].k + 2)) if counts else np.zeros(1, int)
+    n = int(size[: at[1]].sum()) if counts else 0
+
+    def scores(found: pa.Table) -> pa.Table:
+        found = _added_rows(found)
+        sums, own = vectors(found["sums"]), _cluster_columns(found["labels"], at, known)
+        each = np.arange(len(sums))
+        total, among = [], []
+        for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            count = size[own[:, k]]
+            a = np.where(count > 1, sums[each, own[:, k]] / np.maximum(count - 1, 1), 0.0)
+            means = sums[:, i:j] / size[i:j]
+            means[each, own[:, k] - i] = np.inf
+            b = means.min(axis=1)
+            top = np.maximum(a, b)
+            fine = (top > 0) & np.isfinite(b)
+            total.append(float(((b - a)[fine] / top[fine]).sum()))
+            among.append(int(fine.sum()))
+        return pa.table({"k": pa.array(range(len(total)), pa.int32()), "s": pa.array(total, pa.float64()), "n": pa.array(among, pa.int64())})
+
+    parts = pairwise(base, base, lambda x, y: _sums_by_label(x, y, at, known), "row_id long, labels array<long>, sums array<double>", n=n, merge=_added_rows)
+    deal = F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(max(1, -(-n // PAIR_TILE))))
+    found = parts.groupBy(deal.alias("part")).applyInArrow(scores, "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    told = {r.k: r.s / r.n for r in found if r.n}
+    return [told.get(k, 0.0) for k in range(len(at) - 1)]
+
+
 def silhouette_array(x: np.ndarray, label: np.ndarray) -> float:
     """As `silhouette`, of a sample at hand."""
     order = np.argsort(label, kind="stable")

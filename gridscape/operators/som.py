@@ -131,20 +131,23 @@ class SOM:
         if self.update is not None and self.update not in RULES:
             raise InvalidMetric(self.update)
 
-    def fit(self, df: DataFrame, epochs: int, shuffle: bool = True, batch_size: int | None = None, features: str | list[str] = "features", order_by: str = "row_id", warm: SOMModel | None = None) -> SOMModel:
+    def fit(self, df: DataFrame, epochs: int, shuffle: bool = True, batch_size: int | None = None, features: str | list[str] = "features", order_by: str = "row_id", warm: SOMModel | None = None, seeds: np.ndarray | None = None) -> SOMModel:
+        """seeds: the units to begin with, where `init` has been run already."""
         rows = assemble(df, features, order_by)
         count, d = shape(rows)
         if batch_size is not None and batch_size < 1:
             raise InsufficientData("a batch has at least one row")
         if warm is not None and warm.weights.shape != (self.m * self.n, d):
             raise DimensionMismatch(f"a map of {warm.weights.shape} and {d} features")
+        if seeds is not None and seeds.shape != (self.m * self.n, d):
+            raise DimensionMismatch(f"seeds of {seeds.shape} and {d} features")
         one_by_one = self.bmu_refresh == "sample" or self.update in ("cosine", "manhattan")
         local = self.algorithm != "batch_map" and plan(count, d, self.plan) == "local"
         method, units = ALIASES.get(self.init, self.init), self.m * self.n
-        inside = local and warm is None and method in AT_HAND  # seeds and training are one job then
+        inside = local and warm is None and seeds is None and method in AT_HAND  # seeds and training are one job then
         if inside and units > count and method in ("som++", "kmeans", "kmeans++"):
             raise InvalidClusterCount(f"{units} seeds of {count} rows")
-        w = warm.weights if warm is not None else None if inside else init_codebook(rows, self.init, units, self.seed, self.plan)
+        w = warm.weights if warm is not None else seeds if seeds is not None else None if inside else init_codebook(rows, self.init, units, self.seed, self.plan)
         size = batch_size or min(max(count // 10, 64), count)
         total = min(epochs * count, self.max_iter) if self.max_iter is not None else epochs * count
         schedule = kernels.Schedule(self.learning_rate, self.neighbor_radius, total, warm.last if warm is not None else None)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridscape.errors import AlreadyFitted, DimensionMismatch, InsufficientData, InvalidClusterCount, InvalidInitMethod, InvalidLearningRate, PersistenceError
-from gridscape.operators import gmm, gridops, kernels, kselect, lloyd, seeding
+from gridscape.operators import gmm, gridops, kde, kernels, kselect, lloyd, metrics, seeding
 from gridscape.operators.auto import AutoCluster, choose
 from gridscape.operators.classify import SOMClassifier
 from gridscape.operators.density import DensityModel, DensitySOM, grid_clusters
@@ -368,3 +368,35 @@ def test_classifier_and_picker(spark):
     assert set(model.evaluate(rows, "label", ["f1"], binary=True)) == {"f1"}
     picker = ModelPicker(2, 2, epochs=1, methods=("random", "som++", "kde")).evaluate(rows)
     assert picker.best()[1] == max(s for _, s, _ in picker.results)
+
+
+def test_picker_goes_over_pairs_once(spark, monkeypatch):
+    rows = frame(spark, np.vstack([line_blobs(), waves(80, 2)])).persist()
+    passes = {"scores": 0, "densities": 0}
+
+    def counted(name, fn):
+        def run(*args, **options):
+            passes[name] += 1
+            return fn(*args, **options)
+
+        return run
+
+    monkeypatch.setattr(metrics, "pairwise", counted("scores", metrics.pairwise))
+    monkeypatch.setattr(kde, "pairwise", counted("densities", kde.pairwise))
+    picker = ModelPicker(2, 2, epochs=1, methods=("random", "som++", "kde", "kde_kmeans", "he")).evaluate(rows)
+    assert passes == {"scores": 1, "densities": 1} and len(picker.results) == 5
+    for method, score, model in picker.results:
+        assert score == pytest.approx(model.evaluate(rows, ["silhouette"])["silhouette"], abs=1e-9), method
+
+
+@pytest.mark.parametrize("n", [1, 700, 5000])
+def test_lloyd_sums_and_strips_equal_definition(n):
+    x = waves(n, 3)
+    c = x[:: max(1, n // 40)][:40].copy()
+    label, _ = kernels.nearest(x, c)
+    sums = kernels.lloyd_sums(x, c)
+    for j in range(len(c)):
+        away = x[label == j] - c[j]
+        assert np.allclose(sums[j], [len(away), (away**2).sum(), *away.sum(axis=0)])
+    d2 = np.concatenate([d.copy() for _, d in kernels.l2sq_strips(x, c)])
+    assert np.allclose(d2, ((x[:, None, :] - c) ** 2).sum(axis=2))
