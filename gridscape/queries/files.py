@@ -111,9 +111,9 @@ def service_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of a service that holds the sharding codebook, of all rows in one request, whose body passes through the driver as any does."""
     service = ModelRegistry(spark)
     service.models["m"] = SOMModel(weights(spark, sf_dir), ROWS, COLUMNS)
-    rows = points(spark, sf_dir).orderBy("row_id").select("row_id", "features").collect()
-    found = service.predict({"model_id": "m", "data": [r.features for r in rows]})["predictions"]
-    return spark.createDataFrame([(r.row_id, p) for r, p in zip(rows, found, strict=True)], "row_id long, prediction int")
+    rows = points(spark, sf_dir).orderBy("row_id").select("row_id", "features").toArrow()
+    found = service.predict({"model_id": "m", "data": rows["features"].to_pylist()})["predictions"]
+    return spark.createDataFrame(list(zip(rows["row_id"].to_pylist(), found, strict=True)), "row_id long, prediction int")
 
 
 REFUSED = [

@@ -6,19 +6,24 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from gridscape.errors import DimensionMismatch, GridscapeError, InvalidInputData, NotFitted
 from gridscape.functions.vector import DISTANCES
 from gridscape.operators.seeding import METHODS
 from gridscape.operators.som import MOST_RATE, SOM, SOMModel
+from gridscape.plans.storage import Stored, shared_dir
 from gridscape.sources.datagen import uniform_cube
 from gridscape.sources.io import rows_from_json
 
 MOST_ITERATIONS = 500_000
+#: Numbers in a piece of a body, which is one row and is parsed at a time, and pieces that go to Spark together.
+PIECE_NUMBERS, PIECES = 8_192, 64
 
 
 class ModelRegistry:
@@ -28,18 +33,37 @@ class ModelRegistry:
     def health(self) -> dict[str, Any]:
         return {"status": "ok", "models": len(self.models)}
 
-    def _rows(self, data: list[list[float]]):
+    @contextmanager
+    def _rows(self, data: list[list[float]]) -> Iterator[DataFrame]:
+        """The rows of a body; one of more than PIECES pieces goes through a table in the shared folder, so that no task or call carries it whole."""
         if not data or not data[0]:
             raise InvalidInputData("no data")
         if len({len(r) for r in data}) > 1:
             raise DimensionMismatch("rows of different lengths")
-        return rows_from_json(self.spark.createDataFrame([(json.dumps(data),)], "data string"))
+        size = max(1, PIECE_NUMBERS // len(data[0]))
+
+        def pieces(begin: int) -> DataFrame:
+            starts = range(begin, min(begin + size * PIECES, len(data)), size)
+            return self.spark.createDataFrame([(i, json.dumps(data[i : i + size])) for i in starts], "first long, data string")
+
+        if len(data) <= size * PIECES:
+            yield rows_from_json(pieces(0), first="first")
+            return
+        path = f"{shared_dir(self.spark)}/gridscape/{uuid.uuid4().hex}"
+        try:
+            for i in range(0, len(data), size * PIECES):
+                pieces(i).write.mode("append").parquet(path)
+            yield rows_from_json(self.spark.read.schema("first long, data string").parquet(path), first="first")
+        finally:
+            Stored(self.spark.range(0), path).remove()
 
     def train(self, request: dict[str, Any]) -> dict[str, Any]:
         """A grid of more units than rows shrinks to the root of the rows (2 at least); a bad rate becomes 0.5; unknown names their defaults."""
-        data = request["data"]
-        rows = self._rows(data)
-        n, size = len(data), int(request.get("grid_size", 10))
+        with self._rows(request["data"]) as rows:
+            return self._trained(request, rows, len(request["data"]))
+
+    def _trained(self, request: dict[str, Any], rows: DataFrame, n: int) -> dict[str, Any]:
+        size = int(request.get("grid_size", 10))
         if size * size > n:
             size = max(2, math.isqrt(n))
         rate = float(request.get("learning_rate", 0.5))
@@ -61,8 +85,9 @@ class ModelRegistry:
 
     def predict(self, request: dict[str, Any]) -> dict[str, Any]:
         model = self.model(request["model_id"])
-        scored = model.transform(model.rows(self._rows(request["data"]))).orderBy("row_id").select("bmu").collect()
-        return {"predictions": [r.bmu for r in scored], "model_info": {"grid": [model.m, model.n], "distance": model.distance}}
+        with self._rows(request["data"]) as rows:
+            scored = model.transform(model.rows(rows)).select("row_id", "bmu").orderBy("row_id").select("bmu").toArrow()
+        return {"predictions": scored["bmu"].to_pylist(), "model_info": {"grid": [model.m, model.n], "distance": model.distance}}
 
     def benchmark(self, request: dict[str, Any]) -> dict[str, Any]:
         """Seconds to train on uniform points; the way of seeding is always random."""

@@ -46,10 +46,12 @@ def write_metrics(scores: DataFrame, path: str, digits: int = 6) -> None:
     scores.select(*out).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def rows_from_json(df: DataFrame, column: str = "data") -> DataFrame:
-    """row_id, features from a JSON array of arrays of numbers; ragged rows are an error."""
-    data = df.select(F.from_json(column, "array<array<double>>").alias("d")).select(F.posexplode("d").alias("row_id", "features"))
+def rows_from_json(df: DataFrame, column: str = "data", first: str | None = None) -> DataFrame:
+    """row_id, features from a JSON array of arrays of numbers, or from pieces of one, `first` being the number of a piece's first row; ragged rows are an error."""
+    begin = F.col(first).cast("long") if first else F.lit(0).cast("long")
+    data = df.select(begin.alias("_first"), F.from_json(column, "array<array<double>>").alias("d")).select("_first", F.posexplode("d").alias("row_id", "features"))
+    data = data.select((F.col("_first") + F.col("row_id")).alias("row_id"), "features")
     widths = data.agg(F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high")).first()
     if widths.low != widths.high:
         raise DimensionMismatch(f"rows of {widths.low} to {widths.high} numbers")
-    return data.withColumn("row_id", F.col("row_id").cast("long"))
+    return data

@@ -3,6 +3,7 @@ import math
 import threading
 import urllib.error
 import urllib.request
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from gridscape.operators.classify import SOMClassifier
 from gridscape.operators.density import DensityModel
 from gridscape.operators.gmm import DiagGMM
 from gridscape.operators.lloyd import KMeans
-from gridscape.operators.som import SOM
+from gridscape.operators.som import SOM, SOMModel
 from gridscape.plans import planner
 from gridscape.service import ModelRegistry, server
 from gridscape.sources import datagen, io, persist
@@ -231,3 +232,27 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(got.columns)
     a, b = (df[columns].sort_values(columns).reset_index(drop=True).astype(str) for df in (got, want))
     assert a.equals(b)
+
+
+def test_service_takes_large_bodies_in_pieces(spark, monkeypatch):
+    from gridscape import service
+    from gridscape.plans.storage import shared_dir
+
+    x = waves(103, 4)
+    longest = []
+    parse = service.rows_from_json
+
+    def seen(df, *args, **options):
+        longest.append(df.agg(F.max(F.length("data"))).first()[0])
+        return parse(df, *args, **options)
+
+    monkeypatch.setattr(service, "PIECE_NUMBERS", 20)
+    monkeypatch.setattr(service, "PIECES", 3)
+    monkeypatch.setattr(service, "rows_from_json", seen)
+    reg = ModelRegistry(spark)
+    model = reg.models["m"] = SOMModel(x[:6], 2, 3)
+    left = set((Path(shared_dir(spark)) / "gridscape").glob("*"))
+    for n in (1, 15, 16, 103):
+        want = [r.bmu for r in model.transform(frame(spark, x[:n])).orderBy("row_id").collect()]
+        assert reg.predict({"model_id": "m", "data": x[:n].tolist()})["predictions"] == want
+    assert max(longest) < 6 * 100 and set((Path(shared_dir(spark)) / "gridscape").glob("*")) == left
