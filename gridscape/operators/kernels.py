@@ -215,6 +215,13 @@ def influence(bmu: np.ndarray, g: np.ndarray, schedule: Schedule, n: int, units:
     return h
 
 
+def neighbourhood(n: int, units: int, radius: float) -> np.ndarray:
+    """The Gaussian in grid distance of every unit to every unit, up to three radii; no rate, so nothing within them is too small to count."""
+    unit = np.arange(units)
+    dr, dc = (np.abs(a[:, None] - a) for a in (unit // n, unit % n))
+    return np.where(np.maximum(dr, dc) <= np.ceil(3 * radius), np.exp(-(dr * dr + dc * dc) / (2 * max(radius**2, 1e-18))), 0.0)
+
+
 def fold(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A, B) of the samples in order: each maps w to (1 - h) w + h x, and all together w to A w + B.
 

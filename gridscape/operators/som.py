@@ -223,10 +223,9 @@ class SOM:
     def _batch_map(self, rows: DataFrame, w: np.ndarray, epochs: int, schedule: kernels.Schedule, count: int) -> np.ndarray:
         for epoch in range(epochs):
             sums = added_up(rows, lambda x, w=w: _unit_sums(x, w, self.distance))
-            h = kernels.influence(np.arange(len(w)), np.full(len(w), float(epoch * count)), kernels.Schedule(1.0, self.neighbor_radius, schedule.total), self.n, len(w))
-            h /= np.maximum(h.max(), 1e-300)
+            h = kernels.neighbourhood(self.n, len(w), float(schedule.at(np.array([float(epoch * count)]))[1][0]))
             weight = h.T @ sums[:, 0]
-            w = np.where(weight[:, None] > 1e-12, (h.T @ sums[:, 1:]) / np.maximum(weight, 1e-12)[:, None], w)
+            w = np.where(weight[:, None] > 0, (h.T @ sums[:, 1:]) / np.where(weight > 0, weight, 1.0)[:, None], w)
         return w
 
 

@@ -400,3 +400,19 @@ def test_lloyd_sums_and_strips_equal_definition(n):
         assert np.allclose(sums[j], [len(away), (away**2).sum(), *away.sum(axis=0)])
     d2 = np.concatenate([d.copy() for _, d in kernels.l2sq_strips(x, c)])
     assert np.allclose(d2, ((x[:, None, :] - c) ** 2).sum(axis=2))
+
+
+def test_batch_map_counts_every_unit_within_three_radii(spark):
+    x, epochs, radius = waves(150, 3), 3, 3.0
+    w = start = np.vstack([x[:20], x[:16] + 40.0])
+    rows, columns = np.divmod(np.arange(36), 6)
+    away = (rows[:, None] - rows) ** 2 + (columns[:, None] - columns) ** 2
+    reach = np.maximum(abs(rows[:, None] - rows), abs(columns[:, None] - columns))
+    for epoch in range(epochs):
+        label, s = kernels.nearest(x, w)[0], radius * math.exp(-3 * epoch / epochs)
+        h = np.where(reach <= math.ceil(3 * s), np.exp(-away / (2 * s * s)), 0.0)
+        sums = np.array([x[label == j].sum(axis=0) for j in range(36)])
+        n = np.array([(label == j).sum() for j in range(36)])
+        w = np.array([h[j] @ sums / (h[j] @ n) if h[j] @ n > 0 else w[j] for j in range(36)])
+    model = SOM(6, 6, 0.5, radius, algorithm="batch_map").fit(frame(spark, x), epochs, False, seeds=start)
+    assert np.abs(model.weights - w).max() < 1e-10
