@@ -8,7 +8,8 @@ emits only a spanning star of each local component, never its pairs. Stars join
 pointer jumping over tables in the shared folder.
 
 `similar_groups` is for looser likeness than a few bits: texts of similarity 0.8 differ in about 10 of 64 bits, unrelated ones in 32 give or take 4, so that
-the triangle inequality prunes nothing. There, MinHash bands of the sets of word shingles find the candidates, and the sets themselves decide.
+the triangle inequality prunes nothing at such a radius. There the tree finds what lies within a few bits, MinHash bands of the sets of word shingles
+the candidates beyond, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -513,10 +514,21 @@ def _settled(least: float, shingle: int):
     return run
 
 
-def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int = LIKE_SHINGLE, task_rows: int = TASK_ROWS) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, scratch: Scratch, least: float, radius: int) -> DataFrame:
+    """u, v: texts of (first, n, fp) whose fingerprints are equal or, by the vantage-point tree's stars, within `radius` bits, and whose sizes allow the similarity `least`."""
+    heads = scratch.cut(nodes.groupBy("fp").agg(F.min(F.struct("first", "n")).alias("head")))
+    stars = links(heads, radius, scratch)
+    fits = lambda a, b: F.least(f"{a}.n", f"{b}.n") >= least * F.greatest(f"{a}.n", f"{b}.n")
+    equal = nodes.select("fp", F.struct("first", "n").alias("a")).join(heads.select("fp", F.col("head").alias("b")), "fp").where(F.col("a.first") != F.col("b.first"))
+    near = stars.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    return equal.select("a", "b").unionByName(near.select("a", "b")).where(fits("a", "b")).select(F.greatest("a.first", "b.first").alias("u"), F.least("a.first", "b.first").alias("v"))
+
+
+def similar_groups(docs: DataFrame, *, radius: int = 2, least: float = LIKE, like_shingle: int = LIKE_SHINGLE, task_rows: int = TASK_ROWS) -> DataFrame:
     """doc_id, component_id of every row: texts whose sets of `like_shingle` words, in lower-case ASCII, have a Jaccard similarity of `least` or more are linked.
 
-    Texts of equal sets collapse first. MinHash bands bring candidates together, and a candidate pair is linked by the exact similarity of its sets, never
+    Texts of equal sets collapse first. Candidates are the fingerprints that the vantage-point tree finds within `radius` bits, and, as most pairs of a
+    similarity near `least` differ in more, MinHash bands for the rest; a candidate pair is linked by the exact similarity of its sets, never
     by an estimate near the threshold. Every text of a band is held against the band's first text; of what is then still in different components of
     one band, all pairs are looked at, in tasks of two blocks of at most `task_rows` rows, so a band that a third of all texts share is dealt over many.
     A pair in one component needs no look, so a group of copies costs what its size is. Null texts are empty, and texts without words equal;
@@ -527,17 +539,18 @@ def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bounded(whole, 1):
-                parts = [signed(*x, least) for x in shingle_sets(*utf8(batch.column(1)), like_shingle)]
+                texts = utf8(batch.column(1))
+                parts = [signed(*x, least) for x in shingle_sets(*texts, like_shingle)]
                 n, same, also = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 keys = [x for p in parts for x in p[3]]
                 lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), np.concatenate(keys).view(np.int64)).cast(pa.list_(pa.int64()))
-                columns = [batch.column(0), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), pa.array(n.astype(np.int64)), lists, pa.array([x.tobytes() for p in parts for x in p[4]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "also", "n", "keys", "marks"])
+                columns = [batch.column(0), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), pa.array(n.astype(np.int64)), lists, pa.array([x.tobytes() for p in parts for x in p[4]], pa.binary()), pa.array(text_fingerprints(*texts).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "also", "n", "keys", "marks", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    found = cut(rows.mapInArrow(run, "doc_id long, same long, also long, n long, keys array<long>, marks binary"))
+    found = cut(rows.mapInArrow(run, "doc_id long, same long, also long, n long, keys array<long>, marks binary, fp long"))
     sets = ["same", "also", "n"]
-    nodes = found.where(F.col("doc_id").isNotNull()).groupBy(*sets).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    nodes = found.where(F.col("doc_id").isNotNull()).groupBy(*sets).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.min("fp").alias("fp"))
     nodes = cut(nodes)
     banded = nodes.select("first", "n", F.explode("keys").alias("key"))
     # one row per key that several texts have; the table of keys is written, so that adaptive execution can split a key's texts
@@ -545,7 +558,7 @@ def similar_groups(docs: DataFrame, *, least: float = LIKE, like_shingle: int =
     heads = scratch.cut(banded.groupBy("key").agg(F.min(F.struct("first", "n")).alias("head"), F.count(F.lit(1)).alias("texts")).where("texts > 1"))
     shared = scratch.cut(banded.join(heads, "key").select("key", "first", "n", "head", "texts"))
     fits = F.least("n", "head.n") >= least * F.greatest("n", "head.n")
-    stars = scratch.cut(shared.where((F.col("first") != F.col("head.first")) & fits).select(F.col("first").alias("u"), F.col("head.first").alias("v")).distinct())
+    stars = scratch.cut(shared.where((F.col("first") != F.col("head.first")) & fits).select(F.col("first").alias("u"), F.col("head.first").alias("v")).unionByName(fingerprint_pairs(nodes.select("first", "n", "fp"), scratch, least, radius)).distinct())
     text_of = lambda name, as_: rows.select(F.col("doc_id").alias(name), F.col("text").alias(as_))
     pairs = stars.join(text_of("u", "text_u"), "u").join(text_of("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     links = scratch.cut(pairs.mapInArrow(_verified(least, like_shingle), "u long, v long").distinct())

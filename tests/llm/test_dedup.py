@@ -248,3 +248,22 @@ def test_edge_filter_passes_all_edges(spark):
     bits = debruijn.filter_bits(spark.createDataFrame([(int(e),) for e in edges], "edge long"))
     at = edges & ((1 << debruijn.FILTER_BITS) - 1)
     assert ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all() and np.unpackbits(bits).sum() == len(set(at.tolist()))
+
+
+def test_near_dedup_links_through_the_vantage_point_tree(spark, monkeypatch):
+    found = []
+    tree = simhash.links
+
+    def seen(*args, **options):
+        out = tree(*args, **options)
+        found.extend((r.u, r.v) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "links", seen)
+    long = " ".join(f"word{i}" for i in range(600))
+    texts = [(i, f"{long} {' '.join(f'end{k}' for k in range(1 * (i % 3)))}") for i in range(9)] + [(20 + i, f"other{i} " * 40) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert got == {**{i: 0 for i in range(9)}, **{20 + i: 20 + i for i in range(5)}}
+    prints = {i: simhash.text_fingerprints(*utf8(pa.array([t])))[0] for i, t in texts}
+    distinct = {int(np.int64(np.uint64(prints[i]).view(np.int64))) for i in range(3)}
+    assert len(distinct) > 1 and any({u, v} <= distinct for u, v in found)
